@@ -109,6 +109,13 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return decide(scored, cutoffs(scored, labels, key, stratum, alpha, delta), stratum)
 
 
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns.  Texts are read once and not shuffled."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key), F.col(stratum), F.col(text))
+    scored = common.as_table(docs.sparkSession, with_measures(counts(own, text)), "quality")
+    return decide(scored, cutoffs(scored.drop("_row"), labels, key, stratum, alpha, delta), stratum).where("kept").select("_row.*")
+
+
 def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = judge(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")

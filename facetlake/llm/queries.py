@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe, token_files
+from . import bpe, chat, media, neardup, packing, pii, quality, token_files, url_filter, warc
 
 QUERIES = {
+    "op1_temporal_url_lists": url_filter.op1_temporal_url_lists,
+    "op2_risk_controlled_rules": quality.op2_risk_controlled_rules,
     "op3_bpe_segment_tree": bpe.op3_bpe_segment_tree,
+    "op4_interleaved_media": media.op4_interleaved_media,
+    "op5_warc_index_merge": warc.op5_warc_index_merge,
+    "op6_budgeted_windows": chat.op6_budgeted_windows,
+    "op7_bm25_packing": packing.op7_bm25_packing,
     "op8_elias_fano_files": token_files.op8_elias_fano_files,
+    "op9_boosted_pii": pii.op9_boosted_pii,
+    "op10_icws_neardup": neardup.op10_icws_neardup,
+}
+ORACLES = {
+    "op1_temporal_url_lists": url_filter.ORACLE,
+    "op2_risk_controlled_rules": quality.ORACLE,
+    "op5_warc_index_merge": warc.ORACLE,
+    "op6_budgeted_windows": chat.ORACLE,
 }
-ORACLES: dict[str, str] = {}

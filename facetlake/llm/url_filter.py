@@ -10,7 +10,7 @@ small one, is repeated).  No side is broadcast by hand.
 
 Defined results.  Null url or time, or a url without a host: never blocked, no entries.  Null fields of an entry:
 it is ignored.  Several actions at one time: add wins.  Repeated captures: a row each.  Empty tables: no rows, or
-nothing blocked.  Captures keep their other columns; entries' other columns are ignored.
+nothing blocked.  Captures keep their other columns, but for host, n_active, blocked and reason, which are replaced; entries' other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     live = live.withColumn("bucket", F.explode(F.sequence(F.floor(first / BUCKET), F.floor(last / BUCKET))))
     live = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    c = captures.withColumn("host", host_of(F.col(url))).withColumn("_row", F.monotonically_increasing_id())
+    c = captures.drop("host", "n_active", "blocked", "reason").withColumn("host", host_of(F.col(url))).withColumn("_row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     parts = F.slice(path_of(F.col(url)), 1, max(deepest, 1))
@@ -67,10 +67,10 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     keys = keys.select("_row", "_at", "k.kind", "k.pattern", F.floor(F.col("_at") / BUCKET).alias("bucket"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("salt"))
     met = keys.join(live, ["kind", "pattern", "bucket", "salt"]).where("valid_from <= _at and _at < valid_to")
     reason = F.when(F.col("verdict") == "block", F.concat_ws("|", "list", "kind", "pattern"))
-    found = met.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.min(reason).alias("reason"), F.max(F.col("verdict") == "allow").alias("ok"))
+    found = met.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), F.min(reason).alias("_reason"), F.max(F.col("verdict") == "allow").alias("_ok"))
     out = c.join(found, "_row", "left")
-    blocked = F.coalesce(F.col("reason").isNotNull() & ~F.col("ok"), F.lit(False))
-    return out.withColumn("n_active", F.coalesce("n", F.lit(0)).cast("long")).withColumn("blocked", blocked).withColumn("reason", F.when(blocked, F.col("reason"))).drop("_row", "n", "ok")
+    blocked = F.coalesce(F.col("_reason").isNotNull() & ~F.col("_ok"), F.lit(False))
+    return out.withColumn("n_active", F.coalesce("_n", F.lit(0)).cast("long")).withColumn("blocked", blocked).withColumn("reason", F.when(blocked, F.col("_reason"))).drop("_row", "_n", "_ok", "_reason")
 
 
 def synthetic_entries(pages: DataFrame) -> DataFrame:
