@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 900_000
 #: White space to Python that a Unicode-aware pattern of the library does not take as such.
 ODD = re.compile("[\x1c-\x1f]")
 TAIL = ".,;:!?|*#$%&\""
