@@ -186,5 +186,7 @@ def resolve(sequences: DataFrame, media: DataFrame, items: str = "items", digest
 
 def op4_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = store(common.read(spark, sf_dir, "documents"))
-    rows = resolve(interleave(table.select("k", "html")).drop("html"), measure(table)).where("item.kind = 'media'")
+    # as a table, so that the join deals out its sides itself and can split a digest that many documents share
+    features = common.as_table(spark, measure(table), "media-features")
+    rows = resolve(interleave(table.select("k", "html")).drop("html"), features).where("item.kind = 'media'")
     return rows.select(F.col("k").alias("doc_id"), F.col("item.n_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.pos").alias("pos"), F.col("item.caption").alias("caption"))
