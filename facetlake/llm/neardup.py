@@ -10,8 +10,8 @@ Each text gets 64 consistent weighted samples; 16 bands of 4 propose candidates,
 the exact weighted Jaccard similarity of both whole texts reaches 0.8.  Texts with equal words are collapsed first.
 A bucket of at most 32 members proposes its pairs (16 a member).  In a larger one every member is compared with a
 leader (in later rounds with 16, 64, ... leaders, so rounds are few).  Members at distance d from the leader can only be linked to members whose distance differs from d by at
-most 0.2 (the distance is a metric), so those within 0.2 of the leader are settled, pairs across the border are
-proposed only inside that margin, and the others go on: as a bucket of their own, or, if still more than 32, split
+most 0.2 (the distance is a metric), so those within 0.2 of a leader are settled by their nearest one, pairs across
+its border are proposed only inside that margin, also with members that another leader settles, and the others go on: as a bucket of their own, or, if still more than 32, split
 by the bands that follow, which pairs of similar texts share as well.  No group is capped or expanded into all its
 pairs.  Proposals whose 64 samples agree in far fewer places than linked texts' do (36; 24 for leaders, where the
 margin matters; under 1 in 10^4 of those sought) are not measured.  Classes are the connected components of the links, by label propagation with pointer jumping.
@@ -287,22 +287,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b", F.lit(36).alias("least"))
         # the smallest member leads and, in later rounds, others by hash: about `leaders` of them
         leads = large.where((F.col("rep") == F.col("lead")) | (F.lit(leaders > 1) & (F.pmod(F.xxhash64("rep", "key"), F.greatest(F.floor(F.col("n") / leaders), F.lit(1))) == 0)))
-        star = large.select("key", "last", F.col("rep").alias("b")).join(leads.select("key", F.col("rep").alias("l")), "key").where("b <> l")
+        leads = leads.select("key", F.col("rep").alias("l"))
+        star = large.select("key", "last", F.col("rep").alias("b")).join(leads, "key").where("b <> l")
         star = star.withColumn("lo", F.least("b", "l")).withColumn("hi", F.greatest("b", "l"))
         found = measure(pairs.unionAll(star.select("lo", "hi", F.lit(24))), known)
         known = found if known is None else known.unionAll(found)
         told = common.as_table(spark, star.join(known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "d"), ["lo", "hi"], "left").withColumn("d", F.coalesce("d", F.lit(1.0))), "neardup-told")
-        best = told.groupBy("key", "b").agg(F.min("d").alias("best"))
-        rest = common.as_table(spark, told.join(best.where(F.col("best") > far), ["key", "b"]), "neardup-rest")
-        if rest.isEmpty():
+        best = told.groupBy("key", "b").agg(F.min(F.struct("d", "l")).alias("m")).select("key", "b", F.col("m.d").alias("best"), F.col("m.l").alias("own"))
+        best = common.as_table(spark, best, "neardup-best")
+        rest = common.as_table(spark, told.join(best.where(F.col("best") > far).select("key", "b", "best"), ["key", "b"]), "neardup-rest")
+        if leaders == 1 and rest.isEmpty():
             break
-        # across the border: settled members within the margin of an unsettled one
-        inside = told.where(F.col("d") <= far).select("key", "l", F.col("b").alias("x"), F.col("d").alias("dx"))
-        border = rest.where(F.col("d") <= 2 * far).select("key", "l", F.col("b").alias("y"), F.col("d").alias("dy"))
-        cross = border.join(inside, ["key", "l"]).where(F.col("dy") - F.col("dx") <= far)
+        # across the border: members that their nearest leader settles, within the margin of one that it does not; one
+        # that another leader settles counts too, unless a leader that both know links the two already
+        lead = leads.select("key", F.col("l").alias("b"))
+        top = told.where(F.col("d") <= far).join(lead, ["key", "b"], "left_semi").groupBy("key", F.col("b").alias("own")).agg(F.least("own", F.min("l")).alias("top"))
+        settled = best.where(F.col("best") <= far).join(lead, ["key", "b"], "left_anti").join(top, ["key", "own"], "left").withColumn("top", F.coalesce("top", "own"))
+        inside = settled.select("key", F.col("own").alias("l"), F.col("b").alias("x"), F.col("best").alias("dx"), F.col("top").alias("tx"))
+        border = told.where((F.col("d") > far) & (F.col("d") <= 2 * far)).join(lead, ["key", "b"], "left_anti").join(settled.select("key", "b", "own", "top"), ["key", "b"], "left")
+        border = border.select("key", "l", F.col("b").alias("y"), F.col("d").alias("dy"), "own", F.col("top").alias("ty"))
+        apart = F.col("own").isNull() | ((F.col("l") < F.col("own")) & (F.col("tx") != F.col("ty")))
+        cross = border.join(inside, ["key", "l"]).where((F.col("dy") - F.col("dx") <= far) & apart)
         more = measure(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(36).alias("least")), known)
         known = known.unionAll(more)
-        left = common.as_table(spark, crowded(rest.join(leads.select("key", F.col("rep").alias("b")), ["key", "b"], "left_anti").select(F.col("b").alias("rep"), "last", "key").distinct()), "neardup-left")
+        left = common.as_table(spark, crowded(rest.join(lead, ["key", "b"], "left_anti").select(F.col("b").alias("rep"), "last", "key").distinct()), "neardup-left")
         done = left.where((F.col("n") <= SMALL) | (F.col("last") >= BANDS - 1))
         split = left.where((F.col("n") > SMALL) & (F.col("last") < BANDS - 1)).join(ids.select("rep", "bands"), "rep")
         split = split.select("rep", F.col("last").alias("was"), F.col("key").alias("old"), F.posexplode("bands").alias("last", "h")).where("last > was")

@@ -195,3 +195,44 @@ def test_pipeline_keeps_clean_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert rows.join(docs, "doc_id", "left_anti").count() == 0
     assert rows.select("doc_id").distinct().count() > 0.7 * docs.count()
+
+
+def linked(texts, idf):
+    """Smallest index of each text's component, by brute force."""
+    sets = [neardup.shingles(neardup.hashes_of(neardup.words_of(t)), idf) for t in texts]
+    label = list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD]
+    while (new := [min([label[i]]) for i in range(len(sets))]) is not None:
+        for i, j in pairs:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == label:
+            return label
+        label = new
+
+
+def one_bucket(monkeypatch, band):
+    """All texts share this band and no other; each word weighs the same."""
+    real = neardup.sketch
+    monkeypatch.setattr(neardup, "sketch", lambda *a: real(*a).withColumn("bands", F.expr(f"transform(bands, (x, i) -> if(i = {band}, 7L, xxhash64(k, i)))")))
+    monkeypatch.setattr(neardup, "frequencies", lambda *_: np.ones(neardup.SLOTS, np.float32))
+
+
+def test_neardup_families_round_several_centres(spark, monkeypatch):
+    """Two families are linked by one pair only, whose texts different leaders settle."""
+    one_bucket(monkeypatch, neardup.BANDS - 1)
+    r = np.random.default_rng(3)
+    shared = [f"c{x}" for x in range(160)]
+    own = [[f"f{k}x{x}" for x in range(42)] for k in range(8)]
+    texts = []
+    for k in range(8):
+        for n in range(60):  # near copies of the centre
+            w = shared + own[k]
+            w[int(r.integers(0, 160))] = f"k{k}n{n}"
+            texts.append(" ".join(w))
+    for k in range(7):  # bridges
+        texts += [" ".join(shared + own[k + 1][:m] + own[k][m:]) for m in (12, 27)]
+    texts = [texts[i] for i in r.permutation(len(texts))]
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs_of(spark, texts)).collect()}
+    want = linked(texts, np.ones(neardup.SLOTS, np.float32))
+    assert len(set(want)) < 8
+    assert [got[i] for i in range(len(texts))] == want
