@@ -9,11 +9,12 @@ documents, in 2**20 word-hash slots (4 MB, whatever the corpus), which is what t
 Each text gets 64 consistent weighted samples; 16 bands of 4 propose candidates, and a proposal counts only after
 the exact weighted Jaccard similarity of both whole texts reaches 0.8.  Texts with equal words are collapsed first.
 A bucket of at most 32 members proposes its pairs (16 a member).  In a larger one every member is compared with a
-leader (in later rounds with 16, 64, ... leaders, so rounds are few).  Members at distance d from the leader can only be linked to members whose distance differs from d by at
-most 0.2 (the distance is a metric), so those within 0.2 of a leader are settled by their nearest one, pairs across
-its border are proposed only inside that margin, also with members that another leader settles, and the others go on: as a bucket of their own, or, if still more than 32, split
-by the bands that follow, which pairs of similar texts share as well.  No group is capped or expanded into all its
-pairs.  Proposals whose 64 samples agree in far fewer places than linked texts' do (36; 24 for leaders, where the
+leader (in later rounds with 16, 64, ... leaders, so rounds are few).  Members at distance d from the leader can only
+be linked to members whose distance differs from d by at most 0.2 (the distance is a metric), so those within 0.2 of
+a leader are settled by their nearest one, pairs across its border are proposed only inside that margin, also with
+members that another leader settles, and the others stay in the bucket until a later leader settles or compares them.
+No group is capped: one whose texts lie just below 0.8 of each other takes all its pairs in the end.
+Proposals whose 64 samples agree in far fewer places than linked texts' do (36; 24 for leaders, where the
 margin matters; under 1 in 10^4 of those sought) are not measured.  Classes are the connected components of the links, by label propagation with pointer jumping.
 
 Defined results.  Null text counts as empty.  Texts without words are in one class only if they are equal.
@@ -247,9 +248,9 @@ def components(links: DataFrame, name: str = "neardup-labels") -> DataFrame:
 
 
 def crowded(band: DataFrame) -> DataFrame:
-    """rep, last, key of buckets with two members at least, with their size n and smallest member."""
+    """rep, key of buckets with two members at least, with their size n and smallest member."""
     of = band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    return band.join(of, "key").select("rep", "last", "key", "n", "lead")
+    return band.join(of, "key").select("rep", "key", "n", "lead")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,7 +263,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = table.groupBy("digest").agg(F.min("k").cast("long").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     reps = common.as_table(spark, reps, "neardup-reps")
     ids = reps.where("rep is not null")
-    band = ids.select("rep", F.posexplode("bands").alias("last", "key"))
+    band = ids.select("rep", F.explode("bands").alias("key"))
     members = common.as_table(spark, crowded(band), "neardup-buckets")
     one = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
     if repeated(table):  # different texts under one id: the first in text order stands for the id
@@ -288,9 +289,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         # the smallest member leads and, in later rounds, others by hash: about `leaders` of them
         leads = large.where((F.col("rep") == F.col("lead")) | (F.lit(leaders > 1) & (F.pmod(F.xxhash64("rep", "key"), F.greatest(F.floor(F.col("n") / leaders), F.lit(1))) == 0)))
         leads = leads.select("key", F.col("rep").alias("l"))
-        star = large.select("key", "last", F.col("rep").alias("b")).join(leads, "key").where("b <> l")
+        star = large.select("key", "n", F.col("rep").alias("b")).join(leads, "key").where("b <> l")
         star = star.withColumn("lo", F.least("b", "l")).withColumn("hi", F.greatest("b", "l"))
-        found = measure(pairs.unionAll(star.select("lo", "hi", F.lit(24))), known)
+        # where all members lead, no margin is needed
+        found = measure(pairs.unionAll(star.select("lo", "hi", F.when(F.col("n") < 2 * leaders, 36).otherwise(24))), known)
         known = found if known is None else known.unionAll(found)
         told = common.as_table(spark, star.join(known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "d"), ["lo", "hi"], "left").withColumn("d", F.coalesce("d", F.lit(1.0))), "neardup-told")
         best = told.groupBy("key", "b").agg(F.min(F.struct("d", "l")).alias("m")).select("key", "b", F.col("m.d").alias("best"), F.col("m.l").alias("own"))
@@ -310,12 +312,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         cross = border.join(inside, ["key", "l"]).where((F.col("dy") - F.col("dx") <= far) & apart)
         more = measure(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(36).alias("least")), known)
         known = known.unionAll(more)
-        left = common.as_table(spark, crowded(rest.join(lead, ["key", "b"], "left_anti").select(F.col("b").alias("rep"), "last", "key").distinct()), "neardup-left")
-        done = left.where((F.col("n") <= SMALL) | (F.col("last") >= BANDS - 1))
-        split = left.where((F.col("n") > SMALL) & (F.col("last") < BANDS - 1)).join(ids.select("rep", "bands"), "rep")
-        split = split.select("rep", F.col("last").alias("was"), F.col("key").alias("old"), F.posexplode("bands").alias("last", "h")).where("last > was")
-        split = crowded(split.select("rep", "last", F.xxhash64("old", "last", "h").alias("key")))
-        open_ = common.as_table(spark, done.unionByName(split), "neardup-buckets")
+        # the others stay in their bucket until a leader settles or compares them
+        open_ = common.as_table(spark, crowded(rest.join(lead, ["key", "b"], "left_anti").select(F.col("b").alias("rep"), "key").distinct()), "neardup-buckets")
         leaders = max(16, 4 * leaders)
 
     if known is None:

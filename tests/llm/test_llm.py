@@ -236,3 +236,19 @@ def test_neardup_families_round_several_centres(spark, monkeypatch):
     want = linked(texts, np.ones(neardup.SLOTS, np.float32))
     assert len(set(want)) < 8
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_neardup_recall_in_a_crowd_below_the_threshold(spark, monkeypatch):
+    """Pairs just above the threshold inside a crowd just below it, whose texts share one band only."""
+    one_bucket(monkeypatch, 0)
+    r = np.random.default_rng(4)
+    shared = [f"c{x}" for x in range(170)]
+    texts = []
+    for n in range(100):
+        own = [f"o{n}x{x}" for x in range(30)]
+        texts += [" ".join(shared + own), " ".join(shared + own[:13] + [f"p{n}x{x}" for x in range(17)])]
+    texts = [texts[i] for i in r.permutation(len(texts))]
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs_of(spark, texts)).collect()}
+    want = linked(texts, np.ones(neardup.SLOTS, np.float32))
+    assert len(set(want)) == 100
+    assert [got[i] for i in range(len(texts))] == want
