@@ -166,39 +166,61 @@ def hierarchical(x: np.ndarray, k: int, linkage: str = "average") -> np.ndarray:
     return np.unique(of, return_inverse=True)[1]
 
 
-def tsne(x: np.ndarray, perplexity: float = 30, iterations: int = 250, seed: int = 0, rate: float = 200) -> np.ndarray:
-    """Exact t-SNE of a bounded table: early exaggeration 12, momentum .5 then .8."""
+def tsne(x: np.ndarray, perplexity: float = 30, iterations: int = 250, seed: int = 0, rate: float = 200, block: int = 1 << 22, held: int = 1 << 25) -> np.ndarray:
+    """Exact t-SNE: early exaggeration 12, momentum .5 then .8.
+
+    Pairs are taken in blocks of about ``block``, so memory does not grow with their number; affinities of more than
+    ``held`` pairs are computed again in every iteration.
+    """
     n = len(x)
     if n - 1 < 3 * perplexity:
         raise ValueError("too few rows for this perplexity")
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    p = np.zeros((n, n))
+    used, least, total = np.empty(n), np.empty(n), np.empty(n)
     for i in range(n):
-        row, lo, hi, beta = np.delete(d[i], i), 0.0, np.inf, 1.0
+        row, lo, hi, beta = np.delete(((x[i] - x) ** 2).sum(1), i), 0.0, np.inf, 1.0
+        least[i] = row.min()
         for _ in range(50):
-            e = np.exp(-(row - row.min()) * beta)
-            h = np.log(e.sum()) + beta * ((row - row.min()) * e).sum() / e.sum()
+            e = np.exp(-(row - least[i]) * beta)
+            used[i], total[i] = beta, e.sum()
+            h = np.log(total[i]) + beta * ((row - least[i]) * e).sum() / total[i]
             if abs(h - np.log(perplexity)) < 1e-5:
                 break
             lo, hi = (beta, hi) if h > np.log(perplexity) else (lo, beta)
             beta = beta * 2 if hi == np.inf else (lo + hi) / 2
-        p[i, np.arange(n) != i] = e / e.sum()
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+
+    def square(a: np.ndarray, at: slice) -> np.ndarray:
+        """Squared distances of some rows to all, infinite to themselves."""
+        d = sum((a[at, k, None] - a[None, :, k]) ** 2 for k in range(a.shape[1]))
+        d[np.arange(len(d)), np.arange(n)[at]] = np.inf
+        return d
+
+    def affinity(at: slice) -> np.ndarray:
+        d = square(x, at)
+        there = np.exp(-(d - least[at, None]) * used[at, None]) / total[at, None]
+        back = np.exp(-(d - least) * used) / total
+        return np.maximum((there + back) / (2 * n), 1e-12)
+
+    step = max(1, block // n)
+    parts = [slice(a, a + step) for a in range(0, n, step)]
+    kept = [affinity(at) for at in parts] if n * n <= held else None
     y = np.random.default_rng(seed).normal(0, 1e-4, (n, 2))
     v = np.zeros_like(y)
     for it in range(iterations):
-        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
-        np.fill_diagonal(q, 0)
-        g = (p * (12 if it < iterations // 4 else 1) - q / q.sum()) * q
-        v = (0.5 if it < iterations // 4 else 0.8) * v - rate * 4 * (np.diag(g.sum(1)) - g) @ y
+        pull, push, z = np.empty_like(y), np.empty_like(y), 0.0
+        for k, at in enumerate(parts):
+            q = 1 / (1 + square(y, at))
+            z += q.sum()
+            for out, w in ((pull, (kept[k] if kept else affinity(at)) * q), (push, q * q)):
+                out[at] = w.sum(1)[:, None] * y[at] - w @ y
+        v = (0.5 if it < iterations // 4 else 0.8) * v - rate * 4 * (pull * (12 if it < iterations // 4 else 1) - push / z)
         y = y + v
         y -= y.mean(0)
     return y
 
 
-def on_all(df: DataFrame, columns: list[str], key: str, f, schema: str, limit: int = 5000) -> DataFrame:
-    """Run a whole-table NumPy method in one task; the table's size is checked first."""
-    if df.count() > limit:
+def on_all(df: DataFrame, columns: list[str], key: str, f, schema: str, limit: int | None = 5000) -> DataFrame:
+    """Run a whole-table NumPy method in one task; the table's size is checked first, unless any is allowed."""
+    if limit is not None and df.count() > limit:
         raise ValueError(f"more than {limit} rows")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -349,7 +349,7 @@ def _(df):
 query("pca", "part")(lambda df: stats.pca(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 2))
 query("leader", "supplier")(lambda df: stats.leader(df.select("s_suppkey", "s_acctbal", "s_nationkey"), ["s_acctbal"], "s_suppkey", 800.0, "s_nationkey"))
 query("hierarchical", "supplier")(lambda df: stats.on_all(df, ["s_acctbal"], "s_suppkey", lambda k, x: pd.DataFrame({"s_suppkey": k, "cluster": stats.hierarchical(x, 4, "ward")}), "s_suppkey long, cluster long"))
-query("tsne", "supplier")(lambda df: stats.on_all(df.where("s_suppkey <= 100"), ["s_acctbal", "s_nationkey"], "s_suppkey", lambda k, x: (lambda y: pd.DataFrame({"s_suppkey": k, "x": y[:, 0], "y": y[:, 1]}))(stats.tsne((x - x.mean(0)) / (x.std(0) + 1e-9), min(10, (len(x) - 1) / 3), 100)), "s_suppkey long, x double, y double"))
+query("tsne", "supplier")(lambda df: stats.on_all(df, ["s_acctbal", "s_nationkey"], "s_suppkey", lambda k, x: (lambda y: pd.DataFrame({"s_suppkey": k, "x": y[:, 0], "y": y[:, 1]}))(stats.tsne((x - x.mean(0)) / (x.std(0) + 1e-9), min(10, (len(x) - 1) / 3), 100)), "s_suppkey long, x double, y double", limit=None))
 EVENT_AXIS = [("value", 0.0, 400.0, 16)]
 query("stream_hist", None, f"SELECT {bin_sql(EVENT_AXIS)} AS bin, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: streaming.run_available(spark, d, "events", EVENT_AXIS))
 

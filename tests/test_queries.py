@@ -4,9 +4,11 @@ import os
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 
 from facetlake import registry
+from facetlake.operators import stats
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -45,3 +47,16 @@ def test_entry_without_training_data_package():
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert os.path.exists(SF)
+
+
+def test_tsne_covers_the_whole_table(spark):
+    sf = "/root/testdata/sf0.1"
+    got = registry.QUERIES["tsne"](spark, sf).toPandas()
+    assert sorted(got.s_suppkey) == sorted(r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect())
+    assert got.notna().all().all()
+
+
+def test_tsne_in_blocks():
+    x = np.random.default_rng(0).normal(size=(70, 3))
+    whole = stats.tsne(x, 10, 20)
+    assert np.allclose(stats.tsne(x, 10, 20, block=500, held=0), whole)
