@@ -200,7 +200,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.col(at).cast("long").alias("at"), F.coalesce(html, F.lit("")).alias("h"))
     narrow = rows.select("k", F.sha1(F.encode("h", "UTF-8")).alias("d"), F.octet_length("h").alias("n")).where(f"n >= {int(least)}")
     first = narrow.groupBy("d").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    revisits = narrow.join(first, "d").where("k > first").select("k", "first").distinct()
+    revisits = narrow.join(first, "d").where("k > first").select("k", "d", "first").distinct()  # an id may have several payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = next(batches, None)
@@ -219,7 +219,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
                 head = next(batches, None)
         yield pa.RecordBatch.from_pydict({"archive": [uri], "records": [n]})
 
-    return common.as_table(pages.sparkSession, rows.join(revisits, "k", "left").mapInArrow(run, "archive string, records long"), "warc-manifest")
+    return common.as_table(pages.sparkSession, rows.withColumn("d", F.sha1(F.encode("h", "UTF-8"))).join(revisits, ["k", "d"], "left").drop("d").mapInArrow(run, "archive string, records long"), "warc-manifest")
 
 
 def runs(manifest: DataFrame, path: str) -> DataFrame:

@@ -252,3 +252,13 @@ def test_neardup_recall_in_a_crowd_below_the_threshold(spark, monkeypatch):
     want = linked(texts, np.ones(neardup.SLOTS, np.float32))
     assert len(set(want)) == 100
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_warc_id_with_two_payloads(spark, tmp_path):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c")]
+    pages = spark.createDataFrame([(i, f"http://x.org/{n}", h, 5) for n, (i, h) in enumerate(rows)], "page_id long, url string, html string, captured_at long")
+    path = f"file://{tmp_path}/w"
+    got = warc.merge(warc.runs(warc.write(pages, path), path), path).collect()
+    assert sorted((r.url_key[-1], r.page_id, r.record_type, r.refers_to) for r in got) == [
+        ("0", 1, "response", None), ("1", 2, "revisit", 1), ("2", 2, "response", None), ("3", 3, "revisit", 1), ("4", 3, "revisit", 2), ("5", 3, "response", None)
+    ]
