@@ -18,7 +18,8 @@ Proposals whose 64 samples agree in far fewer places than linked texts' do (36;
 margin matters; under 1 in 10^4 of those sought) are not measured.  Classes are the connected components of the links, by label propagation with pointer jumping.
 
 Defined results.  Null text counts as empty.  Texts without words are in one class only if they are equal.
-Repeated rows and ids stay; null doc_id gets a row with its class.  An empty table gives no rows.
+Repeated rows and ids stay; null doc_id gets a row with its class.  If ids repeat or are null, rows take part under a
+number of their own.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -253,23 +254,42 @@ def crowded(band: DataFrame) -> DataFrame:
     return band.join(of, "key").select("rep", "key", "n", "lead")
 
 
+def single(docs: DataFrame, key: str) -> bool:
+    """Whether every row has a whole number of its own as key."""
+    if docs.schema[key].dataType.simpleString() not in {"tinyint", "smallint", "int", "bigint"}:
+        return False
+    return docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written with a number of their own: _row."""
+    return common.as_table(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-numbered")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, class_id (smallest id of its class), links (verified links of its text to other texts), for every row."""
+    if single(docs, key):
+        return grouped(docs, key, text)
+    rows = numbered(docs.select(key, text))
+    of = common.as_table(docs.sparkSession, rows.select("_row", key).join(grouped(rows, "_row", text), "_row"), "neardup-of")
+    least = of.groupBy("class_id").agg(F.min(key).cast("long").alias("least"))
+    return of.join(least, "class_id").select(key, F.col("least").alias("class_id"), "links")
+
+
+def grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``classes`` of rows with a number each."""
     spark = docs.sparkSession
     far = 1 - THRESHOLD
     shared = spark.sparkContext.broadcast(frequencies(docs, text))  # 4 MB
     table = common.as_table(spark, sketch(docs, shared, key, text), "neardup-sketches")
-    # one representative per distinct text; null ids take part by the text they share, or under their own digest
+    # one representative per distinct text
     reps = table.groupBy("digest").agg(F.min("k").cast("long").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     reps = common.as_table(spark, reps, "neardup-reps")
-    ids = reps.where("rep is not null")
-    band = ids.select("rep", F.explode("bands").alias("key"))
+    band = reps.select("rep", F.explode("bands").alias("key"))
     members = common.as_table(spark, crowded(band), "neardup-buckets")
-    one = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
-    if repeated(table):  # different texts under one id: the first in text order stands for the id
-        one = one.groupBy("rep").agg(F.min("text").alias("text"))
+    one = docs.select(F.col(key).alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
     texts = common.as_table(spark, one.join(members.select("rep").distinct(), "rep", "left_semi"), "neardup-texts")
-    sample = ids.select("rep", "samples")
+    sample = reps.select("rep", "samples")
 
     def measure(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         """a, b, d of the pairs (a, b, least agreeing samples) that are worth it and not known."""
@@ -328,26 +348,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class: that of its smallest id.  A row with a null id stays if its class has no other."""
-    spark = docs.sparkSession
-    found = common.as_table(spark, classes(docs, key, text), "neardup-classes")
-    ids = found.where(F.col("class_id") == F.col(key)).select(key)
-    kept = docs.join(ids.distinct(), key, "left_semi")
-    if repeated(ids.withColumnRenamed(key, "k")):
-        kept = kept.dropDuplicates([key])
-    if not found.where(F.col("class_id").isNull()).isEmpty():
-        kept = kept.unionByName(docs.where(F.col(key).isNull()).join(common_null(found, docs, key, text), F.md5(F.coalesce(text, F.lit(""))) == F.col("_m"), "left_semi").dropDuplicates([text]))
-    return kept
-
-
-def common_null(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """MD5 of the null-id texts that no identified text equals."""
-    m = docs.select(F.col(key).alias("_k"), F.md5(F.coalesce(text, F.lit(""))).alias("_m"))
-    return m.groupBy("_m").agg(F.count("_k").alias("n")).where("n = 0").select("_m")
-
-
-def repeated(table: DataFrame) -> bool:
-    """Whether some id has more than one row."""
-    return not table.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if single(docs, key):
+        found = grouped(docs, key, text)
+        return docs.join(found.where(F.col("class_id") == F.col(key)).select(key), key, "left_semi")
+    rows = numbered(docs)
+    of = rows.select("_row", key).join(grouped(rows, "_row", text), "_row")
+    first = of.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "_row")).alias("m"))
+    return rows.join(first.select("m._row"), "_row", "left_semi").drop("_row")
 
 
 def op10_icws_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

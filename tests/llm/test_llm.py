@@ -262,3 +262,16 @@ def test_warc_id_with_two_payloads(spark, tmp_path):
     assert sorted((r.url_key[-1], r.page_id, r.record_type, r.refers_to) for r in got) == [
         ("0", 1, "response", None), ("1", 2, "revisit", 1), ("2", 2, "response", None), ("3", 3, "revisit", 1), ("4", 3, "revisit", 2), ("5", 3, "response", None)
     ]
+
+
+def test_neardup_repeated_and_null_ids(spark):
+    r = np.random.default_rng(6)
+    a, b, c, d = ([f"w{x}" for x in r.integers(0, 9000, 200)] for _ in range(4))
+    near = lambda w: " ".join([*w[:100], "changed", *w[101:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, near(a)), (6, near(b)), (None, " ".join(c)), (None, near(c)), (None, near(d)), (7, " ".join(d)), (8, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in neardup.classes(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 1), (1, 1, 1), (5, 1, 1), (6, 1, 1), (None, None, 1), (None, None, 1), (None, 7, 1), (7, 7, 1), (8, 8, 0)], key=repr)
+    kept = [tuple(x) for x in neardup.survivors(df).collect()]
+    assert {t for i, t in kept if i is not None} == {" ".join(a), " ".join(b), " ".join(d), "alone"}
+    assert len(kept) == 5 and sum(i is None for i, _ in kept) == 1
