@@ -6,20 +6,23 @@ five independent words.  The shingle's own document frequency is not used, becau
 group of near copies, where it would push their similarity below the threshold.  Document frequencies cover all
 documents, in 2**20 word-hash slots (4 MB, whatever the corpus), which is what tasks share.
 
-Each text gets 64 consistent weighted samples; 16 bands of 4 propose candidates, and a proposal counts only after
-the exact weighted Jaccard similarity of both whole texts reaches 0.8.  Texts with equal words are collapsed first.
-A bucket of at most 32 members proposes its pairs (16 a member).  In a larger one every member is compared with a
-leader (in later rounds with 16, 64, ... leaders, so rounds are few).  Members at distance d from the leader can only
-be linked to members whose distance differs from d by at most 0.2 (the distance is a metric), so those within 0.2 of
-a leader are settled by their nearest one, pairs across its border are proposed only inside that margin, also with
-members that another leader settles, and the others stay in the bucket until a later leader settles or compares them.
-No group is capped: one whose texts lie just below 0.8 of each other takes all its pairs in the end.
-Proposals whose 64 samples agree in far fewer places than linked texts' do (36; 24 for leaders, where the
-margin matters; under 1 in 10^4 of those sought) are not measured.  Classes are the connected components of the links, by label propagation with pointer jumping.
+Texts with equal words are collapsed first.  Each distinct text gets 64 consistent weighted samples.  Its 36 bands
+are sevens of samples out of four fixed shuffles, so a pair at similarity 0.8 shares a band with probability 0.994,
+one at 0.3 with 0.008.  Two texts are linked if their exact weighted Jaccard similarity reaches 0.8, and a class is a
+connected component of the links.  Only links that join two components need to be found, so the work is:
+
+1. In each bucket the member that meets most others leads (the middle of a group of copies), and every member is
+   compared with the leaders it meets.  That is linear in the members and settles most of a group, whatever its size.
+2. Buckets that still hold several components are gone through pair by pair, but only across components: members of
+   the main component meet the others in cells of bounded size, a cell compares its best-agreeing pairs first and
+   skips those that links found meanwhile have joined.  A pair is looked at in the first band that it shares, and
+   measured if at least 42 of its 64 samples agree (0.2 % of the pairs at 0.8 do not).  Cells give links, never pairs.
+No group or bucket is capped.  Texts that share bands but lie just below 0.8 of each other all have to be told apart;
+that is quadratic in such a crowd, in memory of a cell and without pair rows.
 
 Defined results.  Null text counts as empty.  Texts without words are in one class only if they are equal.
 Repeated rows and ids stay; null doc_id gets a row with its class.  If ids repeat or are null, rows take part under a
-number of their own.  An empty table gives no rows.
+number of their own.  An empty table gives no rows.  Other columns are ignored by ``classes`` and kept by ``survivors``.
 """
 
 from __future__ import annotations
@@ -31,16 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 4
-#: Buckets up to this size propose their pairs.
-SMALL = 32
+SAMPLES = 64
+#: Samples of which a linked pair shares at least so many.
+AGREE = 42
+#: Most members and bytes of text on one side of a cell.
+CELL_ROWS, CELL_BYTES = 512, 16 << 20
+#: Lists of up to this many ids (8 bytes each) are broadcast to filter documents; longer ones are joined.
+BROADCAST_IDS = 1_000_000
 SLOTS = 1 << 20
 #: Shingles of recently compared texts that a task remembers (32 MB); a longer text is held on its own.
 HELD = 1 << 21
@@ -50,6 +57,16 @@ _words: dict[str, bytes] = {}
 U64 = np.uint64
 
 
+def layout(shuffles: int = 4, rows: int = 7) -> np.ndarray:
+    """Samples of each band: (bands, rows)."""
+    draw = np.random.default_rng(11)
+    cut = SAMPLES // rows * rows
+    return np.concatenate([draw.permutation(SAMPLES)[:cut].reshape(-1, rows) for _ in range(shuffles)])
+
+
+BANDS = layout()
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -102,7 +119,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / high) if high > 0 else 0.0
 
 
-SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 INV = np.float32(1 / 65536)
 
 
@@ -172,42 +189,121 @@ def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shared, key: str, text: str) -> DataFrame:
-    """k, digest (of the words, or of a text without any), samples (64) and bands (16 hashes); none without words."""
+    """k, digest (of the words, or of a text without any), size (bytes), samples (64 int32; null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                digests, bands, sigs = [], [], []
+                digests, sizes, sigs = [], [], []
                 sets: list[tuple[np.ndarray, np.ndarray]] = []
                 slots: list[int] = []
                 for n, t in enumerate(part.column(1).to_pylist()):
                     h = hashes_of(words_of(t))
                     raw = b"w" + h.tobytes() if len(h) else b"t" + (t or "").encode("utf-8", "surrogatepass")
                     digests.append(hashlib.blake2b(raw, digest_size=16).digest())
-                    bands.append([])
-                    sigs.append([])
+                    sizes.append(len(t or ""))
+                    sigs.append(None)
                     if len(h):
                         sets.append(shingles(h, idf))
                         slots.append(n)
                 if sets:
                     cuts = np.concatenate([[0], np.cumsum([len(s[0]) for s in sets])])
                     s = samples(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), cuts)
-                    keyed = s.view(np.uint32).reshape(len(sets), BANDS, ROWS).astype(U64)
-                    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), keyed.shape[:2])
-                    for r in range(ROWS):
-                        h = mix(h * U64(0x9E3779B97F4A7C15) + keyed[:, :, r])
-                    for n, row, sig in zip(slots, h.view(np.int64).tolist(), s.view(np.int32).tolist()):
-                        bands[n], sigs[n] = row, sig
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int32()))], ["k", "digest", "bands", "samples"])
+                    for n, row in zip(slots, s):
+                        sigs[n] = row.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["k", "digest", "size", "samples"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"k {kind}, digest binary, bands array<bigint>, samples array<int>")
+    return docs.select(key, text).mapInArrow(run, f"k {kind}, digest binary, size long, samples binary")
+
+
+def banded(reps: DataFrame) -> DataFrame:
+    """key, rep for each band of each sampled text; a key's last six bits are its band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(len(BANDS), dtype=U64)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SAMPLES).astype(U64)
+                h = np.broadcast_to(number + U64(1), (len(s), len(BANDS)))
+                for r in range(BANDS.shape[1]):
+                    h = mix(h * U64(0x9E3779B97F4A7C15) + s[:, BANDS[:, r]])
+                h = h << U64(6) | number
+                reps_of = np.repeat(part.column(0).to_numpy(), len(BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(reps_of)], ["key", "rep"])
+
+    return reps.where("samples is not null").select("rep", "samples").mapInArrow(run, "key long, rep long")
+
+
+def buckets(scratch: common.Scratch, reps: DataFrame) -> DataFrame:
+    """key, rep, lead of the buckets with two members at least; the member that meets most others leads."""
+    band = banded(reps)
+    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.table(band.join(shared, "key"), "neardup-members")
+    met = scratch.table(members.groupBy("rep").agg(F.sum("n").alias("met")), "neardup-met")
+    lead = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("lead"))).alias("m")).select("key", (-F.col("m.lead")).alias("lead"))
+    return scratch.table(members.join(lead, "key"), "neardup-buckets")
+
 
+def only(docs: DataFrame, key: str, ids: DataFrame, keep: bool) -> DataFrame:
+    """Rows of ``docs`` whose key is (not) among ``ids`` (a written table with the same column)."""
+    short = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if short else ids, key, "left_semi" if keep else "left_anti")
 
-def verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """a, b, d: the weighted Jaccard distance of each pair; texts (rep, text) has a row per member."""
+
+def compared(cells: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """a, b: links that join two components of a cell.
+
+    ``cells`` has cell, rep, comp, side (0 and 1 are compared with each other, 2 also among themselves), lead (its
+    pairs are known) and band (pairs that share an earlier one are left to it; -1: none is).
+    """
+    masks = [np.packbits(np.isin(np.arange(SAMPLES), b)).view(U64)[0] for b in BANDS]
+    names = ["cell", "rep", "comp", "side", "lead", "band", "samples", "text"]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables of one cell each; rows come sorted by cell."""
+        open_: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if open_ and open_[0].column(0)[0].as_py() != cell[lo]:
+                    yield pa.Table.from_batches(open_)
+                    open_ = []
+                open_.append(b.slice(lo, hi - lo))
+        if open_:
+            yield pa.Table.from_batches(open_)
+
+    def candidates(s: np.ndarray, side: np.ndarray, comp: np.ndarray, lead: np.ndarray, band: int) -> list[tuple[int, int]]:
+        """Pairs of places worth measuring, best agreement first."""
+        found = []
+        for i in range(len(s)):
+            to = np.flatnonzero(((side != side[i]) | (side == 2)) & (comp != comp[i]))
+            to = to[to > i]
+            if band >= 0:
+                to = to[~lead[to]] if not lead[i] else to[:0]
+            same = s[to] == s[i]
+            n = np.count_nonzero(same, axis=1)
+            good = n >= AGREE
+            if not good.any():
+                continue
+            to, n, same = to[good], n[good], same[good]
+            if band > 0:
+                bits = np.packbits(same, axis=1).view(U64).ravel()
+                late = np.zeros(len(bits), bool)
+                for m in masks[:band]:
+                    late |= bits & m == m
+                to, n = to[~late], n[~late]
+            found.append(np.stack([n, np.full(len(to), i), to]))
+        if not found:
+            return []
+        all_ = np.concatenate(found, axis=1)
+        return all_[1:, np.argsort(-all_[0], kind="stable")].T.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, held, size = shared.value, OrderedDict(), 0
@@ -223,37 +319,86 @@ def verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
                 size -= len(held.popitem(last=False)[1][0])
             return made
 
-        for batch in batches:
-            ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"))
-            out = [1 - similarity(of(a, t), of(b, u)) for a, b, t, u in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "d"])
-
-    one = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    both = one.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, d double")
-
-
-def components(links: DataFrame, name: str = "neardup-labels") -> DataFrame:
+        links: list[tuple[int, int]] = []
+        for g in groups(batches):
+            rep, comp, side, lead = (g.column(c).to_numpy() for c in ("rep", "comp", "side", "lead"))
+            s = np.frombuffer(b"".join(g.column("samples").to_pylist()), np.int32).reshape(-1, SAMPLES)
+            text, up = g.column("text"), {}
+
+            def root(c: int) -> int:
+                while up.get(c, c) != c:
+                    c = up[c]
+                return c
+
+            for i, j in candidates(s, side, comp, lead, g.column("band")[0].as_py()):
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y and similarity(of(int(rep[i]), text[i]), of(int(rep[j]), text[j])) >= THRESHOLD:
+                    up[max(x, y)] = min(x, y)
+                    links.append((int(rep[i]), int(rep[j])))
+            if len(links) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+                links = []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    rows = cells.join(texts, "rep").select(names)
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
+def blocks(n: str, size: str) -> Column:
+    """Parts that n members with so many bytes are cut into."""
+    return F.greatest(F.ceil(F.col(n) / CELL_ROWS), F.ceil(F.col(size) / CELL_BYTES), F.lit(1)).cast("int")
+
+
+def part_of(n: str) -> Column:
+    """A member's part out of n."""
+    return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+
+def stars(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Cells of each leader with the members that it meets."""
+    met = members.where("rep <> lead").select("lead", "rep").distinct().join(texts.select("rep", "size"), "rep")
+    parts = met.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).select("lead", blocks("n", "size").alias("parts"))
+    led = met.join(parts, "lead").select("lead", "rep", F.lit(1).alias("side"), part_of("parts").alias("part"))
+    leads = parts.select("lead", F.col("lead").alias("rep"), F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return led.unionAll(leads).select(F.xxhash64("lead", "part").alias("cell"), "rep", F.col("rep").alias("comp"), "side", F.lit(False).alias("lead"), F.lit(-1).alias("band"))
+
+
+def borders(scratch: common.Scratch, members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Cells of the buckets that hold several components."""
+    own = members.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "lead", F.coalesce("label", "rep").alias("comp"))
+    own = scratch.table(own, "neardup-components")
+    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    own = scratch.table(own.join(mixed, "key").join(texts.select("rep", "size"), "rep"), "neardup-open")
+    of = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    top = of.groupBy("key").agg(F.max(F.struct("n", "comp", "size")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    top = top.select("key", F.col("m.comp").alias("main"), (blocks("n", "size") == 1).alias("whole"), F.struct(F.col("m.n").alias("n"), F.col("m.size").alias("size")).alias("i"), F.struct((F.col("n") - F.col("m.n")).alias("n"), (F.col("size") - F.col("m.size")).alias("size")).alias("o"))
+    top = top.select("key", "main", "whole", blocks("i.n", "i.size").alias("inner"), blocks("o.n", "o.size").alias("outer"))
+    rows = own.join(top, "key").withColumn("is_main", F.col("comp") == F.col("main"))
+    k = F.when(F.col("is_main"), part_of("inner")).otherwise(part_of("outer"))
+    rows = rows.withColumn("k", k)
+    others = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: F.struct(F.least("k", j).alias("x"), F.greatest("k", j).alias("y"), F.when(j == F.col("k"), 2).when(j > F.col("k"), 0).otherwise(1).alias("side")))
+    mains = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda j: F.struct(F.col("k").alias("x"), (-1 - j).alias("y"), F.lit(0).alias("side")))
+    to = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"))))
+    to = to.when(F.col("is_main"), F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda i: F.struct(i.alias("x"), (-1 - F.col("k")).alias("y"), F.lit(1).alias("side"))))
+    rows = rows.withColumn("to", F.explode(to.otherwise(F.concat(others, mains))))
+    return rows.select(F.xxhash64("key", "to.x", "to.y").alias("cell"), "rep", "comp", F.col("to.side").alias("side"), (F.col("rep") == F.col("lead")).alias("lead"), F.col("key").bitwiseAND(63).cast("int").alias("band"))
+
+
+def components(scratch: common.Scratch, links: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, for every node of ``links`` (a, b)."""
-    spark = links.sparkSession
-    edges = common.as_table(spark, links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "neardup-edges")
-    labels = common.as_table(spark, edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), name)
+    edges = scratch.table(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neardup-edges")
+    labels = scratch.table(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "neardup-labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = common.as_table(spark, new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), name)
+        new = scratch.table(new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "neardup-labels")
         if new.where("label <> was").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
-def crowded(band: DataFrame) -> DataFrame:
-    """rep, key of buckets with two members at least, with their size n and smallest member."""
-    of = band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    return band.join(of, "key").select("rep", "key", "n", "lead")
-
-
 def single(docs: DataFrame, key: str) -> bool:
     """Whether every row has a whole number of its own as key."""
     if docs.schema[key].dataType.simpleString() not in {"tinyint", "smallint", "int", "bigint"}:
@@ -261,97 +406,53 @@ def single(docs: DataFrame, key: str) -> bool:
     return docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty()
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(scratch: common.Scratch, docs: DataFrame) -> DataFrame:
     """The rows, written with a number of their own: _row."""
-    return common.as_table(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-numbered")
+    return scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-numbered")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id (smallest id of its class), links (verified links of its text to other texts), for every row."""
+    """key, class_id (smallest id of its class), for every row."""
     if single(docs, key):
         return grouped(docs, key, text)
-    rows = numbered(docs.select(key, text))
-    of = common.as_table(docs.sparkSession, rows.select("_row", key).join(grouped(rows, "_row", text), "_row"), "neardup-of")
-    least = of.groupBy("class_id").agg(F.min(key).cast("long").alias("least"))
-    return of.join(least, "class_id").select(key, F.col("least").alias("class_id"), "links")
+    spark = docs.sparkSession
+    with common.Scratch(spark) as scratch:
+        rows = numbered(scratch, docs.select(key, text))
+        of = scratch.table(rows.select("_row", key).join(grouped(rows, "_row", text), "_row"), "neardup-of")
+        least = of.groupBy("class_id").agg(F.min(key).alias("least"))
+        return common.as_table(spark, of.join(least, "class_id").select(key, F.col("least").alias("class_id")), "neardup-classes")
 
 
 def grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``classes`` of rows with a number each."""
+    """``classes`` of rows with a number each.  Its own tables are gone when it returns, but for the result."""
     spark = docs.sparkSession
-    far = 1 - THRESHOLD
-    shared = spark.sparkContext.broadcast(frequencies(docs, text))  # 4 MB
-    table = common.as_table(spark, sketch(docs, shared, key, text), "neardup-sketches")
-    # one representative per distinct text
-    reps = table.groupBy("digest").agg(F.min("k").cast("long").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
-    reps = common.as_table(spark, reps, "neardup-reps")
-    band = reps.select("rep", F.explode("bands").alias("key"))
-    members = common.as_table(spark, crowded(band), "neardup-buckets")
-    one = docs.select(F.col(key).alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
-    texts = common.as_table(spark, one.join(members.select("rep").distinct(), "rep", "left_semi"), "neardup-texts")
-    sample = reps.select("rep", "samples")
-
-    def measure(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """a, b, d of the pairs (a, b, least agreeing samples) that are worth it and not known."""
-        pairs = pairs.groupBy("a", "b").agg(F.min("least").alias("least"))
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        both = pairs.join(sample.select(F.col("rep").alias("a"), F.col("samples").alias("sa")), "a").join(sample.select(F.col("rep").alias("b"), F.col("samples").alias("sb")), "b")
-        worth = both.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z)) >= F.col("least")).select("a", "b")
-        return common.as_table(spark, verify(common.as_table(spark, worth, "neardup-worth"), texts, shared), "neardup-pairs")
-
-    known: DataFrame | None = None
-    open_ = members
-    leaders = 1
-    while not open_.isEmpty():
-        small, large = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
-        pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b", F.lit(36).alias("least"))
-        # the smallest member leads and, in later rounds, others by hash: about `leaders` of them
-        leads = large.where((F.col("rep") == F.col("lead")) | (F.lit(leaders > 1) & (F.pmod(F.xxhash64("rep", "key"), F.greatest(F.floor(F.col("n") / leaders), F.lit(1))) == 0)))
-        leads = leads.select("key", F.col("rep").alias("l"))
-        star = large.select("key", "n", F.col("rep").alias("b")).join(leads, "key").where("b <> l")
-        star = star.withColumn("lo", F.least("b", "l")).withColumn("hi", F.greatest("b", "l"))
-        # where all members lead, no margin is needed
-        found = measure(pairs.unionAll(star.select("lo", "hi", F.when(F.col("n") < 2 * leaders, 36).otherwise(24))), known)
-        known = found if known is None else known.unionAll(found)
-        told = common.as_table(spark, star.join(known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "d"), ["lo", "hi"], "left").withColumn("d", F.coalesce("d", F.lit(1.0))), "neardup-told")
-        best = told.groupBy("key", "b").agg(F.min(F.struct("d", "l")).alias("m")).select("key", "b", F.col("m.d").alias("best"), F.col("m.l").alias("own"))
-        best = common.as_table(spark, best, "neardup-best")
-        rest = common.as_table(spark, told.join(best.where(F.col("best") > far).select("key", "b", "best"), ["key", "b"]), "neardup-rest")
-        if leaders == 1 and rest.isEmpty():
-            break
-        # across the border: members that their nearest leader settles, within the margin of one that it does not; one
-        # that another leader settles counts too, unless a leader that both know links the two already
-        lead = leads.select("key", F.col("l").alias("b"))
-        top = told.where(F.col("d") <= far).join(lead, ["key", "b"], "left_semi").groupBy("key", F.col("b").alias("own")).agg(F.least("own", F.min("l")).alias("top"))
-        settled = best.where(F.col("best") <= far).join(lead, ["key", "b"], "left_anti").join(top, ["key", "own"], "left").withColumn("top", F.coalesce("top", "own"))
-        inside = settled.select("key", F.col("own").alias("l"), F.col("b").alias("x"), F.col("best").alias("dx"), F.col("top").alias("tx"))
-        border = told.where((F.col("d") > far) & (F.col("d") <= 2 * far)).join(lead, ["key", "b"], "left_anti").join(settled.select("key", "b", "own", "top"), ["key", "b"], "left")
-        border = border.select("key", "l", F.col("b").alias("y"), F.col("d").alias("dy"), "own", F.col("top").alias("ty"))
-        apart = F.col("own").isNull() | ((F.col("l") < F.col("own")) & (F.col("tx") != F.col("ty")))
-        cross = border.join(inside, ["key", "l"]).where((F.col("dy") - F.col("dx") <= far) & apart)
-        more = measure(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(36).alias("least")), known)
-        known = known.unionAll(more)
-        # the others stay in their bucket until a leader settles or compares them
-        open_ = common.as_table(spark, crowded(rest.join(lead, ["key", "b"], "left_anti").select(F.col("b").alias("rep"), "key").distinct()), "neardup-buckets")
-        leaders = max(16, 4 * leaders)
-
-    if known is None:
-        known = spark.createDataFrame([], "a long, b long, d double")
-    links = common.as_table(spark, known.where(F.col("d") <= far).select("a", "b").distinct(), "neardup-links")
-    label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    of = reps.select("digest", "rep").join(label.join(degree, "node"), F.col("rep") == F.col("node"), "left")
-    of = of.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return table.select(F.col("k").alias(key), "digest").join(of, "digest").drop("digest")
+    with common.Scratch(spark) as scratch:
+        shared = spark.sparkContext.broadcast(frequencies(docs, text))  # 4 MB
+        table = scratch.table(sketch(docs, shared, key, text), "neardup-sketches")
+        # one representative per distinct text
+        reps = table.groupBy("digest").agg(F.min("k").cast("long").alias("rep"), F.first("samples").alias("samples"), F.first("size").alias("size"))
+        reps = scratch.table(reps, "neardup-reps")
+        members = buckets(scratch, reps)
+        met = scratch.table(members.select("rep").distinct(), "neardup-met")
+        one = only(docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text")), "rep", met, True)
+        texts = scratch.table(one.join(reps.select("rep", "size", "samples").join(met, "rep", "left_semi"), "rep"), "neardup-texts")
+        links = scratch.table(compared(stars(members, texts), texts, shared), "neardup-links")
+        cells = scratch.table(borders(scratch, members, components(scratch, links), texts), "neardup-cells")
+        more = scratch.table(compared(cells, texts, shared), "neardup-links")
+        label = components(scratch, links.unionAll(more).distinct())
+        of = reps.select("digest", "rep").join(label, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
+        out = common.as_table(spark, table.select(F.col("k").alias(key), "digest").join(of, "digest").drop("digest"), "neardup-classes")
+        shared.unpersist()
+        return out
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class: that of its smallest id.  A row with a null id stays if its class has no other."""
+    spark = docs.sparkSession
     if single(docs, key):
-        found = grouped(docs, key, text)
-        return docs.join(found.where(F.col("class_id") == F.col(key)).select(key), key, "left_semi")
-    rows = numbered(docs)
+        copies = grouped(docs, key, text).where(F.col("class_id") != F.col(key)).select(key)
+        return only(docs, key, common.as_table(spark, copies, "neardup-copies"), False)
+    rows = common.as_table(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-numbered")
     of = rows.select("_row", key).join(grouped(rows, "_row", text), "_row")
     first = of.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "_row")).alias("m"))
     return rows.join(first.select("m._row"), "_row", "left_semi").drop("_row")
