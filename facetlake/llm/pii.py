@@ -217,11 +217,17 @@ def redact(text: Column, spans: str = "spans") -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """``docs`` with its spans redacted; a column n_chars follows the new text."""
-    rows = detect(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_text", **limits)
-    new = F.when(F.size("spans") > 0, redact(F.col(f"_row.{text}"))).otherwise(F.col(f"_row.{text}"))
-    size = lambda c: F.length(text).cast(docs.schema[c].dataType).alias(c)
+    """``docs`` with its spans redacted; a column n_chars follows the new text.
+
+    Texts are scanned once for the trees and again as the result is read, so they are not written in between.
+    """
+    with common.Scratch(docs.sparkSession) as scratch:
+        model = fit(scratch.table(scan(docs.select(F.col(text).alias("_text")), "_text").select("cands"), "pii-candidates"), **limits)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    rows = select(scan(own, "_text"), model)
+    new = F.when(F.size("spans") > 0, redact(F.col(f"_row.`{text}`"))).otherwise(F.col(f"_row.`{text}`"))
     out = rows.select(*[new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    size = lambda c: F.length(text).cast(docs.schema[c].dataType).alias(c)
     return out.select(*[size(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

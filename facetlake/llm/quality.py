@@ -57,7 +57,11 @@ def with_measures(df: DataFrame) -> DataFrame:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed exactly from log terms."""
+    """P(X <= k) for X ~ Binomial(n, p), summed exactly from log terms; 1 where k is the mean at least (over 1/2 in truth).
+
+    Terms are taken in blocks, so memory grows with the root of k only.
+    """
+    block = 4096
     odds = F.log(F.lit(p)) - F.log(F.lit(1 - p))
     start = F.struct((n * F.log(F.lit(1 - p))).alias("t"), F.exp(n * F.log(F.lit(1 - p))).alias("c"))
 
@@ -65,8 +69,10 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
         t = s["t"] + F.log((n - j + 1) / j) + odds
         return F.struct(t.alias("t"), (s["c"] + F.exp(t)).alias("c"))
 
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, start, add, lambda s: s["c"])
+    one, size = F.lit(1).cast("long"), F.lit(block).cast("long")
+    inner = lambda s, i: F.aggregate(F.sequence(i * size + one, F.least((i + one) * size, k)), s, add)
+    starts = F.when(k > 0, F.sequence(F.lit(0).cast("long"), F.floor((k - one) / size))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(starts, start, inner, lambda s: s["c"]))
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -93,8 +99,7 @@ def stratum_key(stratum: str) -> Column:
 
 
 def decide(scored: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Adds ``kept`` and ``failed`` (the measures over their cutoff, comma-joined)."""
-    chosen = common.as_table(scored.sparkSession, chosen, "quality-cutoffs")
+    """Adds ``kept`` and ``failed`` (the measures over their cutoff, comma-joined); ``chosen`` is a written table."""
     few = chosen.count() <= BROADCAST_STRATA
     df = scored.withColumn("stratum_key", stratum_key(stratum)).join(F.broadcast(chosen) if few else chosen, "stratum_key", "left").drop("stratum_key")
     over = F.array_compact(F.array(*[F.when(F.col(f"m_{m}") > F.col(f"c_{m}"), F.lit(m)) for m in MEASURES]))
@@ -106,14 +111,22 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """key, stratum, counts, measures, base_failed, failed, kept for every row.  Texts are read once."""
     own = docs.select(F.col(key), F.col(stratum), F.col(text))
     scored = common.as_table(docs.sparkSession, with_measures(counts(own, text)), "quality")
-    return decide(scored, cutoffs(scored, labels, key, stratum, alpha, delta), stratum)
+    chosen = common.as_table(docs.sparkSession, cutoffs(scored, labels, key, stratum, alpha, delta), "quality-cutoffs")
+    return decide(scored, chosen, stratum)
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns.  Texts are read once and not shuffled."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key), F.col(stratum), F.col(text))
-    scored = common.as_table(docs.sparkSession, with_measures(counts(own, text)), "quality")
-    return decide(scored, cutoffs(scored.drop("_row"), labels, key, stratum, alpha, delta), stratum).where("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Texts are neither shuffled nor written: they are measured once for the cutoffs and again as the result is read.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(key).alias("_k"), F.col(stratum).alias("_s"), F.col(text).alias("_t"))
+    with common.Scratch(spark) as scratch:
+        scored = scratch.table(with_measures(counts(own, "_t")).withColumnRenamed("_k", key), "quality")
+        chosen = common.as_table(spark, cutoffs(scored, labels, key, "_s", alpha, delta), "quality-cutoffs")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(stratum).alias("_s"), F.col(text).alias("_t"))
+    return decide(with_measures(counts(rows, "_t")), chosen, "_s").where("kept").select("_row.*")
 
 
 def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
