@@ -1,10 +1,16 @@
 """Lexical retrieval packing: windows filled by the BM25 neighbours of their first document.
 
-Documents are hashed over shards of bounded size.  Each shard builds an inverted index over its own documents
-(terms are token ids, so the statistics of the whole corpus are one vector of the vocabulary's size) and packs
-them: the first unused document is a window's seed, the index returns the unused documents by score, best first,
-and they fill the window; the one that does not fit is cut and its rest seeds the next window.  Documents that
-share no query term follow in shard order, so only a shard's last window is padded.
+Documents are dealt into shards by what they say: four minima of idf-weighted min-wise hashing over their terms make
+a place, and documents are range-partitioned and sorted by it, so that texts which share rare terms lie side by side
+(two texts agree in a minimum with the probability of their idf-weighted Jaccard similarity).  Rows of one place are
+spread by hash, so repeated texts fill many partitions.  Each partition is cut into shards of bounded size in that
+order.  A shard builds an inverted index over its own documents (terms are token ids, so the statistics of the whole
+corpus are one vector of the vocabulary's size) and packs them: the first unused document is a window's seed, all of
+its terms are looked up, the unused documents fill the window by score, best first, and the one that does not fit is
+cut and its rest goes into the next window.  Documents that share no term with the seed follow in shard order.  A
+window goes on from shard to shard, so only a partition's last one is padded.
+
+A seed meets its own shard only: BM25 neighbours that lie elsewhere are not found (README has the measured recall).
 
 Defined results.  Null text: the end id alone.  Null or repeated doc_id: each row is a document of its own.
 An empty table gives no rows.  Other columns are ignored.  Equal scores: the earlier document of the shard.
@@ -17,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,42 +36,46 @@ VOCABULARY = 1 << 16
 class Index:
     """BM25 inverted index of one shard: postings of each term, sorted by term, with their weights."""
 
-    def __init__(self, docs: list[np.ndarray], frequency: np.ndarray, n_docs: int, mean_length: float, query_terms: int):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], frequency: np.ndarray, n_docs: int, mean_length: float):
+        self.n = n = len(docs)
         lens = np.fromiter(map(len, docs), np.int64, n)
         key = np.repeat(np.arange(n, dtype=np.int64), lens) | np.concatenate(docs).astype(np.int64) << 32 if n else np.zeros(0, np.int64)
         key, tf = np.unique(key, return_counts=True)
-        term, self.doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        term, self.doc = key >> 32, key & 0xFFFFFFFF
         idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
         norm = K1 * (1 - B + B * lens / max(mean_length, 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.first = np.searchsorted(term, np.arange(VOCABULARY + 1))
-        # a document's query: its terms of highest weight
-        order = np.lexsort((term, -self.weight, self.doc))
-        at = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.queries = [term[order[a : min(b, a + query_terms)]] for a, b in zip(at[:-1], at[1:])]
-        self.n = n
+        order = np.argsort(self.doc, kind="stable")
+        self.terms = np.split(term[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of each document for the distinct terms of ``seed``."""
+        t = self.terms[seed]
+        lens = self.first[t + 1] - self.first[t]
+        at = np.repeat(self.first[t] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with ``seed``, best first."""
-        terms = self.queries[seed]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms.tolist()]
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """Unused documents that share a term with ``seed``, best first."""
+        scores = self.scores(seed)
         scores[used] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, window, offset) of each piece."""
-    used = np.zeros(len(docs), bool)
-    following, at, room, number = 0, 0, window, 0
-    rest: tuple[int, int] | None = None  # a cut document and where it goes on
-    queue: list[int] = []
-    while True:
-        if rest is None:
+class Packer:
+    """Fills windows shard by shard; the open window goes on in the next shard."""
+
+    def __init__(self, window: int):
+        self.window, self.at, self.number = window, 0, 0
+
+    def pack(self, docs: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, start, length, window, offset) of each piece."""
+        used = np.zeros(len(docs), bool)
+        following = 0
+        queue: list[int] = []
+        while True:
             while queue and used[queue[-1]]:
                 queue.pop()
             if queue:
@@ -76,55 +87,67 @@ def pack_shard(docs: list[np.ndarray], index: Index, window: int) -> Iterator[tu
                     return
                 doc = following
             used[doc] = True
-            rest = (doc, 0)
-        doc, start = rest
-        if at == 0:
-            left = len(docs[doc]) - start
-            queue = index.neighbours(doc, used)[::-1].tolist() if left < window else []
-        length = min(room, len(docs[doc]) - start)
-        yield doc, start, length, number, at
-        at, room = at + length, room - length
-        rest = (doc, start + length) if start + length < len(docs[doc]) else None
-        if room == 0:
-            at, room, number = 0, window, number + 1
+            start = 0
+            while start < len(docs[doc]):
+                left = len(docs[doc]) - start
+                if self.at == 0:  # this document, or its rest, opens a window; one that fills it needs no neighbours
+                    queue = index.neighbours(doc, used)[::-1].tolist() if left < self.window else []
+                length = min(self.window - self.at, left)
+                yield doc, start, length, self.number, self.at
+                start, self.at = start + length, self.at + length
+                if self.at == self.window:
+                    self.at, self.number = 0, self.number + 1
+
+
+def places(ids: list[np.ndarray], ranks: np.ndarray) -> np.ndarray:
+    """Place of each document: the least rank of its terms under each of four orders, as one number."""
+    flat, lens = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+    first = np.cumsum(lens) - lens
+    out = np.zeros(len(ids), np.uint64)
+    for r in ranks:
+        out = out << np.uint64(16) | np.minimum.reduceat(r[flat], first).astype(np.uint64)
+    return (out >> np.uint64(1)).view(np.int64)
+
+
+def orders(frequency: np.ndarray, n_docs: int) -> np.ndarray:
+    """Four orders of all terms, by exponential draws divided by idf: ranks of 16 bits."""
+    idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
+    draws = np.random.default_rng(5).exponential(size=(4, VOCABULARY)) / idf
+    return np.argsort(np.argsort(draws, axis=1), axis=1).astype(np.uint16)
 
 
 def pack(
     docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 1, window: int = 2048,
-    shard_docs: int = 1024, shard_bytes: int = 32 << 20, query_terms: int = 12,
+    shard_docs: int = 512, shard_bytes: int = 16 << 20, task_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Pieces of sequences: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint16)."""
     spark = docs.sparkSession
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
-    shards = max(1, -(-size["n"] // shard_docs), -(-size["b"] // shard_bytes))
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
         enc, end = encoder(tokenizer), np.array([end_id], np.uint16)
-        names = ["shard", "k", "ids"]
+        names = ["k", "ids", "statistics"]
         frequency, tokens, n = np.zeros(VOCABULARY, np.int64), 0, 0
         key_type, seen = None, np.zeros(VOCABULARY, bool)
         for batch in batches:
-            key_type = batch.column(1).type
+            key_type = batch.column(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [np.concatenate([x, end]) for x in enc.encode([t or "" for t in part.column(2).to_pylist()])]
-                lens = np.fromiter(map(len, ids), np.int64, len(ids))
+                ids = [np.concatenate([x, end]) for x in enc.encode(part.column(1))]
                 for x in ids:
                     seen[x] = True
                     own = np.flatnonzero(seen)
                     frequency[own] += 1
                     seen[own] = False
-                tokens, n = tokens + int(lens.sum()), n + len(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], names)
+                tokens, n = tokens + sum(map(len, ids)), n + len(ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if n:  # this task's share of the corpus statistics
             blob = np.concatenate([frequency, [tokens, n]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.nulls(1, key_type), pa.array([blob], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)
 
-    sharded = docs.select(F.pmod(F.xxhash64(key, text), F.lit(shards)).alias("shard"), F.col(key).alias("k"), F.col(text).alias("t"))
-    table = common.as_table(spark, sharded.mapInArrow(encode, f"shard long, k {kind}, ids binary"), "packing-ids")
+    table = common.as_table(spark, docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(encode, f"k {kind}, ids binary, statistics binary"), "packing-ids")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY + 2, np.int64)
@@ -134,31 +157,59 @@ def pack(
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
 
     # one vector of fixed size from every task, added up in each partition and then here
-    partial = table.where("shard < 0").select(F.col("ids").alias("blob")).mapInArrow(add, "blob binary")
+    partial = table.where("statistics is not null").select(F.col("statistics").alias("blob")).mapInArrow(add, "blob binary")
     statistics = np.zeros(VOCABULARY + 2, np.int64)
     for row in partial.toLocalIterator():
         statistics += np.frombuffer(row["blob"], np.int64)
     frequency, tokens, n_docs = statistics[:VOCABULARY], int(statistics[-2]), int(statistics[-1])
-    shared = spark.sparkContext.broadcast(frequency)  # 512 KB whatever the corpus
-
-    def shard(part: pa.Table) -> pa.Table:
-        number = part.column("shard")[0].as_py()
-        ids = [np.frombuffer(x, np.uint16) for x in part.column("ids").to_pylist()]
-        keys = part.column("k").combine_chunks()
-        # arrival order depends on the shuffle; content does not
-        order = sorted(range(len(ids)), key=lambda i: ((k := keys[i].as_py()) is not None, k if k is not None else 0, ids[i].tobytes()))
-        ids, keys = [ids[i] for i in order], keys.take(pa.array(order, pa.int64()))
-        index = Index(ids, shared.value, n_docs, tokens / max(n_docs, 1), query_terms)
-        rows = list(pack_shard(ids, index, window))
-        doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*rows))
-        pieces = [ids[d][s : s + m] for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist())]
-        return pa.table({
-            "k": keys.take(pa.array(doc)), "start": start, "length": length, "ids_crc32": [zlib.crc32(p.astype("<u4").tobytes()) for p in pieces],
-            "doc_tokens": np.fromiter(map(len, ids), np.int64, len(ids))[doc], "sequence_id": seq * shards + number, "offset": offset, "ids": pa.array([p.tobytes() for p in pieces], pa.binary()),
-        })
+    shared = spark.sparkContext.broadcast((frequency, orders(frequency, n_docs)))  # 1 MB whatever the corpus
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value[1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = places([np.frombuffer(x, np.uint16) for x in part.column(1).to_pylist()], ranks)
+                yield pa.RecordBatch.from_arrays([pa.array(found), part.column(0), part.column(1)], ["place", "k", "ids"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        packer, base = Packer(window), TaskContext.get().partitionId() << 40
+
+        def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            part = pa.Table.from_batches(parts).combine_chunks()
+            ids = [np.frombuffer(x, np.uint16) for x in part.column("ids").to_pylist()]
+            rows = packer.pack(ids, Index(ids, shared.value[0], n_docs, tokens / max(n_docs, 1)))
+            doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*rows))
+            pieces = [ids[d][s : s + m] for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist())]
+            out = {
+                "k": part.column("k").combine_chunks().take(pa.array(doc)), "start": start, "length": length, "ids_crc32": [zlib.crc32(p.astype("<u4").tobytes()) for p in pieces],
+                "doc_tokens": np.fromiter(map(len, ids), np.int64, len(ids))[doc], "sequence_id": base + seq, "offset": offset, "ids": pa.array([p.tobytes() for p in pieces], pa.binary()),
+            }
+            return pa.record_batch({c: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for c, v in out.items()})
+
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("ids")).to_numpy()
+            lo = 0
+            for n, own in enumerate(sizes.tolist()):
+                if rows and (rows == shard_docs or size + own > shard_bytes):
+                    yield shard([*held, batch.slice(lo, n - lo)])
+                    held, rows, size, lo = [], 0, 0, n
+                rows, size = rows + 1, size + own
+            if lo < batch.num_rows:
+                held.append(batch.slice(lo))
+        if rows:
+            yield shard(held)
+
+    # equal places (copies) are spread by hash
+    placed = table.where("ids is not null").select("k", "ids").mapInArrow(place, f"place long, k {kind}, ids binary")
+    tasks = max(1, -(-2 * tokens // task_bytes))
+    placed = placed.withColumn("tie", F.xxhash64("k", "ids")).repartitionByRange(tasks, "place", "tie").sortWithinPartitions("place", "tie", "k").drop("tie")
     schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return table.where("shard >= 0").groupBy("shard").applyInArrow(shard, schema).withColumnRenamed("k", key)
+    return placed.mapInArrow(fill, schema).withColumnRenamed("k", key)
 
 
 def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

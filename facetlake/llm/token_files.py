@@ -166,7 +166,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
             while batch is not None:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
+                    ids = enc.encode(part.column(1))
                     yield part.column(0).to_pylist(), [np.concatenate([x, end]) for x in ids]
                 batch = next(batches, None)
 

@@ -2,19 +2,25 @@
 
 Pre-tokens never cross the chunk borders used here, so a text's ids are its chunks' ids in a row.  Each
 distinct chunk goes through the library once and is then remembered, up to ``CACHE`` chunks per Python worker.
+Arrow splits a batch of texts and numbers its distinct chunks, so only these meet the dictionary.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE = 900_000
-#: White space to Python that a Unicode-aware pattern of the library does not take as such.
-ODD = re.compile("[\x1c-\x1f]")
+#: Bytes of text that are gathered at once.
+BATCH_BYTES = 1 << 22
+#: Texts that have such go through the library whole: white space other than single spaces and one or two line feeds,
+#: and the mark that chunks at the start of a text carry.
+ODD = r"[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|  | \n|\n |\n\n\n|\n\n\z| \z"
+START = "\x01"
 TAIL = ".,;:!?|*#$%&\""
 _open: dict = {}
 
@@ -26,6 +32,19 @@ def encoder(path: str) -> "Encoder":
     return _open[path]
 
 
+class Known(dict):
+    """Number of each chunk; a new chunk gets the next one and is noted in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        self[chunk] = n = len(self)
+        return n
+
+
 class Encoder:
     def __init__(self, path: str):
         import json
@@ -40,41 +59,86 @@ class Encoder:
         self.specials = [x["content"] for x in spec["added_tokens"]]
         #: A byte-level vocabulary keeps spaces; the other kind drops them.
         self.spaced = spec["normalizer"] is None
-        self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall if self.spaced else str.split
-        self.known: dict[str, bytes] = {}
+        self.odd = "|".join([ODD, *(re.escape(x) for x in self.specials)])
+        self.known = Known()
+        #: Ids of all known chunks in a row, and where each chunk's begin.
+        self.ids, self.first = np.zeros(0, np.uint16), np.zeros(1, np.int64)
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.covers = np.zeros(1 << 16, np.int64)
         for token, i in vocab.items():
             self.covers[i] = len(token.removesuffix("</w>") if not self.spaced and len(token) > 4 else token)
 
-    def plain(self, text: str) -> bool:
-        return not ODD.search(text) and not any(s in text for s in self.specials)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids as uint16 arrays, the same as the library's encode(text, add_special_tokens=False)."""
-        known, split = self.known, [self.chunks(t) if self.plain(t) else None for t in texts]
-        new = {c for s in split if s is not None for c in s if c not in known}
-        # punctuation after a letter or digit starts a pre-token, so "word," is "word" and ","
-        cores = {c: core for c in new if (core := c.rstrip(TAIL)) != c and core[-1:].isalnum() and len(core[-1].lower()) == 1}
-        need = (new - cores.keys()) | set(cores.values()) | {c[len(core) :] for c, core in cores.items()}
-        want = [c for c in need if c not in known]
-        learnt: list[str] = []
-        for at in range(0, len(want), 4096):
-            got = self.learn(want[at : at + 4096])
-            known.update(got)
-            learnt += got
-        known.update({c: known[core] + known[c[len(core) :]] for c, core in cores.items()})
-        out = []
-        for text, s in zip(texts, split):
-            if s is None:
-                out.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint16))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint16))
-        if len(known) > CACHE:  # frequent chunks come first, so a full cache keeps the useful ones
-            for c in [*learnt, *cores]:
-                known.pop(c, None)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        for n in np.flatnonzero(odd).tolist():
+            out[n] = np.array(self.lib.encode(texts[n].as_py(), add_special_tokens=False).ids, np.uint16)
+        at = np.flatnonzero(~odd)
+        if len(at):
+            plain = texts.take(pa.array(at))
+            size = np.cumsum(pc.binary_length(plain).to_numpy()) // BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                for n, ids in zip(at[lo:hi].tolist(), self.gather(plain.slice(lo, hi - lo))):
+                    out[n] = ids
         return out
 
+    def gather(self, texts: pa.Array) -> list[np.ndarray]:
+        known, base = self.known, len(self.known)
+        known.fresh = []
+        if self.spaced:  # a chunk is a word after a space, one after a line feed, or a text's first one
+            texts = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), "")
+        else:
+            texts = pc.replace_substring(texts, "\n", " ")
+        words = pc.split_pattern(texts, " ")
+        chunks = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py()).dictionary_encode()
+        number = np.fromiter(map(known.__getitem__, chunks.dictionary.to_pylist()), np.int64, len(chunks.dictionary))
+        if known.fresh:
+            self.extend(base)
+        codes = number[chunks.indices.to_numpy()]
+        lens = self.first[codes + 1] - self.first[codes]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        flat = self.ids[np.repeat(self.first[codes] - ends[:-1], lens) + np.arange(ends[-1])]
+        of = words.offsets.to_numpy()
+        cuts = ends[of - of[0]].tolist()
+        if len(known) > CACHE:  # frequent chunks come first, so a full cache keeps the useful ones
+            for c in known.fresh:
+                del known[c]
+            self.first = self.first[: base + 1]
+            self.ids = self.ids[: self.first[-1]]
+        return [flat[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+    def text_of(self, chunk: str) -> str:
+        if not self.spaced or chunk[:1] == "\n":
+            return chunk
+        return chunk[1:] if chunk[:1] == START else " " + chunk
+
+    def extend(self, base: int) -> None:
+        """Learn the chunks that are numbered from ``base`` on."""
+        known, fresh = self.known, self.known.fresh
+        # punctuation after a letter or digit starts a pre-token, so "word," is "word" and ","
+        halves: dict[str, tuple[int, int]] = {}
+        for c in fresh:  # grows by new halves
+            core = c.rstrip(TAIL)
+            if core != c and core[-1:].isalnum() and len(core[-1].lower()) == 1:
+                rest = c[len(core) :]
+                halves[c] = known[core], known[START + rest if self.spaced else rest]
+        want = [c for c in fresh if c not in halves]
+        got: dict[str, bytes] = {}
+        for k in range(0, len(want), 4096):
+            part = want[k : k + 4096]
+            own = self.learn([self.text_of(c) for c in part])
+            got |= {c: own[self.text_of(c)] for c in part}
+
+        def ids_of(n: int) -> bytes:
+            return got[fresh[n - base]] if n >= base else self.ids[self.first[n] : self.first[n + 1]].tobytes()
+
+        raw = [got[c] if c in got else b"".join(map(ids_of, halves[c])) for c in fresh]
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), np.uint16)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(r) // 2 for r in raw])])
+
     def width(self, chunk: str) -> int:
         """Bytes that a chunk's tokens cover."""
         if chunk.isascii():
@@ -83,7 +147,7 @@ class Encoder:
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Encode many chunks in one call: side by side they are a text whose pre-tokens end where the chunks do."""
-        rows = [c for c in new if c[0] == " " and c.strip()] if self.spaced else new
+        rows = [c for c in new if c[:1] == " "] if self.spaced else [c for c in new if c]
         got: dict[str, bytes] = {}
         if rows:
             ids = np.array(self.lib.encode_batch_fast([("" if self.spaced else " ").join(rows)], add_special_tokens=False)[0].ids, np.uint16)
@@ -100,11 +164,3 @@ class Encoder:
             if c not in got:
                 got[c] = np.array(self.lib.encode(c, add_special_tokens=False).ids, np.uint16).tobytes()
         return got
-
-
-def flat(arrays: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(arrays) if arrays else np.zeros(0, np.uint16)
-
-
-def distinct(rows: list[list[str]]) -> set[str]:
-    return set(chain.from_iterable(rows))
