@@ -120,39 +120,50 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-INV = np.float32(1 / 65536)
+
+
+def gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
+    """Gamma(2, 1) at the middles of n equal shares, by bisection of 1 - (1 + x) exp(-x)."""
+    u = (np.arange(n) + 0.5) / n
+    lo, hi = np.zeros(n), np.full(n, 40.0)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        low = 1 - (1 + mid) * np.exp(-mid) < u
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    return lo
+
+
+_gamma = gamma_quantiles()
+GAMMA, LOG_GAMMA = _gamma.astype(np.float32), np.log(_gamma).astype(np.float32)
 
 
 def samples(keys: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Improved consistent weighted samples of many sets, keys[cuts[i]:cuts[i + 1]] being set i.
 
     Entry (i, k) is the smallest ln a over set i: a shingle with the same quantised weight gives the same value, so
-    equal entries stand for equal samples.
+    equal entries stand for equal samples.  Its draws r and c (Gamma) and beta (uniform) are 16 bits each of one hash.
     """
     out = np.empty((len(cuts) - 1, len(SEEDS)), np.float32)
     logw = np.log(weights).astype(np.float32)
     block = min(1 << 15, len(keys))
     a = np.empty(len(keys), np.float32)
     xs, ys = np.empty((2, block), U64)  # buffers of a block, used again and again
-    us, rs, cs, bs = np.empty((4, block), np.float32), *np.empty((3, block), np.float32)
+    rs, cs, bs, ts = np.empty((4, block), np.float32)
     for k, seed in enumerate(SEEDS):
         for at in range(0, len(keys), block):
             own = keys[at : at + block]
             m = len(own)
-            x, y, u, r, c, beta = xs[:m], ys[:m], us[:, :m], rs[:m], cs[:m], bs[:m]
+            x, y, r, c, beta, t = xs[:m], ys[:m], rs[:m], cs[:m], bs[:m], ts[:m]
             np.bitwise_xor(own, seed, out=x)
             x *= U64(0xD6E8FEB86659FD93)
             x ^= np.right_shift(x, U64(32), out=y)
             x *= U64(0xD6E8FEB86659FD93)
             x ^= np.right_shift(x, U64(29), out=y)
-            np.add(x.view(np.uint16).reshape(-1, 4).T, np.float32(0.5), out=u, dtype=np.float32)
-            u *= INV
-            np.negative(np.log(np.multiply(u[0], u[1], out=r), out=r), out=r)  # Gamma(2, 1)
-            np.negative(np.log(np.multiply(u[2], u[3], out=c), out=c), out=c)
-            np.log(c, out=c)
-            x *= U64(0x9E3779B97F4A7C15)
-            np.multiply(np.right_shift(x, U64(40), out=y), np.float32(2**-24), out=beta, dtype=np.float32, casting="unsafe")
-            t = np.divide(logw[at : at + block], r, out=u[0])
+            draws = x.view(np.uint16).reshape(-1, 4)
+            GAMMA.take(draws[:, 0], out=r, mode="clip")
+            LOG_GAMMA.take(draws[:, 1], out=c, mode="clip")
+            np.multiply(draws[:, 2], np.float32(2**-16), out=beta, dtype=np.float32)
+            np.divide(logw[at : at + block], r, out=t)
             t += beta
             np.floor(t, out=t)
             t -= beta
