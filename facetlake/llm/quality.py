@@ -121,12 +121,14 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     Texts are neither shuffled nor written: they are measured once for the cutoffs and again as the result is read.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(key).alias("_k"), F.col(stratum).alias("_s"), F.col(text).alias("_t"))
+    own = docs.select(F.col(key).alias("key_own"), F.col(stratum).alias("stratum_own"), F.col(text).alias("text_own"))
     with common.Scratch(spark) as scratch:
-        scored = scratch.table(with_measures(counts(own, "_t")).withColumnRenamed("_k", key), "quality")
-        chosen = common.as_table(spark, cutoffs(scored, labels, key, "_s", alpha, delta), "quality-cutoffs")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(stratum).alias("_s"), F.col(text).alias("_t"))
-    return decide(with_measures(counts(rows, "_t")), chosen, "_s").where("kept").select("_row.*")
+        scored = scratch.table(with_measures(counts(own, "text_own")).withColumnRenamed("key_own", key), "quality")
+        chosen = common.as_table(spark, cutoffs(scored, labels, key, "stratum_own", alpha, delta), "quality-cutoffs")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(stratum).alias("stratum_own"), F.col(text).alias("text_own"))
+    # numbered, so that the verdict stays above the measures: pushed below, each of its parts would compute them again
+    measured = with_measures(counts(rows, "text_own")).withColumn("number_own", F.monotonically_increasing_id())
+    return decide(measured, chosen, "stratum_own").where("kept and number_own >= 0").select("_row.*")
 
 
 def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
