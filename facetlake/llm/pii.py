@@ -1,10 +1,17 @@
 """Personal data: rule spans that stay, and candidates that gradient-boosted trees add to them.
 
-Loose generators propose overlapping spans.  Those that equal a rule's valid span are positive examples, those
-that touch none are negative ones; trees are boosted on format and context features that leave out what the rules
-themselves test (plus sign, checksum, value ranges).  On a held-out fold, each kind gets the lowest score threshold
-at which the share of wrong spans is at most ``risk`` with exact binomial confidence, corrected for all thresholds
-tested; a kind without one adds nothing.  Added spans never overlap a rule's span or a better added one.
+Loose generators propose overlapping spans.  Trees are boosted on format and context features to tell
+
+* positive examples: rule hits in a form that the rule itself misses (a phone number without its plus sign, a card
+  number with dots, an address with ``[at]``), in the context of the hit, from
+* negative ones: candidates that touch no rule hit of their kind and cannot be of it (checksum, number of digits, parts).
+
+Neither sort may be added.  The candidates that may are those that touch no rule hit and would be valid in the rule's
+form; they carry no label and are not trained on.  On a held-out fold each kind gets the lowest score threshold at
+which at most a share ``risk`` of its negatives passes, with exact binomial confidence 1 - ``delta`` over all kinds and
+thresholds tested; a kind without one adds nothing (about 150 held-out negatives are needed).  So the stated bound is on
+candidates that are certainly wrong, all of which are free ones.  Added spans never overlap a rule's span or a better
+added one.  Addresses of machines have no loose form that could be valid, so that kind adds nothing.
 
 All of it is SQL expressions on one row per document: texts are neither moved nor split, and the fitted trees
 become CASE expressions.  Training uses at most about ``max_examples`` labelled candidates, chosen by hash.
@@ -94,37 +101,58 @@ def features(t: Column, kind: str, x: Column) -> list[Column]:
     return [v.cast("double").alias(n) for n, v in zip(FEATURES, values)]
 
 
+def loosened(kind: str, m: Column) -> Column:
+    """A rule hit in a form that the rule misses; null where there is none."""
+    if kind == "email":
+        return F.regexp_replace(m, "@", " [at] ")
+    if kind == "card":
+        return F.regexp_replace(digits_of(m), "(.{4})(?=.)", "$1.")
+    return F.expr("cast(null as string)") if kind == "ip" else F.substr(m, F.lit(2))
+
+
+def possible(kind: str, m: Column) -> Column:
+    """Whether a loose match would be valid in the rule's form."""
+    if kind == "email":
+        return m.rlike(r"\.[A-Za-z0-9-]++$")
+    return F.lit(False) if kind == "ip" else valid(kind, m)
+
+
+#: What a candidate is to the trees.
+FREE, POSITIVE, NEGATIVE = 0, 1, 2
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``base`` (s, o, e, kind) and ``cands`` (o, s, e, base flag, touch flag, features)."""
+    """``docs`` without its text, with ``base`` (s, o, e) and ``cands`` (o, s, e, sort, touch, features)."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_t", t).withColumn("_has", F.col("_t").rlike("[0-9@]|[(\\[]at[)\\]]")).drop(text)
-    span = "array<struct<s:int,o:int,e:int>>"
-    none = F.array().cast(span)
     T = F.col("_t")
 
-    def base(kind: str) -> Column:
-        o = KINDS.index(kind)
-        return F.transform(F.filter(found(T, RULES[kind]), lambda x: valid(kind, x["m"])), lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["e"].alias("e")))
+    def hits(kind: str) -> Column:
+        return F.transform(F.filter(found(T, RULES[kind]), lambda x: valid(kind, x["m"])), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), x["e"].alias("e"), x["m"].alias("m")))
 
-    df = df.withColumn("base", F.when(F.col("_has"), F.concat(*[base(k) for k in KINDS])).otherwise(none))
+    none = F.array().cast("array<struct<s:int,o:int,e:int,m:string>>")
+    df = df.withColumn("_hits", F.when(F.col("_has"), F.concat(*[hits(k) for k in KINDS])).otherwise(none))
+    df = df.withColumn("base", F.transform("_hits", lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["e"].alias("e"))))
     B = F.col("base")
 
+    def example(kind: str, x: Column, m: Column, sort: Column, touch: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("o"), x["s"].alias("s"), x["e"].alias("e"), sort.alias("sort"), touch.alias("touch"), *features(T, kind, F.struct(x["s"].alias("s"), x["e"].alias("e"), m.alias("m"))))
+
     def cands(kind: str) -> Column:
         o = KINDS.index(kind)
-        least = {"email": F.lit(0), "ip": F.lit(0), "card": F.lit(12), "phone": F.lit(7)}[kind]
-        some = F.filter(found(T, LOOSE[kind]), lambda x: F.length(digits_of(x["m"])) >= least)
-
-        def one(x: Column) -> Column:
-            same = F.exists(B, lambda b: (b["o"] == o) & (b["s"] == x["s"]) & (b["e"] == x["e"]))
-            touch = F.exists(B, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-            own = F.exists(B, lambda b: (b["o"] == o) & (b["s"] < x["e"]) & (x["s"] < b["e"]))
-            return F.struct(F.lit(o).alias("o"), x["s"].alias("s"), x["e"].alias("e"), same.alias("same"), touch.alias("touch"), own.alias("own"), *features(T, kind, x))
-
-        return F.transform(some, one)
-
-    kind = "array<struct<o:int,s:int,e:int,same:boolean,touch:boolean,own:boolean," + ",".join(f"{n}:double" for n in FEATURES) + ">>"
+        least = {"email": 0, "ip": 0, "card": 12, "phone": 7}[kind]
+        loose = F.filter(found(T, LOOSE[kind]), lambda x: F.length(digits_of(x["m"])) >= least)
+        free = F.filter(loose, lambda x: ~F.exists(B, lambda b: (b["o"] == o) & (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        touch = lambda x: F.exists(B, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        own = F.transform(free, lambda x: example(kind, x, x["m"], F.when(possible(kind, x["m"]), FREE).otherwise(NEGATIVE), touch(x)))
+        if kind == "ip":
+            return own
+        made = F.transform(F.filter("_hits", lambda x: x["o"] == o), lambda x: example(kind, x, loosened(kind, x["m"]), F.lit(POSITIVE), F.lit(True)))
+        return F.concat(own, made)
+
+    kind = "array<struct<o:int,s:int,e:int,sort:int,touch:boolean," + ",".join(f"{n}:double" for n in FEATURES) + ">>"
     df = df.withColumn("cands", F.when(F.col("_has"), F.concat(*[cands(k) for k in KINDS])).otherwise(F.array().cast(kind)))
-    return df.drop("_t", "_has")
+    return df.drop("_t", "_has", "_hits")
 
 
 def tree_column(node, get) -> Column:
@@ -141,8 +169,8 @@ def fit(scanned: DataFrame, max_examples: int = 20_000, trees: int = 12, depth:
     from pyspark.ml.feature import VectorAssembler
 
     spark = scanned.sparkSession
-    rows = scanned.select(F.explode("cands").alias("c")).select("c.*").where("same or not own")
-    rows = rows.withColumn("label", F.col("same").cast("double"))
+    rows = scanned.select(F.explode("cands").alias("c")).select("c.*").where(F.col("sort") != FREE)
+    rows = rows.withColumn("label", (F.col("sort") == POSITIVE).cast("double"))
     per = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(per) < 2:
         return None
@@ -164,11 +192,12 @@ def fit(scanned: DataFrame, max_examples: int = 20_000, trees: int = 12, depth:
             total = total + F.lit(float(w)) * tree_column(tree._java_obj.rootNode(), lambda i: c[FEATURES[i]])
         return total
 
-    held = rows.where(F.col("place") >= 0.5).withColumn("score", score(F.struct(*FEATURES)))
-    over = [x for n, g in enumerate(SCORES) for x in (F.count(F.when(F.col("score") >= g, 1)).alias(f"n{n}"), F.count(F.when((F.col("score") >= g) & (F.col("label") == 0), 1)).alias(f"k{n}"))]
-    cells = ", ".join(f"{g}D, n{n}, k{n}" for n, g in enumerate(SCORES))
-    table = held.groupBy("o").agg(*over).select("o", F.expr(f"stack({len(SCORES)}, {cells}) as (g, n, k)"))
-    safe = table.where("n > 0").where(binomial_cdf(F.col("k"), F.col("n"), risk) <= delta / (len(SCORES) * len(KINDS)))
+    # negatives that pass each threshold
+    held = rows.where((F.col("place") >= 0.5) & (F.col("sort") == NEGATIVE)).withColumn("score", score(F.struct(*FEATURES)))
+    over = [F.count(F.when(F.col("score") >= g, 1)).alias(f"k{n}") for n, g in enumerate(SCORES)]
+    cells = ", ".join(f"{g}D, k{n}" for n, g in enumerate(SCORES))
+    table = held.groupBy("o").agg(F.count(F.lit(1)).alias("n"), *over).select("o", "n", F.expr(f"stack({len(SCORES)}, {cells}) as (g, k)"))
+    safe = table.where(binomial_cdf(F.col("k"), F.col("n"), risk) <= delta / (len(SCORES) * len(KINDS)))
     cuts = {r["o"]: r["g"] for r in safe.groupBy("o").agg(F.min("g").alias("g")).collect()}  # a row per kind at most
     return (score, cuts) if cuts else None
 
@@ -179,7 +208,7 @@ def select(scanned: DataFrame, model) -> DataFrame:
         return scanned.withColumn("spans", F.sort_array("base")).drop("cands")
     score, cuts = model
     limit = lambda c: F.coalesce(*[F.when(c["o"] == o, F.lit(float(g))) for o, g in cuts.items()], F.lit(1e9))
-    free = F.filter("cands", lambda c: ~c["touch"] & ~c["same"])
+    free = F.filter("cands", lambda c: (c["sort"] == FREE) & ~c["touch"])
     scored = F.transform(free, lambda c: F.struct(score(c).alias("v"), c["o"].alias("o"), c["s"].alias("s"), c["e"].alias("e")))
     df = scanned.withColumn("_c", F.filter(scored, lambda c: c["v"] >= limit(c))).drop("cands")
 
