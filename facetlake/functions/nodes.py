@@ -86,12 +86,17 @@ def reduction(value: Column, group: list[str], how: str) -> Column:
     return f(value).over(Window.partitionBy(*group))
 
 
+def difference(v: Column, behind: Column, ahead: Column, kind: str = "central", h: float = 1.0) -> Column:
+    """Difference quotient; neighbours are clamped at the ends, the divisor is not."""
+    ahead, behind = F.coalesce(ahead, v), F.coalesce(behind, v)
+    return {"forward": (ahead - v) / h, "backward": (v - behind) / h, "central": (ahead - behind) / (2 * h)}[kind]
+
+
 def derivative(value: str, dim: str, others: list[str], kind: str = "central", h: float = 1.0) -> Column:
-    """Along ``dim``; neighbours are clamped at the ends, the divisor is not."""
+    """Along ``dim`` in each line of ``others``; without others see ``stats.derivative``."""
     w = Window.partitionBy(*others).orderBy(dim)
     v = F.col(value)
-    ahead, behind = F.coalesce(F.lead(v).over(w), v), F.coalesce(F.lag(v).over(w), v)
-    return {"forward": (ahead - v) / h, "backward": (v - behind) / h, "central": (ahead - behind) / (2 * h)}[kind]
+    return difference(v, F.lag(v).over(w), F.lead(v).over(w), kind, h)
 
 
 # vectors of two to four components are arrays

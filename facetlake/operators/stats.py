@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nodes import difference
 from .lineage import checkpointed
-from .ranks import position
+from .ranks import neighbours, position
+
+
+#: Most rows of a table that a sequential method takes in one task.
+WHOLE = 1_000_000
 
 
 def pearson(df: DataFrame, base: str, others: list[str]) -> DataFrame:
@@ -24,12 +31,59 @@ def spearman(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     return ra.join(rb, key).agg(F.corr("ra", "rb").alias("r"))
 
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Tau-a, ties counting zero: equal pairs of values are first counted, then each pair of distinct ones once."""
-    g = df.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    h = g.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("n").alias("m"))
-    concordance = g.join(h, (F.col("x") < F.col("u"))).agg(F.sum(F.signum(F.col("v") - F.col("y")) * F.col("n") * F.col("m")).alias("s"))
-    return concordance.crossJoin(df.agg(F.count(F.lit(1)).alias("n"))).select((F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"))
+def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum over pairs of sign(dx) sign(dy) times both weights, in n log n: ties count zero."""
+    if len(x) < 2:
+        return 0.0
+    y = np.unique(y, return_inverse=True)[1]
+    total = 0.0
+    for turned in (1, -1):  # rows of one x ascend in y, then descend: their pairs cancel
+        order = np.lexsort((turned * y, x))
+        ys, ws = y[order], w[order].astype(float)
+        for bit in range(int(ys.max()).bit_length()):  # two values differ first at one bit
+            group = ys >> (bit + 1)
+            at = np.argsort(group, kind="stable")
+            one, g, v = (ys[at] >> bit) & 1, group[at], ws[at]
+            first = np.flatnonzero(np.append(True, np.diff(g) != 0))
+            zeros, ones = np.cumsum(v * (1 - one)), np.cumsum(v * one)
+            size = np.diff(np.append(first, len(g)))
+            base0, base1 = np.repeat(zeros[first] - (v * (1 - one))[first], size), np.repeat(ones[first] - (v * one)[first], size)
+            total += (v * one * (zeros - base0)).sum() - (v * (1 - one) * (ones - base1)).sum()
+    return total / 2
+
+
+def kendall(df: DataFrame, a: str, b: str, rows: int = 1 << 20) -> DataFrame:
+    """Tau-a, ties counting zero, without a join of pairs.
+
+    Both attributes are cut into ranges of about ``rows`` rows.  Pairs in one range of a are counted there; pairs of
+    different ranges of a in one range of b are counted there, by range of a; all others by the grid of ranges.
+    Rows with a null in either attribute are left out.
+    """
+    g = checkpointed(df.groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("x is not null and y is not null"))
+    total = g.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    parts = max(1, -(-total["cells"] // rows))
+    cuts = [sorted(set(c)) for c in g.approxQuantile(["x", "y"], [k / parts for k in range(1, parts)], 0.2 / parts)] if parts > 1 else [[], []]
+
+    def range_of(c: str, at: list[float]):
+        return F.size(F.filter(F.array(*map(F.lit, at)).cast("array<double>"), lambda q: q < F.col(c))).cast("double")
+
+    g = g.withColumn("i", range_of("x", cuts[0])).withColumn("j", range_of("y", cuts[1]))
+
+    def sums(part: DataFrame, by: str, x: str, y: str) -> DataFrame:
+        return part.select(F.col(by).alias("k"), F.col(x).alias("u"), F.col(y).alias("v"), "n").groupBy("k").applyInPandas(lambda p: pd.DataFrame({"s": [concordance(p["u"].to_numpy(), p["v"].to_numpy(), p["n"].to_numpy())]}), "s double")
+
+    grid = g.groupBy("i", "j").agg(F.sum("n").alias("n")).withColumn("one", F.lit(0))
+    s = sums(g, "i", "x", "y")
+    if parts > 1:
+        s = s.unionAll(sums(g, "j", "i", "y")).unionAll(sums(grid, "one", "i", "j"))
+    pairs = total["n"] * (total["n"] - 1) / 2
+    return s.agg((F.coalesce(F.sum("s"), F.lit(0.0)) / F.lit(float(pairs) if pairs else None).cast("double")).alias("tau"))
+
+
+def derivative(df: DataFrame, value: str, dim: str, kind: str = "central", h: float = 1.0, name: str = "d") -> DataFrame:
+    """Adds the derivative along a whole table's unique ``dim``: neighbours meet by place, not in one task's window."""
+    near = neighbours(df, value, dim)
+    return near.withColumn(name, difference(F.col(value), F.col("_before"), F.col("_after"), kind, h)).drop("_pos", "_before", "_after")
 
 
 def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -111,18 +165,48 @@ def dbscan(df: DataFrame, columns: list[str], key: str, eps: float, min_points:
     return of.select(F.col("_k").alias(key), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def nearest_flagged(df: DataFrame, columns: list[str], key: str, flag, few: int = 10_000) -> DataFrame:
-    """key, distance to the nearest flagged row.  The flagged rows are blocks of a stated query set."""
-    marked = df.where(flag).select(*[F.col(c).alias(f"_y{n}") for n, c in enumerate(columns)])
-    if marked.count() > few:
-        raise ValueError(f"more than {few} flagged rows: use within() with a radius")
-    block = marked.agg(F.collect_list(F.array(*marked.columns)).alias("_f"))
-    d = lambda y: sum(((F.col(c) - y[n]) * (F.col(c) - y[n]) for n, c in enumerate(columns)), F.lit(0.0))
-    return df.crossJoin(F.broadcast(block)).select(key, F.sqrt(F.array_min(F.transform("_f", d))).alias("distance"))
+def nearest_flagged(df: DataFrame, columns: list[str], key: str, flag) -> DataFrame:
+    """key, distance to the nearest flagged row, exact for any number of flagged rows; null if there is none.
+
+    Rows look for flagged ones in their own and neighbouring grid cells; those that find none within the cell's width
+    go on with cells twice as wide, until cells cover the table.  Rows with a null coordinate get null.
+    """
+    own = df.select(F.col(key), *[F.col(c).cast("double").alias(f"_x{n}") for n, c in enumerate(columns)], flag.alias("_f"))
+    there = reduce(lambda a, b: a & b, [F.col(f"_x{n}").isNotNull() for n in range(len(columns))])
+    rows = checkpointed(own.where(there))
+    marked = checkpointed(rows.where("_f").select(*[F.col(f"_x{n}").alias(f"_y{n}") for n in range(len(columns))]).distinct())
+    b = rows.agg(*[F.min(f"_x{n}").alias(f"lo{n}") for n in range(len(columns))], *[F.max(f"_x{n}").alias(f"hi{n}") for n in range(len(columns))]).first()
+    count = marked.count()
+    if not count:
+        return df.select(key, F.lit(None).cast("double").alias("distance"))
+    spans = [b[f"hi{n}"] - b[f"lo{n}"] for n in range(len(columns))]
+    widest = max(max(spans), 1e-12)
+    width = widest / max(1.0, count ** (1 / max(1, sum(s > 0 for s in spans))))  # about one flagged row a cell
+    done, open_ = [], rows.select(key, *[f"_x{n}" for n in range(len(columns))])
+    cells = [f"_c{n}" for n in range(len(columns))]
+    while True:
+        last = width >= widest * len(columns) ** 0.5
+        near = marked
+        for n in range(len(columns)):
+            near = near.withColumn(cells[n], F.explode(F.array(*[F.floor(F.col(f"_y{n}") / width) + k for k in (-1, 0, 1)])))
+        d2 = sum(((F.col(f"_x{n}") - F.col(f"_y{n}")) * (F.col(f"_x{n}") - F.col(f"_y{n}")) for n in range(len(columns))), F.lit(0.0))
+        here = open_.withColumns({cells[n]: F.floor(F.col(f"_x{n}") / width) for n in range(len(columns))})
+        found = here.join(near, cells).groupBy(key).agg(F.sqrt(F.min(d2)).alias("distance"))
+        found = checkpointed(found if last else found.where(F.col("distance") <= width))
+        done.append(found)
+        if last:
+            break
+        open_ = checkpointed(open_.join(found, key, "left_anti"))
+        if open_.isEmpty():
+            break
+        width *= 2
+    return df.select(key).join(reduce(lambda a, b: a.unionAll(b), done), key, "left")
 
 
 def leader(df: DataFrame, columns: list[str], key: str, eps: float, group: str | None = None) -> DataFrame:
-    """Sequential leader boxes of half-width eps / 2, per group, in key order."""
+    """Sequential leader boxes of half-width eps / 2, per group, in key order; a table without group has a size limit."""
+    if group is None and df.count() > WHOLE:
+        raise ValueError(f"more than {WHOLE} rows without a group")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

@@ -245,7 +245,7 @@ query("red_product", "orders", "SELECT o_custkey, round(product(o_totalprice / 1
 DAILY = "SELECT CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS v FROM orders GROUP BY 1"
 for _k, _sql in {"forward": "coalesce(lead(v) OVER w, v) - v", "backward": "v - coalesce(lag(v) OVER w, v)", "central": "(coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / 2"}.items():
     query(f"derivative_{_k}", "orders", f"SELECT day, {_sql} AS d FROM ({DAILY}) WINDOW w AS (ORDER BY day)")(
-        lambda df, k=_k: df.groupBy(c("o_orderdate").cast("date").alias("day")).agg(F.sum(F.round(c("o_totalprice") * 100).cast("long")).cast("double").alias("v")).select("day", N.derivative("v", "day", [], k).alias("d"))
+        lambda df, k=_k: df.groupBy(c("o_orderdate").cast("date").alias("day")).agg(F.sum(F.round(c("o_totalprice") * 100).cast("long")).cast("double").alias("v")).transform(stats.derivative, "v", "day", k).select("day", "d")
     )
 
 

@@ -22,8 +22,8 @@ def renamed(df: DataFrame, names: dict[str, str] = RENAMES) -> DataFrame:
 
 
 def category_codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Codes from 0 in the order of the distinct strings."""
-    return df.join(position(df.select(column).distinct(), column, name=name), column)
+    """Codes from 0 in the order of the distinct strings.  Null has no code; its rows stay."""
+    return df.join(position(df.select(column).where(F.col(column).isNotNull()).distinct(), column, name=name), column, "left")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
