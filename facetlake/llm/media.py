@@ -47,6 +47,10 @@ class Interleaver(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None, "n_bytes": None})
 
+    def parse_html_declaration(self, i):
+        """A marked section that HTML does not know is a comment."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
@@ -60,7 +64,7 @@ class Interleaver(HTMLParser):
             self.flush()
             a = dict(attrs)
             size = a.get("data-bytes") or ""
-            self.items.append({"kind": "media", "text": None, "digest": (a.get("src") or "").removeprefix("sha256:"), "caption": a.get("alt"), "n_bytes": int(size) if size.isdecimal() else None})
+            self.items.append({"kind": "media", "text": None, "digest": (a.get("src") or "").removeprefix("sha256:"), "caption": a.get("alt"), "n_bytes": int(size) if size.isascii() and size.isdecimal() and len(size) <= 18 else None})
         elif tag in BLOCKS and self.caption is None:
             self.flush()
 
@@ -149,7 +153,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id", caption: tup
                 for t, *words in zip(*(c.to_pylist() for c in part.columns[1:])):
                     n, stored = pack_media(t)
                     digest = hashlib.sha256(stored).hexdigest()
-                    lead, note = h.escape(str(words[0] if words else "")), h.escape(" ".join(str(w) for w in words))
+                    lead, note = h.escape(str(words[0] or "") if words else ""), h.escape(" ".join(str(w) for w in words if w is not None))
                     rows.append((f'<article><p>{lead}</p><figure><img src="sha256:{digest}" data-bytes="{n}" alt=""><figcaption>{note}</figcaption></figure></article>', digest, stored))
                 html, digest, media = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(html), pa.array(digest), pa.array(media, pa.binary())], ["k", "html", "digest", "media"])
@@ -184,6 +188,26 @@ def resolve(sequences: DataFrame, media: DataFrame, items: str = "items", digest
     return joined.unionByName(rest, allowMissingColumns=True)
 
 
+def described(html: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per page: items, text items, references, resolved ones, and a digest of the ordered sequence."""
+    numbered = common.as_table(html.sparkSession, html.withColumn("_page", F.monotonically_increasing_id()), "media-pages")
+    rows = resolve(interleave(numbered.select("_page", key, "html")).drop("html"), media)
+    one = F.concat_ws("\x1f", F.col("item.kind"), F.coalesce("item.text", F.lit("")), F.coalesce("item.digest", F.lit("")), F.coalesce("item.caption", F.lit("")))
+    media_item = F.col("item.kind") == "media"
+    of = rows.groupBy("_page").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_if(media_item).alias("n_media"), F.count_if(media_item & F.col("payload_sha256").isNotNull()).alias("n_resolved"),
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item.pos", one.alias("x")))), lambda y: y["x"]), "\x1e"), 256).alias("sequence_sha256"),
+    )
+    zero = {c: 0 for c in ("n_items", "n_media", "n_resolved")}
+    return numbered.select("_page", key).join(of, "_page", "left").drop("_page").fillna(zero)
+
+
+def interleave_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw page as a sequence, its references looked up among the documents' media."""
+    features = common.as_table(spark, measure(store(common.read(spark, sf_dir, "documents"))), "media-features")
+    return described(common.read(spark, sf_dir, "pages").select("page_id", "html"), features)
+
+
 def op4_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = store(common.read(spark, sf_dir, "documents"))
     # as a table, so that the join deals out its sides itself and can split a digest that many documents share

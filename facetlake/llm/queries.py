@@ -9,6 +9,7 @@ QUERIES = {
     "op2_risk_controlled_rules": quality.op2_risk_controlled_rules,
     "op3_bpe_segment_tree": bpe.op3_bpe_segment_tree,
     "op4_interleaved_media": media.op4_interleaved_media,
+    "interleave_pages": media.interleave_pages,
     "op5_warc_index_merge": warc.op5_warc_index_merge,
     "op6_budgeted_windows": chat.op6_budgeted_windows,
     "op7_bm25_packing": packing.op7_bm25_packing,

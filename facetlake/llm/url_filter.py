@@ -10,7 +10,8 @@ small one, is repeated).  No side is broadcast by hand.
 
 Defined results.  Null url or time, or a url without a host: never blocked, no entries.  Null fields of an entry:
 it is ignored.  Several actions at one time: add wins.  Repeated captures: a row each.  Empty tables: no rows, or
-nothing blocked.  Captures keep their other columns, but for host, n_active, blocked and reason, which are replaced; entries' other columns are ignored.
+nothing blocked.  Times far outside share the edge buckets.  Captures keep their other columns, but for host, n_active,
+blocked, reason and names with a leading underscore, which are replaced; entries' other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from . import common
 
 BUCKET = 30 * 86400
 SALTS = 16
+#: Buckets that an open entry is repeated in at most.
+MOST_BUCKETS = 512
 OPEN_END = 1 << 53
 
 
@@ -48,23 +51,27 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """``captures`` with host, n_active, blocked and reason (first active block entry)."""
-    span = captures.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    spark = captures.sparkSession
+    # the middle of the fetch times is cut into buckets; what lies outside falls into the first and last one
+    span = captures.agg(F.percentile_approx(at, [0.01, 0.99]).alias("p")).first()["p"] or [0, 0]
+    top = max(0, min(MOST_BUCKETS - 1, int((span[1] - span[0]) // BUCKET)))
+    width = max(BUCKET, (span[1] - span[0]) / MOST_BUCKETS)
+    bucket_of = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.floor((t.cast("double") - span[0]) / width))).cast("int")
     live = intervals(entries)
     deepest = live.where("kind = 'prefix'").agg(F.coalesce(F.max(F.size(F.split("pattern", "/"))), F.lit(0)).alias("n")).first()["n"]
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    live = live.where((F.col("valid_from") <= hi) & (F.col("valid_to") > lo))
-    first, last = F.greatest("valid_from", F.lit(lo)), F.least(F.col("valid_to") - 1, F.lit(hi))
-    live = live.withColumn("bucket", F.explode(F.sequence(F.floor(first / BUCKET), F.floor(last / BUCKET))))
+    live = live.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("valid_from")), bucket_of(F.col("valid_to") - 1))))
     live = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    c = captures.drop("host", "n_active", "blocked", "reason").withColumn("host", host_of(F.col(url))).withColumn("_row", F.monotonically_increasing_id())
+    c = captures.drop("host", "n_active", "blocked", "reason", "_row", "_at", "_n", "_ok", "_reason").withColumn("host", host_of(F.col(url)))
+    # written, so that both uses below see the same numbers even if tasks are run again
+    c = common.as_table(spark, c.withColumn("_row", F.monotonically_increasing_id()), "url-captures")
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     parts = F.slice(path_of(F.col(url)), 1, max(deepest, 1))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", F.col("host"), F.array_join(F.slice(parts, 1, i), "/")).alias("pattern")))
     some = F.when(F.size(parts) > 0, prefixes).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
     keys = c.where((F.col("host") != "") & F.col(at).isNotNull()).select("_row", F.col(at).alias("_at"), F.explode(F.concat(domains, some)).alias("k"))
-    keys = keys.select("_row", "_at", "k.kind", "k.pattern", F.floor(F.col("_at") / BUCKET).alias("bucket"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("salt"))
+    keys = keys.select("_row", "_at", "k.kind", "k.pattern", bucket_of(F.col("_at")).alias("bucket"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("salt"))
     met = keys.join(live, ["kind", "pattern", "bucket", "salt"]).where("valid_from <= _at and _at < valid_to")
     reason = F.when(F.col("verdict") == "block", F.concat_ws("|", "list", "kind", "pattern"))
     found = met.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), F.min(reason).alias("_reason"), F.max(F.col("verdict") == "allow").alias("_ok"))
