@@ -40,14 +40,19 @@ def in_boxes(boxes: list[dict[str, tuple[float, float]]]) -> Column:
     return any_of([all_of([F.col(c).between(lo, hi) for c, (lo, hi) in box.items()]) for box in boxes])
 
 
-def in_gaussian(columns: list[str], mean: list[float], axes: list[list[float]], variances: list[float], scale: float) -> Column:
-    """Principal-axis distance: sum of squared scores over variances at most scale squared times the rank."""
-    total, rank = F.lit(0.0), 0
-    for axis, var in zip(axes, variances):
+def in_gaussian(columns: list[str], mean: list[float], axes: list[list[float]], variances: list[float], scale: float, bounds: list[tuple[float, float]] | None = None) -> Column:
+    """Principal-axis distance: sum of squared scores over variances at most scale squared times the rank.
+
+    An axis without variance does not count towards it; with ``bounds`` its score must lie inside.
+    """
+    total, rank, inside = F.lit(0.0), 0, F.lit(True)
+    for n, (axis, var) in enumerate(zip(axes, variances)):
+        score = reduce(lambda a, b: a + b, [F.lit(float(w)) * (F.col(c) - F.lit(float(m))) for w, c, m in zip(axis, columns, mean)])
         if var > 1e-12:
-            score = reduce(lambda a, b: a + b, [F.lit(float(w)) * (F.col(c) - F.lit(float(m))) for w, c, m in zip(axis, columns, mean)])
             total, rank = total + score * score / F.lit(float(var)), rank + 1
-    return total <= F.lit(scale * scale * rank)
+        elif bounds:
+            inside = inside & score.between(*map(float, bounds[n]))
+    return (total <= F.lit(scale * scale * rank)) & inside
 
 
 @dataclass
@@ -62,6 +67,11 @@ class Brush:
         return all_of([in_ranges(c, r) for c, r in self.ranges.items()] + [in_lasso(*x) for x in self.lassos])
 
 
+def to_global(local: Brush) -> Brush:
+    """A copy of a local brush's ranges and lassos for all lists."""
+    return Brush({c: list(r) for c, r in local.ranges.items()}, [(x, y, list(p)) for x, y, p in local.lassos], local.active)
+
+
 def combine(brushes: list[Brush], mode: str = "and") -> Column:
     """No active brush accepts all rows; ``or`` with brushes that all refuse refuses."""
     parts = [b.column() for b in brushes if b.active]

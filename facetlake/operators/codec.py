@@ -21,6 +21,11 @@ def unzigzag(s: Column) -> Column:
     return F.when(s % 2 == 1, -F.floor((s + 1) / 2)).otherwise(F.floor(s / 2)).cast("long")
 
 
+def unquantize(q: Column, step: float, dead_zone: bool = False) -> Column:
+    """Value of a quantum; with a dead zone the middle of its interval."""
+    return F.signum(q) * (F.abs(q) + (0.5 if dead_zone else 0.0)) * step
+
+
 def zero_runs(df: DataFrame, key: str, symbol: str, group: str) -> DataFrame:
     """Non-zero symbols with the zeros before each; trailing zeros go.  Sequences are per group."""
     w = Window.partitionBy(group).orderBy(key)
@@ -36,6 +41,12 @@ def runs(df: DataFrame, key: str, symbol: str, group: str) -> DataFrame:
     return d.groupBy(group, "_run").agg(F.min(key).alias("start"), F.first(symbol).alias("symbol"), (F.count(F.lit(1)) - 1).cast("long").alias("repeats")).drop("_run")
 
 
+def split_runs(found: DataFrame, most: int) -> DataFrame:
+    """``runs`` cut so that none repeats more than ``most`` times: part numbers the pieces from 0."""
+    parts = F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.col("repeats") / (most + 1))), lambda k: F.least(F.lit(most).cast("long"), F.col("repeats") - k * (most + 1))))
+    return found.select(*[c for c in found.columns if c != "repeats"], parts.alias("part", "repeats")).where("repeats >= 0")
+
+
 #: Lifting steps of the 5/3 and 9/7 wavelets and the latter's scale (fixed values).
 LIFTS = {"5/3": ((-0.5, 0.25), 1.0), "9/7": ((-1.586134342, -0.05298011854, 0.8829110762, 0.4435068522), 1.149604398)}
 

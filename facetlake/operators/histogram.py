@@ -65,14 +65,33 @@ class Registry:
         return hist_many(df, {name: list(key) for key, (name, _) in self.known.items()}, where)
 
 
-def smooth(counts: DataFrame, n: int, sigma: float) -> DataFrame:
-    """Gaussian over ceil(3 sigma) bins to each side, renormalised at the edges.  ``counts`` is dense and small."""
+def smooth(counts: DataFrame, n: int, sigma: float, skip_first: bool = False, log: bool = False) -> DataFrame:
+    """Gaussian over ceil(3 sigma) bins to each side, renormalised at the edges.  ``counts`` is dense and small.
+
+    A negative sigma takes a radius of a fifth of the bins plus one and twice the variance as 2.  ``skip_first`` leaves
+    bin 0 out, ``log`` takes log(v + 1) of the smoothed values.
+    """
     import math
 
-    r = math.ceil(3 * sigma)
-    kernel = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-k * k / (2 * sigma * sigma))).alias("w")) for k in range(-r, r + 1)]))
+    r, spread2 = (math.ceil(3 * sigma), 2 * sigma * sigma) if sigma >= 0 else (int(0.2 * n + 1), 2.0)
+    kernel = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-k * k / spread2) if k else 1.0).alias("w")) for k in range(-r, r + 1)]))
+    counts = counts.where("bin > 0") if skip_first else counts
     spread = counts.select("bin", "n", kernel.alias("x")).select((F.col("bin") + F.col("x.k")).alias("bin"), (F.col("n") * F.col("x.w")).alias("v"), F.col("x.w").alias("w"))
-    return spread.where(F.col("bin").between(0, n - 1)).groupBy("bin").agg((F.sum("v") / F.sum("w")).alias("v"))
+    out = spread.where(F.col("bin").between(int(skip_first), n - 1)).groupBy("bin").agg((F.sum("v") / F.sum("w")).alias("v"))
+    return out.withColumn("v", F.log(F.col("v") + 1)) if log else out
+
+
+def area_and_maximum(smoothed: DataFrame) -> DataFrame:
+    return smoothed.agg(F.sum("v").alias("area"), F.max("v").alias("maximum"))
+
+
+def violins(counts: DataFrame, scale: str = "self") -> DataFrame:
+    """hist, bin, v: counts by the maximum of their own histogram (``self``), of the attribute's ones (``attribute``, a
+    column) or of all (``global``)."""
+    by = {"self": ["hist"], "attribute": ["attribute"], "global": []}[scale]
+    top = counts.groupBy(*by).agg(F.max("n").alias("_m"))
+    joined = counts.join(F.broadcast(top), by) if by else counts.crossJoin(F.broadcast(top))
+    return joined.select("hist", "bin", (F.col("n") / F.col("_m")).alias("v"))
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,3 +134,32 @@ def voxel_smooth(voxels: DataFrame, axis: str, sigma: float) -> DataFrame:
     rest = [c for c in voxels.columns if c not in (axis, "v")]
     s = voxels.select(*rest, axis, "v", kernel.alias("_k")).select(*rest, (F.col(axis) + F.col("_k.k")).alias(axis), (F.col("v") * F.col("_k.w")).alias("v"))
     return s.groupBy(*rest, axis).agg((F.sum("v") / total).alias("v"))
+
+
+def voxel_smooth_all(voxels: DataFrame, sigma: float, axes: tuple[str, ...] = ("x", "y", "z"), keep_ones: bool = False) -> DataFrame:
+    """All axes in turn; ``keep_ones`` sets voxels that were 1 back to 1."""
+    out = voxels
+    for axis in axes:
+        out = voxel_smooth(out, axis, sigma)
+    if keep_ones:
+        ones = voxels.where("v = 1").select(*axes, F.lit(1.0).alias("_one"))
+        out = out.join(ones, list(axes), "left").withColumn("v", F.coalesce("_one", "v")).drop("_one")
+    return out
+
+
+def voxel_brush(densities: DataFrame, ranges: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """Adds ``active``: every range of every axis must hold (unlike a brush on rows); a null density never does."""
+    from ..functions.brush import all_of
+
+    return densities.withColumn("active", F.coalesce(all_of([F.col(c).between(lo, hi) for c, r in ranges.items() for lo, hi in r]), F.lit(False)))
+
+
+def voxel_lines(voxels: DataFrame) -> DataFrame:
+    """z, y, line: the comma-joined 0 and 1 of a row of voxels by x, for writing as text."""
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.col("v").cast("int").alias("v")))), lambda s: s["v"].cast("string")), ",")
+    return voxels.groupBy("z", "y").agg(line.alias("line"))
+
+
+def bin_bitmaps(df: DataFrame, axis: tuple[str, float, float, int], key: str) -> DataFrame:
+    """bin, bucket, bitmap: the ids of each bin as compressed-index bitmaps of 32,768 ids (ids from 1)."""
+    return df.groupBy(bins([axis]).alias("bin"), F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bitmap"))

@@ -107,15 +107,79 @@ def gaussian(df: DataFrame, columns: list[str]) -> tuple[list[float], list[list[
     return [float(x) for x in mean], axes.tolist(), [float(v) for v in values[order]]
 
 
-def pca(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """Adds pc0..pc(k-1): centred scores, the largest loading of each axis positive."""
+def correlation_matrix(df: DataFrame, columns: list[str], lists: str | None = None) -> DataFrame:
+    """(list,) a, b, r of all pairs of attributes, for one or several lists at once."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    row = (df.groupBy(lists) if lists else df.groupBy()).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    return row.select(*([lists] if lists else []), F.expr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs) + ") as (a, b, r)"))
+
+
+def inverse_covariance(df: DataFrame, columns: list[str]) -> tuple[DataFrame, float]:
+    """(a, b, value of the inverse for all ordered pairs), determinant: a k x k matrix on the driver; a singular one raises."""
+    m = np.zeros((len(columns), len(columns)))
+    for r in covariance(df, columns).collect():
+        i, j = columns.index(r["a"]), columns.index(r["b"])
+        m[i, j] = m[j, i] = r["cov"]
+    inv = np.linalg.inv(m)
+    rows = [(a, b, float(inv[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, value double"), float(np.linalg.det(m))
+
+
+def geometric_median(df: DataFrame, columns: list[str], rounds: int = 20) -> list[float]:
+    """Weiszfeld rounds from the mean; rows at the present point are left out of a round."""
+    at = list(df.agg(*[F.avg(c) for c in columns]).first())
+    for _ in range(rounds):
+        d = F.sqrt(sum(((F.col(c) - x) * (F.col(c) - x) for c, x in zip(columns, at)), F.lit(0.0)))
+        r = df.withColumn("_d", d).where("_d > 0").agg(F.sum(1 / F.col("_d")).alias("w"), *[F.sum(F.col(c) / F.col("_d")).alias(f"s{n}") for n, c in enumerate(columns)]).first()
+        if not r["w"]:
+            break
+        at = [r[f"s{n}"] / r["w"] for n in range(len(columns))]
+    return at
+
+
+def initial_centres(df: DataFrame, columns: list[str], key: str, k: int, how: str = "forgy", seed: int = 0) -> list[list[float]]:
+    """Starting centres: k rows (``forgy``), draws in the bounds (``uniform``) or from the normal distribution of each
+    column (``normal``), or rows drawn with odds as their squared distance to the centres so far (``plusplus``).
+
+    Rows are drawn by the least exponential draw of an MD5 of their key, so a seed gives the same rows in any engine.
+    """
+    u = (F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("_e", -F.log(u))
+    if how == "forgy":
+        return [[r[c] for c in columns] for r in rows.orderBy("_e", key).limit(k).collect()]
+    if how in ("uniform", "normal"):
+        draw = np.random.default_rng(seed)
+        b = rows.agg(*[x for c in columns for x in (F.min(c), F.max(c), F.avg(c), F.stddev_pop(c))]).first()
+        cell = lambda n: draw.uniform(b[4 * n], b[4 * n + 1]) if how == "uniform" else draw.normal(b[4 * n + 2], b[4 * n + 3])
+        return [[float(cell(n)) for n in range(len(columns))] for _ in range(k)]
+    if how != "plusplus":
+        raise ValueError(how)
+    centres: list[list[float]] = []
+    while len(centres) < k:
+        d = [sum(((F.col(c) - x) * (F.col(c) - x) for c, x in zip(columns, centre)), F.lit(0.0)) for centre in centres]
+        odds = F.lit(1.0) if not d else d[0] if len(d) == 1 else F.least(*d)
+        r = rows.withColumn("_o", odds).where("_o > 0").orderBy(F.col("_e") / F.col("_o"), key).limit(1).collect()
+        if not r:
+            break  # fewer distinct rows than centres
+        centres.append([r[0][c] for c in columns])
+    return centres
+
+
+def pca(df: DataFrame, columns: list[str], k: int, scaled: bool = False) -> DataFrame:
+    """Adds pc0..pc(k-1): centred scores, the largest loading of each axis positive.
+
+    ``scaled`` divides the centred columns by the largest absolute value among all of them.
+    """
     mean, axes, _ = gaussian(df, columns)
-    scores = {f"pc{n}": sum((F.lit(float(w)) * (F.col(c) - F.lit(m)) for w, c, m in zip(axis, columns, mean)), F.lit(0.0)) for n, axis in enumerate(axes[:k])}
+    by = 1.0
+    if scaled:
+        by = df.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(c) - m)) for c, m in zip(columns, mean)])).first()[0] or 1.0
+    scores = {f"pc{n}": sum((F.lit(float(w) / by) * (F.col(c) - F.lit(m)) for w, c, m in zip(axis, columns, mean)), F.lit(0.0)) for n, axis in enumerate(axes[:k])}
     return df.withColumns(scores)
 
 
 def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]], iterations: int, metric: str = "squared") -> tuple[DataFrame, list[list[float]]]:
-    """Lloyd iterations from given centres; an empty cluster keeps its centre.  Ties: the lower cluster."""
+    """At most ``iterations`` Lloyd rounds from given centres, until none moves; an empty cluster keeps its centre.  Ties: the lower cluster."""
 
     def assign(cs: list[list[float]]):
         d = [sum((F.abs(F.col(c) - x) if metric == "l1" else (F.col(c) - x) * (F.col(c) - x) for c, x in zip(columns, centre)), F.lit(0.0)) for centre in cs]
