@@ -130,17 +130,17 @@ def pack(
         enc, end = encoder(tokenizer), np.array([end_id], np.uint16)
         names = ["k", "ids", "statistics"]
         frequency, tokens, n = np.zeros(VOCABULARY, np.int64), 0, 0
-        key_type, seen = None, np.zeros(VOCABULARY, bool)
+        key_type, last, steps = None, np.zeros(VOCABULARY, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             key_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 512)
                 ids = [np.concatenate([x, end]) for x in enc.encode(part.column(1))]
+                longest = max(map(len, ids))
+                steps = np.arange(longest) if longest > len(steps) else steps
                 for x in ids:
-                    seen[x] = True
-                    own = np.flatnonzero(seen)
-                    frequency[own] += 1
-                    seen[own] = False
+                    last[x] = steps[: len(x)]
+                    frequency[x[last[x] == steps[: len(x)]]] += 1  # each term at its last place
                 tokens, n = tokens + sum(map(len, ids)), n + len(ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if n:  # this task's share of the corpus statistics

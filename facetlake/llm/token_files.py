@@ -164,8 +164,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
             batch = first
             first = None
             while batch is not None:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
                     ids = enc.encode(part.column(1))
                     yield part.column(0).to_pylist(), [np.concatenate([x, end]) for x in ids]
                 batch = next(batches, None)

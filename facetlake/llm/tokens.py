@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,12 @@ import pyarrow.compute as pc
 
 CACHE = 900_000
 #: Bytes of text that are gathered at once.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 23
 #: Texts that have such go through the library whole: white space other than single spaces and one or two line feeds,
 #: and the mark that chunks at the start of a text carry.
 ODD = r"[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|  | \n|\n |\n\n\n|\n\n\z| \z"
 START = "\x01"
+SPACE = re.compile(r"\s")
 TAIL = ".,;:!?|*#$%&\""
 _open: dict = {}
 
@@ -32,19 +34,6 @@ def encoder(path: str) -> "Encoder":
     return _open[path]
 
 
-class Known(dict):
-    """Number of each chunk; a new chunk gets the next one and is noted in ``fresh``."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self.fresh.append(chunk)
-        self[chunk] = n = len(self)
-        return n
-
-
 class Encoder:
     def __init__(self, path: str):
         import json
@@ -60,7 +49,8 @@ class Encoder:
         #: A byte-level vocabulary keeps spaces; the other kind drops them.
         self.spaced = spec["normalizer"] is None
         self.odd = "|".join([ODD, *(re.escape(x) for x in self.specials)])
-        self.known = Known()
+        #: Number of each chunk.
+        self.known: dict[str, int] = {}
         #: Ids of all known chunks in a row, and where each chunk's begin.
         self.ids, self.first = np.zeros(0, np.uint16), np.zeros(1, np.int64)
         vocab = self.lib.get_vocab(with_added_tokens=False)
@@ -87,24 +77,26 @@ class Encoder:
 
     def gather(self, texts: pa.Array) -> list[np.ndarray]:
         known, base = self.known, len(self.known)
-        known.fresh = []
         if self.spaced:  # a chunk is a word after a space, one after a line feed, or a text's first one
             texts = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), "")
         else:
             texts = pc.replace_substring(texts, "\n", " ")
         words = pc.split_pattern(texts, " ")
-        chunks = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py()).dictionary_encode()
-        number = np.fromiter(map(known.__getitem__, chunks.dictionary.to_pylist()), np.int64, len(chunks.dictionary))
-        if known.fresh:
-            self.extend(base)
+        of = words.offsets.to_numpy()
+        chunks = words.values.slice(of[0], of[-1] - of[0]).dictionary_encode()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(base, base + len(new))
+            self.extend([names[n] for n in new.tolist()])
         codes = number[chunks.indices.to_numpy()]
         lens = self.first[codes + 1] - self.first[codes]
         ends = np.concatenate([[0], np.cumsum(lens)])
         flat = self.ids[np.repeat(self.first[codes] - ends[:-1], lens) + np.arange(ends[-1])]
-        of = words.offsets.to_numpy()
         cuts = ends[of - of[0]].tolist()
         if len(known) > CACHE:  # frequent chunks come first, so a full cache keeps the useful ones
-            for c in known.fresh:
+            for c in list(islice(known, base, None)):
                 del known[c]
             self.first = self.first[: base + 1]
             self.ids = self.ids[: self.first[-1]]
@@ -115,27 +107,42 @@ class Encoder:
             return chunk
         return chunk[1:] if chunk[:1] == START else " " + chunk
 
-    def extend(self, base: int) -> None:
-        """Learn the chunks that are numbered from ``base`` on."""
-        known, fresh = self.known, self.known.fresh
-        # punctuation after a letter or digit starts a pre-token, so "word," is "word" and ","
-        halves: dict[str, tuple[int, int]] = {}
-        for c in fresh:  # grows by new halves
+    def extend(self, fresh: list[str]) -> None:
+        """Number new chunks in their order and learn them."""
+        known, base = self.known, len(self.known)
+        known.update(zip(fresh, range(base, base + len(fresh))))
+        halves: dict[int, tuple[int, int]] = {}
+
+        def number_of(chunk: str) -> int:
+            n = known.setdefault(chunk, len(known))
+            if n == base + len(fresh):
+                fresh.append(chunk)
+            return n
+
+        for n, c in enumerate(fresh):  # grows by new halves
+            if self.spaced and c[0:1] == "\n" and len(c) > 1:  # a line feed before a word is a pre-token
+                halves[n] = number_of("\n"), number_of(START + c[1:])
+                continue
+            # punctuation after a letter or digit starts a pre-token, so "word," is "word" and ","
             core = c.rstrip(TAIL)
-            if core != c and core[-1:].isalnum() and len(core[-1].lower()) == 1:
+            if len(core) != len(c) and core[-1:].isalnum() and len(core[-1].lower()) == 1:
                 rest = c[len(core) :]
-                halves[c] = known[core], known[START + rest if self.spaced else rest]
-        want = [c for c in fresh if c not in halves]
-        got: dict[str, bytes] = {}
+                halves[n] = number_of(core), number_of(START + rest if self.spaced else rest)
+        want = [n for n in range(len(fresh)) if n not in halves]
+        raw: list[bytes] = [b""] * len(fresh)
         for k in range(0, len(want), 4096):
             part = want[k : k + 4096]
-            own = self.learn([self.text_of(c) for c in part])
-            got |= {c: own[self.text_of(c)] for c in part}
+            for n, ids in zip(part, self.learn([self.text_of(fresh[n]) for n in part])):
+                raw[n] = ids
 
         def ids_of(n: int) -> bytes:
-            return got[fresh[n - base]] if n >= base else self.ids[self.first[n] : self.first[n + 1]].tobytes()
+            n -= base
+            if n < 0:
+                return self.ids[self.first[n + base] : self.first[n + base + 1]].tobytes()
+            return b"".join(map(ids_of, halves[n])) if n in halves else raw[n]
 
-        raw = [got[c] if c in got else b"".join(map(ids_of, halves[c])) for c in fresh]
+        for n, two in halves.items():
+            raw[n] = b"".join(map(ids_of, two))
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), np.uint16)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(r) // 2 for r in raw])])
 
@@ -145,22 +152,27 @@ class Encoder:
             return len(chunk)
         return len((chunk if self.spaced else unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()).encode())
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encode many chunks in one call: side by side they are a text whose pre-tokens end where the chunks do."""
-        rows = [c for c in new if c[:1] == " "] if self.spaced else [c for c in new if c]
-        got: dict[str, bytes] = {}
-        if rows:
-            ids = np.array(self.lib.encode_batch_fast([("" if self.spaced else " ").join(rows)], add_special_tokens=False)[0].ids, np.uint16)
-            covered = np.cumsum(self.covers[ids])
-            ends = np.cumsum(np.fromiter(map(self.width, rows), np.int64, len(rows)))
-            cuts = np.searchsorted(covered, ends, side="right")
-            at = 0
-            if cuts[-1] == len(ids) and np.array_equal(covered[cuts - 1], ends):
-                raw = ids.tobytes()
-                for c, k in zip(rows, cuts.tolist()):
-                    got[c] = raw[2 * at : 2 * k]
-                    at = k
-        for c in new:
-            if c not in got:
-                got[c] = np.array(self.lib.encode(c, add_special_tokens=False).ids, np.uint16).tobytes()
-        return got
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Encode many chunks in few calls: side by side they are a text whose pre-tokens end where the chunks do."""
+        got: list[bytes | None] = [None] * len(new)
+        if self.spaced:  # words with their space follow each other; others stand on lines of their own
+            self.together([n for n, c in enumerate(new) if c[:1] == " "], new, got, "", 0)
+            self.together([n for n, c in enumerate(new) if c and not SPACE.search(c)], new, got, "\n", 1)
+        else:
+            self.together([n for n, c in enumerate(new) if c], new, got, " ", 0)
+        return [np.array(self.lib.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() if g is None else g for c, g in zip(new, got)]
+
+    def together(self, rows: list[int], new: list[str], got: list[bytes | None], mark: str, gap: int) -> None:
+        """Fill in ``got`` for some chunks, with ``gap`` bytes of a mark's own token between them; all or none."""
+        if not rows:
+            return
+        ids = np.array(self.lib.encode_batch_fast([mark.join(new[n] for n in rows)], add_special_tokens=False)[0].ids, np.uint16)
+        covered = np.concatenate([[0], np.cumsum(self.covers[ids])])
+        widths = np.fromiter((self.width(new[n]) for n in rows), np.int64, len(rows))
+        starts = np.cumsum(widths + gap) - widths - gap
+        lo, hi = np.searchsorted(covered, starts), np.searchsorted(covered, starts + widths)
+        whole = covered[-1] == starts[-1] + widths[-1]
+        if whole and np.array_equal(covered[lo], starts) and np.array_equal(covered[hi], starts + widths) and (lo[1:] - hi[:-1] == gap).all():
+            raw = ids.tobytes()
+            for n, a, b in zip(rows, lo.tolist(), hi.tolist()):
+                got[n] = raw[2 * a : 2 * b]
