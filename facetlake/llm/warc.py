@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,6 +33,8 @@ FAN = 64
 RUN_ROWS = 200_000
 GROUP_ROWS = 4096
 SAMPLE_ROWS = 512
+#: Key ranges of the last pass; with more captures each range grows, in batches.
+MOST_TASKS = 4000
 URL = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]*)([^#]*)", re.S)
 CAPTURE = pa.schema([("url_key", pa.string()), ("captured_at", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("position", pa.int64())])
 CAPTURE_DDL = "url_key string, captured_at long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, position long"
@@ -253,19 +255,19 @@ def runs(manifest: DataFrame, path: str) -> DataFrame:
 def merge(found: DataFrame, path: str, task_rows: int = 50_000) -> DataFrame:
     """All captures in global order; partition i holds what comes before partition i + 1."""
     spark = found.sparkSession
-    while (k := found.count()) > FAN:
-        groups = -(-k // FAN)
+    while found.count() > FAN:
 
         def combine(part: pa.Table) -> pa.Table:
             uri = f"{path}/run-{uuid.uuid4().hex}.parquet"
             n, marks = write_run(uri, iter(LoserTree([read_run(r) for r in part.column("run").to_pylist()])))
             return pa.table({"run": [uri], "n": [n], "marks": pa.array([marks], pa.list_(pa.string()))})
 
-        numbered = found.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)))
+        # numbered one by one, so no group exceeds FAN: a row of a path per run
+        numbered = found.select("run", F.floor((F.row_number().over(Window.orderBy("run")) - 1) / FAN).alias("g"))
         found = common.as_table(spark, numbered.groupBy("g").applyInArrow(combine, "run string, n long, marks array<string>"), "warc-runs")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = max(1, -(-total // task_rows))
-    # 32 order keys a task, whatever the captures' number, are enough to cut even ranges
+    tasks = min(MOST_TASKS, max(1, -(-total // task_rows)))
+    # at most 32 order keys a task come to the driver, 128,000 in all: enough to cut even ranges
     keep = max(1, total // SAMPLE_ROWS // (32 * tasks))
     marks = sorted(ast.literal_eval(r[0]) for r in found.select(F.posexplode("marks")).where(F.col("pos") % keep == 0).select("col").toLocalIterator())
     cuts = [marks[len(marks) * n // tasks] for n in range(1, tasks)] if marks else []
