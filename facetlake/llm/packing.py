@@ -134,7 +134,7 @@ def pack(
         for batch in batches:
             key_type = batch.column(0).type
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 512)
+                part = batch.slice(at, 4096)
                 ids = [np.concatenate([x, end]) for x in enc.encode(part.column(1))]
                 longest = max(map(len, ids))
                 steps = np.arange(longest) if longest > len(steps) else steps

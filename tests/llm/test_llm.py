@@ -366,6 +366,18 @@ def test_packing_equals_brute_force(spark):
             used.add(p.doc_id)
 
 
+def test_batches_lose_no_row(spark):
+    """More rows in one task than any operator takes at once: every row comes out of the operators that work in batches."""
+    n = 11_000
+    df = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    packed = packing.pack(df, P.path("byte_bpe_50k.json"))
+    assert packed.select("doc_id").distinct().count() == n
+    assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    assert bpe.digests(df, P.path("word_bpe_49k.json")).select("doc_id").distinct().count() == n
+    assert neardup.classes(df).select("doc_id").distinct().count() == n
+    assert media.store(df).select("k").distinct().count() == n
+
+
 def test_packing_odd_tables(spark):
     df = spark.createDataFrame([(None, None, 1, 2)] * 3 + [(5, "a b c", 1, 2)] * 40, "doc_id long, text string, place long, ids long")
     rows = packing.pack(df, P.path("byte_bpe_50k.json"), window=16).collect()
