@@ -94,6 +94,20 @@ def violins(counts: DataFrame, scale: str = "self") -> DataFrame:
     return joined.select("hist", "bin", (F.col("n") / F.col("_m")).alias("v"))
 
 
+def paired(df: DataFrame, axes: list, where: Column) -> DataFrame:
+    """bin, n (all rows) and m (rows that the condition accepts), from one scan."""
+    return df.groupBy(bins(axes).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(where).alias("m"))
+
+
+def paired_overlap(p: DataFrame) -> DataFrame:
+    return p.agg(F.coalesce(F.sum(F.least("n", "m")), F.lit(0)).cast("long").alias("overlap"))
+
+
+def paired_chi_square(p: DataFrame) -> DataFrame:
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    return p.agg((F.sum(F.when(n + m > 0, (m - n) * (m - n) / (n + m))) / 2 / F.sum(n)).alias("distance"))
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.withColumnRenamed("n", "m"), "bin").agg(F.coalesce(F.sum(F.least("n", "m")), F.lit(0)).cast("long").alias("overlap"))
 

@@ -174,8 +174,8 @@ def price_hist(df: DataFrame, where=None) -> DataFrame:
 
 query("hist_dense", "lineitem", SOME_BINS)(lambda df: price_hist(df, MAIN.column()))
 query("hist_smooth", "lineitem", f"WITH h AS ({ALL_BINS}), k AS (SELECT range - 6 AS k, exp(-pow(range - 6, 2) / 8.0) AS w FROM range(13)) SELECT h.bin + k AS bin, round(sum(n * w) / sum(w), 6) AS v FROM h, k WHERE h.bin + k BETWEEN 0 AND 23 GROUP BY 1")(lambda df: H.smooth(price_hist(df), 24, 2.0).withColumn("v", F.round("v", 6)))
-query("hist_overlap", "lineitem", f"SELECT CAST(sum(least(a.n, b.n)) AS BIGINT) AS overlap FROM ({ALL_BINS}) a JOIN ({SOME_BINS}) b ON a.bin = b.bin")(lambda df: H.overlap(price_hist(df), price_hist(df, MAIN.column())))
-query("hist_chi2", "lineitem", f"SELECT round(sum(CASE WHEN a.n + b.n > 0 THEN pow(a.n - b.n, 2) / (a.n + b.n) END) / 2 / sum(a.n), 9) AS distance FROM ({ALL_BINS}) a JOIN ({SOME_BINS}) b ON a.bin = b.bin")(lambda df: H.chi_square(price_hist(df), price_hist(df, MAIN.column())).withColumn("distance", F.round("distance", 9)))
+query("hist_overlap", "lineitem", f"SELECT CAST(sum(least(a.n, b.n)) AS BIGINT) AS overlap FROM ({ALL_BINS}) a JOIN ({SOME_BINS}) b ON a.bin = b.bin")(lambda df: H.paired_overlap(H.paired(df, [P1], MAIN.column())))
+query("hist_chi2", "lineitem", f"SELECT round(sum(CASE WHEN a.n + b.n > 0 THEN pow(a.n - b.n, 2) / (a.n + b.n) END) / 2 / sum(a.n), 9) AS distance FROM ({ALL_BINS}) a JOIN ({SOME_BINS}) b ON a.bin = b.bin")(lambda df: H.paired_chi_square(H.paired(df, [P1], MAIN.column())).withColumn("distance", F.round("distance", 9)))
 query("hist_bundles", "lineitem", f"WITH h AS ({SOME_BINS}), w AS (SELECT *, lag(n) OVER (ORDER BY bin) AS b, lead(n) OVER (ORDER BY bin) AS a FROM h), s AS (SELECT *, CAST(sum(CASE WHEN n < b AND n <= a THEN 1 ELSE 0 END) OVER (ORDER BY bin) AS BIGINT) AS segment FROM w) SELECT segment, min(bin) AS first, max(bin) AS last, round(CASE WHEN sum(n) > 0 THEN sum(bin * n) / sum(n) END, 9) AS middle, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY segment")(lambda df: H.bundles(price_hist(df, MAIN.column())).withColumn("middle", F.round("middle", 9)))
 query("hist_axis", "lineitem", "SELECT CAST(floor((l_extendedprice - 5000) / 55000 * 0.999999 * 16) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 5000 AND 60000 GROUP BY 1")(lambda df: df.where(c("l_extendedprice").between(5000, 60000)).groupBy(F.floor((c("l_extendedprice") - 5000.0) / 55000.0 * 0.999999 * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 query("hist_dim_reduce", "lineitem", f"SELECT bin % 32 AS bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {bin_sql(AXES[:2])} AS bin, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1")(lambda df: H.hist(df, AXES[:2]).groupBy((c("bin") % 32).alias("bin")).agg(F.sum("n").alias("n")))
