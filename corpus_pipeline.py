@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences; each stage works on all rows its predecessor kept."""
+"""From raw documents to packed training sequences; each stage works on all rows its predecessor kept.
+
+Defined results.  A null or empty text fails the base rules and goes.  Rows with a null id take part like any other and
+end as pieces with a null id.  Of repeated rows one stays.  Null lang is a stratum of its own.  Extra columns are carried
+to the last stage, whatever their names, and ignored.  An empty table gives no pieces; without labels only the base rules
+reject.
+"""
 
 from __future__ import annotations
 
@@ -36,12 +42,15 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: Consistent sampling, boosted trees and tokenizers have no SQL form; tests compare the stages with brute force.
+#: Consistent sampling, boosted trees and tokenizers have no SQL form; a test compares the whole run with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote is deleted when the next one has read it."""
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.as_table(spark, stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+            scratch.drop(but=1)
+        return STAGES[-1][1](spark, docs, sf_dir)  # reads its own table of ids from here on
