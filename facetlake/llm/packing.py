@@ -1,8 +1,9 @@
 """Lexical retrieval packing: windows filled by the BM25 neighbours of their first document.
 
-Documents are dealt into shards by what they say: four minima of idf-weighted min-wise hashing over their terms make
-a place, and documents are range-partitioned and sorted by it, so that texts which share rare terms lie side by side
-(two texts agree in a minimum with the probability of their idf-weighted Jaccard similarity).  Rows of one place are
+Documents are dealt into shards by what they say: four minima of weighted min-wise hashing over their terms make a
+place, and documents are range-partitioned and sorted by it, so that texts which share rare terms lie side by side (two
+texts agree in a minimum with the probability of their weighted Jaccard similarity).  A term weighs its number in the
+vocabulary, where rarer ones come later: that needs no statistics, and it brings more neighbours together than idf does.  Rows of one place are
 spread by hash, so repeated texts fill many partitions.  Each partition is cut into shards of bounded size in that
 order.  A shard builds an inverted index over its own documents (terms are token ids, so the statistics of the whole
 corpus are one vector of the vocabulary's size) and packs them: the first unused document is a window's seed, all of
@@ -109,10 +110,9 @@ def places(ids: list[np.ndarray], ranks: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(1)).view(np.int64)
 
 
-def orders(frequency: np.ndarray, n_docs: int) -> np.ndarray:
-    """Four orders of all terms, by exponential draws divided by idf: ranks of 16 bits."""
-    idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
-    draws = np.random.default_rng(5).exponential(size=(4, VOCABULARY)) / idf
+def orders() -> np.ndarray:
+    """Four orders of all terms, by exponential draws divided by the term's number: ranks of 16 bits."""
+    draws = np.random.default_rng(5).exponential(size=(4, VOCABULARY)) / np.arange(1, VOCABULARY + 1)
     return np.argsort(np.argsort(draws, axis=1), axis=1).astype(np.uint16)
 
 
@@ -127,14 +127,14 @@ def pack(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        enc, end = encoder(tokenizer), np.array([end_id], np.uint16)
-        names = ["k", "ids", "statistics"]
+        enc, end, ranks = encoder(tokenizer), np.array([end_id], np.uint16), orders()
+        names = ["k", "place", "ids", "statistics"]
         frequency, tokens, n = np.zeros(VOCABULARY, np.int64), 0, 0
         key_type, last, steps = None, np.zeros(VOCABULARY, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             key_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 ids = [np.concatenate([x, end]) for x in enc.encode(part.column(1))]
                 longest = max(map(len, ids))
                 steps = np.arange(longest) if longest > len(steps) else steps
@@ -142,12 +142,12 @@ def pack(
                     last[x] = steps[: len(x)]
                     frequency[x[last[x] == steps[: len(x)]]] += 1  # each term at its last place
                 tokens, n = tokens + sum(map(len, ids)), n + len(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places(ids, ranks)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if n:  # this task's share of the corpus statistics
             blob = np.concatenate([frequency, [tokens, n]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)
 
-    table = common.as_table(spark, docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(encode, f"k {kind}, ids binary, statistics binary"), "packing-ids")
+    table = common.as_table(spark, docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(encode, f"k {kind}, place long, ids binary, statistics binary"), "packing-ids")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY + 2, np.int64)
@@ -162,15 +162,7 @@ def pack(
     for row in partial.toLocalIterator():
         statistics += np.frombuffer(row["blob"], np.int64)
     frequency, tokens, n_docs = statistics[:VOCABULARY], int(statistics[-2]), int(statistics[-1])
-    shared = spark.sparkContext.broadcast((frequency, orders(frequency, n_docs)))  # 1 MB whatever the corpus
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value[1]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = places([np.frombuffer(x, np.uint16) for x in part.column(1).to_pylist()], ranks)
-                yield pa.RecordBatch.from_arrays([pa.array(found), part.column(0), part.column(1)], ["place", "k", "ids"])
+    shared = spark.sparkContext.broadcast(frequency)  # 512 KB whatever the corpus
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,7 +172,7 @@ def pack(
         def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             part = pa.Table.from_batches(parts).combine_chunks()
             ids = [np.frombuffer(x, np.uint16) for x in part.column("ids").to_pylist()]
-            rows = packer.pack(ids, Index(ids, shared.value[0], n_docs, tokens / max(n_docs, 1)))
+            rows = packer.pack(ids, Index(ids, shared.value, n_docs, tokens / max(n_docs, 1)))
             doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*rows))
             pieces = [ids[d][s : s + m] for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist())]
             out = {
@@ -205,7 +197,7 @@ def pack(
             yield shard(held)
 
     # equal places (copies) are spread by hash
-    placed = table.where("ids is not null").select("k", "ids").mapInArrow(place, f"place long, k {kind}, ids binary")
+    placed = table.where("ids is not null").select("place", "k", "ids")
     tasks = max(1, -(-2 * tokens // task_bytes))
     placed = placed.withColumn("tie", F.xxhash64("k", "ids")).repartitionByRange(tasks, "place", "tie").sortWithinPartitions("place", "tie", "k").drop("tie")
     schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
