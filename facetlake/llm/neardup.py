@@ -262,7 +262,8 @@ def buckets(scratch: common.Scratch, reps: DataFrame) -> DataFrame:
 def only(docs: DataFrame, key: str, ids: DataFrame, keep: bool) -> DataFrame:
     """Rows of ``docs`` whose key is (not) among ``ids`` (a written table with the same column)."""
     short = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if short else ids, key, "left_semi" if keep else "left_anti")
+    joined = docs.join(F.broadcast(ids) if short else ids, key, "left_semi" if keep else "left_anti")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def compared(cells: DataFrame, texts: DataFrame, shared) -> DataFrame:
@@ -463,10 +464,12 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     if single(docs, key):
         copies = grouped(docs, key, text).where(F.col("class_id") != F.col(key)).select(key)
         return only(docs, key, common.as_table(spark, copies, "neardup-copies"), False)
-    rows = common.as_table(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-numbered")
-    of = rows.select("_row", key).join(grouped(rows, "_row", text), "_row")
-    first = of.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "_row")).alias("m"))
-    return rows.join(first.select("m._row"), "_row", "left_semi").drop("_row")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = common.as_table(spark, docs.select(own, F.monotonically_increasing_id().alias("row")), "neardup-numbered")
+    id_of, text_of = (F.col(f"doc.`{c}`") for c in (key, text))
+    of = rows.select("row", id_of.alias("id")).join(grouped(rows.select("row", text_of.alias("text")), "row", "text"), "row")
+    first = of.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
+    return rows.join(first.select("m.row"), "row", "left_semi").select("doc.*")
 
 
 def op10_icws_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
