@@ -51,6 +51,24 @@ def split_runs(found: DataFrame, most: int) -> DataFrame:
 LIFTS = {"5/3": ((-0.5, 0.25), 1.0), "9/7": ((-1.586134342, -0.05298011854, 0.8829110762, 0.4435068522), 1.149604398)}
 
 
+def lifted(df: DataFrame, key: str, value: str, group: str, kind: str = "9/7") -> DataFrame:
+    """group, pos, w: one wavelet level of each group's values by unique ``key``, mirrored at the ends, low band first.
+
+    Every lifting step looks at both neighbours, so all steps share one sort of the group.
+    """
+    steps, scale = LIFTS[kind]
+    w = Window.partitionBy(group).orderBy("_i")
+    d = df.select(group, (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("_i"), F.col(value).cast("double").alias("_x"))
+    for n, by in enumerate(steps):
+        left, right = F.lag("_x").over(w), F.lead("_x").over(w)
+        both = F.coalesce(left, right) + F.coalesce(right, left)
+        d = d.withColumn("_x", F.when((F.col("_i") % 2 == 1 - n % 2) & both.isNotNull(), F.col("_x") + by * both).otherwise(F.col("_x")))
+    size = F.count(F.lit(1)).over(Window.partitionBy(group))
+    even = F.col("_i") % 2 == 0
+    place = F.when(even, F.floor(F.col("_i") / 2)).otherwise(F.floor((size + 1) / 2) + F.floor(F.col("_i") / 2))
+    return d.select(group, place.cast("long").alias("pos"), F.when(size < 2, F.col("_x")).when(even, F.col("_x") * scale).otherwise(F.col("_x") / scale).alias("w"))
+
+
 def _lift(x: np.ndarray, odd: bool, w: float) -> None:
     ext = np.pad(x, 1, mode="reflect") if len(x) > 1 else np.pad(x, 1, mode="edge")
     at = np.arange(int(odd), len(x), 2)

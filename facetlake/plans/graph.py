@@ -56,3 +56,9 @@ class Graph:
             op, inputs, params = self.steps[n]
             df = df.withColumn(n, NODES[op].build(*[F.col(i) if isinstance(i, str) else F.lit(float(i)) for i in inputs], **params))
         return df.select(*given, *[o for o in outputs if o not in given])
+
+    def write_back(self, df: DataFrame, outputs: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The table with its derived columns, and their new bounds (attribute, lo, hi) from one pass."""
+        out = self.apply(df, outputs)
+        row = out.agg(*[x for o in outputs for x in (F.min(o).cast("double").alias(f"lo|{o}"), F.max(o).cast("double").alias(f"hi|{o}"))])
+        return out, row.select(F.expr(f"stack({len(outputs)}, " + ", ".join(f"'{o}', `lo|{o}`, `hi|{o}`" for o in outputs) + ") as (attribute, lo, hi)"))

@@ -337,16 +337,6 @@ query("rle_zero", "orders", f"SELECT o_custkey, o_orderkey, s, CAST(i - coalesce
 query("rle_runs", "orders", f"SELECT o_custkey, min(o_orderkey) AS start, min(s) AS symbol, count(*) - 1 AS repeats FROM (SELECT *, i - row_number() OVER (PARTITION BY o_custkey, s ORDER BY i) AS g FROM ({RLE})) GROUP BY o_custkey, s, g")(lambda df: codec.runs(symbols(df), "o_orderkey", "s", "o_custkey"))
 
 
-@query("wavelet", "orders")
-def _(df):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o_orderkey")
-        return pd.DataFrame({"o_custkey": pdf["o_custkey"], "pos": range(len(pdf)), "w": codec.dwt(pdf["o_totalprice"].to_numpy())})
-
-    return df.select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(run, "o_custkey long, pos long, w double")
-
-
-query("pca", "part")(lambda df: stats.pca(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 2))
 query("leader", "supplier")(lambda df: stats.leader(df.select("s_suppkey", "s_acctbal", "s_nationkey"), ["s_acctbal"], "s_suppkey", 800.0, "s_nationkey"))
 query("hierarchical", "supplier")(lambda df: stats.on_all(df, ["s_acctbal"], "s_suppkey", lambda k, x: pd.DataFrame({"s_suppkey": k, "cluster": stats.hierarchical(x, 4, "ward")}), "s_suppkey long, cluster long"))
 query("tsne", "supplier")(lambda df: stats.on_all(df, ["s_acctbal", "s_nationkey"], "s_suppkey", lambda k, x: (lambda y: pd.DataFrame({"s_suppkey": k, "x": y[:, 0], "y": y[:, 1]}))(stats.tsne((x - x.mean(0)) / (x.std(0) + 1e-9), min(10, (len(x) - 1) / 3), 100)), "s_suppkey long, x double, y double", limit=None))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions import brush as B
 from .operators import codec, histogram as H, lists, ranks, stats
 from .operators.lineage import shared_dir
-from .registry import AXES, P1, PENTAGON, VOX, bin_sql, by_list, c, grouped, grouped_sql, lasso_sql, load, query, symbols, voxels
+from .plans.graph import Graph
+from .registry import AXES, P1, PENTAGON, VOX, X_SQL, bin_sql, by_list, c, grouped, grouped_sql, lasso_sql, load, query, symbols, voxels, xyz
 from .sources import dataset, tables
 
 # lists ----------------------------------------------------------------------------------------------------------
@@ -78,6 +79,9 @@ PCA2 = f"SELECT *, CASE WHEN abs(x0) >= abs(y0) THEN sign(x0) ELSE sign(y0) END
 SCORES = f"SELECT p_partkey, s0 * (x0 * (p_size - u) + y0 * (p_retailprice - v)) AS pc0, CASE WHEN abs(y0) >= abs(x0) THEN sign(-y0) ELSE sign(x0) END * (-y0 * (p_size - u) + x0 * (p_retailprice - v)) AS pc1 FROM part, ({PCA2})"
 query("pca_scores", "part", f"SELECT p_partkey, round(pc0, 6) AS pc0, round(pc1, 6) AS pc1 FROM ({SCORES})")(lambda df: stats.pca(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 2).select("p_partkey", F.round("pc0", 6).alias("pc0"), F.round("pc1", 6).alias("pc1")))
 query("pca_scaled", "part", f"SELECT p_partkey, round(pc0 / m, 7) AS pc0 FROM ({SCORES}), (SELECT greatest(max(abs(p_size - u)), max(abs(p_retailprice - v))) AS m FROM part, ({COV2}))")(lambda df: stats.pca(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 1, scaled=True).select("p_partkey", F.round("pc0", 7).alias("pc0")))
+query("pca", "part", f"SELECT p_partkey, p_size, p_retailprice, round(pc0, 6) AS pc0, round(pc1, 6) AS pc1 FROM part JOIN ({SCORES}) USING (p_partkey)")(
+    lambda df: stats.pca(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 2).withColumns({x: F.round(x, 6) for x in ("pc0", "pc1")})
+)
 TRIANGLE = [(-20.0, -8.0), (15.0, -4.0), (2.0, 9.5)]
 query("projected_lasso", "part", f"SELECT p_partkey FROM ({SCORES}) WHERE {lasso_sql('pc0', 'pc1', TRIANGLE)}")(lambda df: stats.pca(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 2).where(B.in_lasso("pc0", "pc1", TRIANGLE)).select("p_partkey"))
 
@@ -101,6 +105,15 @@ query("median_geometric", "part", "WITH m0 AS (SELECT avg(p_size) AS x, avg(p_re
 )
 
 
+BOUNDS = Graph().add("a", "plus", "x", "y").add("b", "multiplication", "a", "x")
+query("derivation_bounds", "part", " UNION ALL ".join(f"SELECT '{n}' AS attribute, round(min({e}), 8) AS lo, round(max({e}), 8) AS hi FROM ({X_SQL})" for n, e in (("a", "x + y"), ("b", "(x + y) * x"))))(
+    lambda df: BOUNDS.write_back(xyz(df), ["a", "b"])[1].select("attribute", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
+)
+query("kmeans_l1", "part", "SELECT p_partkey, CAST(CASE WHEN a <= b AND a <= d THEN 0 WHEN b <= d THEN 1 ELSE 2 END AS BIGINT) AS cluster FROM (SELECT p_partkey, " + ", ".join(f"abs(p_size - {x}) + abs(p_retailprice - {y}) AS {n}" for n, x, y in (("a", 10, 901), ("b", 25, 910), ("d", 40, 918))) + " FROM part)")(
+    lambda df: stats.kmeans(df, ["p_size", "p_retailprice"], [[10.0, 901.0], [25.0, 910.0], [40.0, 918.0]], 0, "l1")[0].select("p_partkey", "cluster")
+)
+
+
 # histograms and volumes -----------------------------------------------------------------------------------------
 def price_hist(df: DataFrame) -> DataFrame:
     return H.dense(H.hist(df, [P1]), 24)
@@ -148,6 +161,19 @@ query("quantize_dead_zone", "orders", "SELECT o_orderkey, CAST(sign(o_totalprice
 query("unquantize", "orders", "SELECT o_orderkey, sign(q) * (abs(q) + 0.5) * 20000 AS v FROM (SELECT o_orderkey, CAST(sign(o_totalprice - 150000) * floor(abs(o_totalprice - 150000) / 20000) AS BIGINT) AS q FROM orders)")(
     lambda df: df.select("o_orderkey", codec.unquantize(codec.unzigzag(codec.zigzag(codec.quantize(c("o_totalprice") - 150000, 20000.0, True))), 20000.0, True).alias("v"))
 )
+
+
+def wavelet_sql(kind: str) -> str:
+    steps, scale = codec.LIFTS[kind]
+    out = "WITH x0 AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, CAST(round(o_totalprice * 100) AS BIGINT)::DOUBLE AS v, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+    for k, by in enumerate(steps):
+        l, r = "lag(v) OVER (PARTITION BY o_custkey ORDER BY i)", "lead(v) OVER (PARTITION BY o_custkey ORDER BY i)"
+        out += f", x{k + 1} AS (SELECT o_custkey, i, n, CASE WHEN i % 2 = {1 - k % 2} AND n > 1 THEN v + ({by!r})::DOUBLE * (coalesce({l}, {r}) + coalesce({r}, {l})) ELSE v END AS v FROM x{k})"
+    return out + f" SELECT o_custkey, CASE WHEN i % 2 = 0 THEN i // 2 ELSE (n + 1) // 2 + i // 2 END AS pos, round(CASE WHEN n < 2 THEN v WHEN i % 2 = 0 THEN v * {scale!r}::DOUBLE ELSE v / {scale!r}::DOUBLE END, 3) AS w FROM x{len(steps)}"
+
+
+for _name, _kind in (("wavelet", "9/7"), ("wavelet_53", "5/3")):
+    query(_name, "orders", wavelet_sql(_kind))(lambda df, k=_kind: codec.lifted(df.withColumn("cents", F.round(c("o_totalprice") * 100).cast("long")), "o_orderkey", "cents", "o_custkey", k).withColumn("w", F.round("w", 3)))
 RUNS = "SELECT o_custkey, min(o_orderkey) AS start, min(s) AS symbol, count(*) - 1 AS repeats FROM (SELECT *, i - row_number() OVER (PARTITION BY o_custkey, s ORDER BY i) AS g FROM (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice / 200000) AS BIGINT) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)) GROUP BY o_custkey, s, g"
 query("rle_split", "orders", f"SELECT o_custkey, start, symbol, CAST(part AS INT) AS part, least(1, repeats - part * 2) AS repeats FROM (SELECT *, unnest(range(0, repeats // 2 + 1)) AS part FROM ({RUNS})) WHERE repeats - part * 2 >= 0")(lambda df: codec.split_runs(codec.runs(symbols(df), "o_orderkey", "s", "o_custkey"), 1))
 

@@ -120,3 +120,16 @@ def test_open_by_path(spark, tmp_path):
     assert dataset.read(spark, str(tmp_path / "a.csv"), "lon").columns == ["lon"]
     with pytest.raises(ValueError):
         dataset.analyse(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+
+
+@pytest.mark.parametrize("kind", ["5/3", "9/7"])
+def test_lifted_equals_the_array_form(spark, kind):
+    from facetlake.operators import codec
+
+    r = np.random.default_rng(4)
+    groups = {g: r.normal(0, 10, g) for g in range(1, 8)}
+    df = spark.createDataFrame([(g, i, float(v)) for g, x in groups.items() for i, v in enumerate(x)], "g int, k int, v double")
+    got = codec.lifted(df, "k", "v", "g", kind).toPandas().sort_values(["g", "pos"])
+    for g, x in groups.items():
+        own = got[got.g == g].w.to_numpy()
+        assert np.allclose(own, codec.dwt(x, kind)) and np.allclose(codec.idwt(own, kind), x)
