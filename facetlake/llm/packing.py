@@ -118,7 +118,7 @@ def orders() -> np.ndarray:
 
 def pack(
     docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 1, window: int = 2048,
-    shard_docs: int = 512, shard_bytes: int = 16 << 20, task_bytes: int = 16 << 20,
+    shard_docs: int = 512, shard_bytes: int = 4 << 20, task_bytes: int = 16 << 20, task_docs: int = 2048,
 ) -> DataFrame:
     """Pieces of sequences: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint16)."""
     spark = docs.sparkSession
@@ -198,7 +198,7 @@ def pack(
 
     # equal places (copies) are spread by hash
     placed = table.where("ids is not null").select("place", "k", "ids")
-    tasks = max(1, -(-2 * tokens // task_bytes))
+    tasks = max(1, -(-2 * tokens // task_bytes), -(-n_docs // task_docs))  # long texts lie together, so both are bounded
     placed = placed.withColumn("tie", F.xxhash64("k", "ids")).repartitionByRange(tasks, "place", "tie").sortWithinPartitions("place", "tie", "k").drop("tie")
     schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     return placed.mapInArrow(fill, schema).withColumnRenamed("k", key)
