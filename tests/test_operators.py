@@ -133,3 +133,25 @@ def test_lifted_equals_the_array_form(spark, kind):
     for g, x in groups.items():
         own = got[got.g == g].w.to_numpy()
         assert np.allclose(own, codec.dwt(x, kind)) and np.allclose(codec.idwt(own, kind), x)
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "float", "double"])
+def test_sorting_is_an_ordered_permutation(spark, kind):
+    """Values ascend through the places, ids are a permutation, negative values and ties included."""
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(r.integers(-100, 100, 150))], "id long, v int").select("id", F.col("v").cast(kind).alias("v"))
+    got = ranks.position(df, "v", "id").orderBy("pos").collect()
+    assert [x.pos for x in got] == list(range(150))
+    assert sorted(x.id for x in got) == list(range(150))
+    assert [(x.v, x.id) for x in got] == sorted((x.v, x.id) for x in got)
+
+
+def test_nearest_among_uniform_points(spark):
+    """No row is closer than the one that the search names, whatever part of the rows is flagged."""
+    r = np.random.default_rng(5)
+    p = r.random((100, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "k long, x double, y double")
+    for share in (1, 3, 50):
+        got = {x.k: x.distance for x in stats.nearest_flagged(df, ["x", "y"], "k", F.col("k") % share == 0).collect()}
+        d = np.sqrt(((p[:, None] - p[None, ::share]) ** 2).sum(2)).min(1)
+        assert [got[i] for i in range(100)] == pytest.approx(d.tolist(), abs=1e-12)
