@@ -188,6 +188,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         if n:
             at = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["slot", "df"])
+        pa.default_memory_pool().release_unused()  # Arrow's pool would hold on to freed buffers
 
     # summed by slot before anything meets: at most SLOTS + 1 rows remain
     total = docs.select(text).mapInArrow(count, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df"))
@@ -225,6 +226,7 @@ def sketch(docs: DataFrame, shared, key: str, text: str) -> DataFrame:
                     for n, row in zip(slots, s):
                         sigs[n] = row.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["k", "digest", "size", "samples"])
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"k {kind}, digest binary, size long, samples binary")

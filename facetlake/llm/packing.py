@@ -133,8 +133,8 @@ def pack(
         key_type, last, steps = None, np.zeros(VOCABULARY, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             key_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids = [np.concatenate([x, end]) for x in enc.encode(part.column(1))]
                 longest = max(map(len, ids))
                 steps = np.arange(longest) if longest > len(steps) else steps
@@ -195,6 +195,7 @@ def pack(
                 held.append(batch.slice(lo))
         if rows:
             yield shard(held)
+        pa.default_memory_pool().release_unused()
 
     # equal places (copies) are spread by hash
     placed = table.where("ids is not null").select("place", "k", "ids")

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 700_000
+CACHE = 500_000
 #: Bytes of text that are gathered at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 #: Texts that have such go through the library whole: white space other than single spaces and one or two line feeds,
 #: and the mark that chunks at the start of a text carry.
 ODD = r"[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|  | \n|\n |\n\n\n|\n\n\z| \z"
@@ -73,6 +73,7 @@ class Encoder:
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 for n, ids in zip(at[lo:hi].tolist(), self.gather(plain.slice(lo, hi - lo))):
                     out[n] = ids
+            pa.default_memory_pool().release_unused()  # Arrow's pool would hold on to freed buffers
         return out
 
     def gather(self, texts: pa.Array) -> list[np.ndarray]:
