@@ -52,7 +52,7 @@ SLOTS = 1 << 20
 #: Shingles of recently compared texts that a task remembers (32 MB); a longer text is held on its own.
 HELD = 1 << 21
 WORD = re.compile(r"\w+")
-CACHE = 400_000
+CACHE = 250_000
 _words: dict[str, bytes] = {}
 U64 = np.uint64
 
