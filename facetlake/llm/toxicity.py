@@ -117,7 +117,7 @@ def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[fl
     return prior * sigmoid(-positive).mean(), sigmoid(unlabelled).mean() - prior * sigmoid(positive).mean()
 
 
-def train(positive: Rows, unlabelled: Rows, size: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(positive: Rows, unlabelled: Rows, size: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk, by Adam over all rows."""
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
