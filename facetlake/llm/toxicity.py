@@ -109,7 +109,8 @@ class Rows:
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
 
 
 def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
