@@ -93,6 +93,15 @@ def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.expr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs) + ") as (a, b, cov)"))
 
 
+def principal_axes(m: np.ndarray) -> tuple[list[list[float]], list[float]]:
+    """(axes, variances) of a covariance matrix, largest first, the largest loading of each positive."""
+    values, axes = np.linalg.eigh(m)
+    order = np.argsort(-values)
+    axes = axes[:, order].T
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    return axes.tolist(), [float(v) for v in values[order]]
+
+
 def gaussian(df: DataFrame, columns: list[str]) -> tuple[list[float], list[list[float]], list[float]]:
     """(mean, principal axes, variances): a k x k matrix on the driver."""
     mean = list(df.agg(*[F.avg(c) for c in columns]).first())
@@ -100,11 +109,8 @@ def gaussian(df: DataFrame, columns: list[str]) -> tuple[list[float], list[list[
     for r in covariance(df, columns).collect():
         i, j = columns.index(r["a"]), columns.index(r["b"])
         m[i, j] = m[j, i] = r["cov"]
-    values, axes = np.linalg.eigh(m)
-    order = np.argsort(-values)
-    axes = axes[:, order].T
-    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
-    return [float(x) for x in mean], axes.tolist(), [float(v) for v in values[order]]
+    axes, values = principal_axes(m)
+    return [float(x) for x in mean], axes, values
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], lists: str | None = None) -> DataFrame:

@@ -344,4 +344,4 @@ EVENT_AXIS = [("value", 0.0, 400.0, 16)]
 query("stream_hist", None, f"SELECT {bin_sql(EVENT_AXIS)} AS bin, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: streaming.run_available(spark, d, "events", EVENT_AXIS))
 
 
-from . import registry_more  # noqa: E402, F401
+from . import registry_more, registry_whole  # noqa: E402, F401
