@@ -71,5 +71,22 @@ class Scratch:
         self.drop()
 
 
+#: What Python workers remember from task to task, one dictionary per operator.
+_memories: list[dict] = []
+
+
+def memory() -> dict:
+    _memories.append({})
+    return _memories[-1]
+
+
+def turn_to(mine: dict) -> dict:
+    """``mine``; a worker that goes from one operator's tasks to another's forgets what the first one remembered."""
+    for other in _memories:
+        if other is not mine:
+            other.clear()
+    return mine
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

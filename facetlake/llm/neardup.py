@@ -53,7 +53,7 @@ SLOTS = 1 << 20
 HELD = 1 << 21
 WORD = re.compile(r"\w+")
 CACHE = 250_000
-_words: dict[str, bytes] = {}
+_words: dict[str, bytes] = common.memory()
 U64 = np.uint64
 
 
@@ -73,7 +73,7 @@ def words_of(text: str | None) -> list[str]:
 
 def hashes_of(words: list[str]) -> np.ndarray:
     """64-bit hash of each word."""
-    known = _words
+    known = common.turn_to(_words)
     try:
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u8")
     except KeyError:

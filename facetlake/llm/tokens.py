@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 CACHE = 500_000
 #: Bytes of text that are gathered at once.
 BATCH_BYTES = 2 << 20
@@ -24,12 +26,12 @@ ODD = r"[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\
 START = "\x01"
 SPACE = re.compile(r"\s")
 TAIL = ".,;:!?|*#$%&\""
-_open: dict = {}
+_open: dict = common.memory()
 
 
 def encoder(path: str) -> "Encoder":
     """One encoder per file and Python worker."""
-    if path not in _open:
+    if path not in common.turn_to(_open):
         _open[path] = Encoder(path)
     return _open[path]
 
