@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.space import Space
 from .plans.graph import Graph
 from .registry import c, load, query
 
@@ -83,3 +84,62 @@ SELECT p_partkey, round(s, 7) AS p0, CAST(k AS BIGINT) AS cell, round(max(s) OVE
 def _(df):
     out = SHAPES.run({("p_partkey",): df.select("p_partkey", "p_size", "p_retailprice")}, ["p0", "cell", "far"])
     return out.withColumns({x: F.round(x, 7) for x in ("p0", "far")})
+
+# kd-tree searches: points are customers by (nation, balance), queries are suppliers and orders ---------------------
+
+
+def customers(spark: SparkSession, d: str, second: bool = False) -> Space:
+    return Space.of(load(spark, d, "customer"), ["c_nationkey", "c_acctbal"], "c_custkey", second=second)
+
+
+CONTAINS_SQL = """SELECT o_orderkey, EXISTS (SELECT 1 FROM part WHERE p_retailprice = floor(o_totalprice / 1000) + 700 AND p_size = month(o_orderdate)) AS contained FROM orders"""
+
+
+@query("kd_contains", None, CONTAINS_SQL)
+def _(spark, d):
+    space = Space.of(load(spark, d, "part"), ["p_size", "p_retailprice"], "p_partkey")
+    asked = load(spark, d, "orders").select("o_orderkey", F.month("o_orderdate").alias("m"), (F.floor(c("o_totalprice") / 1000) + 700).alias("v"))
+    return space.contains(asked, ["m", "v"]).select("o_orderkey", "contained")
+
+
+BOX_SQL = """SELECT s_suppkey, count(c_custkey) AS n, min(c_custkey) AS least FROM supplier LEFT JOIN customer ON c_nationkey BETWEEN s_nationkey - 2 AND s_nationkey + 2 AND c_acctbal BETWEEN s_acctbal - 150 AND s_acctbal + 150 GROUP BY 1"""
+
+
+@query("kd_box", None, BOX_SQL)
+def _(spark, d):
+    asked = load(spark, d, "supplier")
+    around = asked.select("s_suppkey", *[(c(x) + sign * w).alias(f"{x}{sign}") for x, w in (("s_nationkey", 2), ("s_acctbal", 150)) for sign in (-1, 1)])
+    found = customers(spark, d).in_boxes(around, ["s_nationkey-1", "s_acctbal-1"], ["s_nationkey1", "s_acctbal1"], "s_suppkey")
+    sums = found.groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.min("first").alias("least"))
+    return asked.select("s_suppkey").join(sums, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "least")
+
+
+RADIUS_SQL = """SELECT s_suppkey, count(*) AS n, round(max(sqrt(pow(c_nationkey - s_nationkey, 2) + pow(c_acctbal - s_acctbal, 2))), 6) AS far FROM supplier JOIN customer ON pow(c_nationkey - s_nationkey, 2) + pow(c_acctbal - s_acctbal, 2) <= 900 GROUP BY 1"""
+
+
+@query("kd_radius", None, RADIUS_SQL)
+def _(spark, d):
+    found = customers(spark, d).in_radius(load(spark, d, "supplier"), ["s_nationkey", "s_acctbal"], "s_suppkey", 30.0)
+    return found.groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.round(F.sqrt(F.max("d2")), 6).alias("far"))
+
+
+NEAREST_SQL = """WITH d AS (SELECT s_suppkey, c_custkey, (s_nationkey - c_nationkey) * (s_nationkey - c_nationkey) + (s_acctbal - c_acctbal) * (s_acctbal - c_acctbal) AS d2 FROM supplier, customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d2, c_custkey) AS k FROM d)
+SELECT s_suppkey, c_custkey AS near, round(sqrt(d2), 6) AS distance FROM r WHERE k = 1"""
+
+
+@query("kd_nearest", None, NEAREST_SQL)
+def _(spark, d):
+    return customers(spark, d).nearest(load(spark, d, "supplier"), ["s_nationkey", "s_acctbal"], "s_suppkey").withColumn("distance", F.round("distance", 6))
+
+
+NEIGHBOUR_SQL = """WITH d AS (SELECT a.p_partkey, b.p_partkey AS other, (a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice) AS d2 FROM part a JOIN part b ON a.p_partkey <> b.p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d2, other) AS k FROM d)
+SELECT p_partkey, other AS near, round(sqrt(d2), 6) AS distance FROM r WHERE k = 1"""
+
+
+@query("kd_nearest_other", None, NEIGHBOUR_SQL)
+def _(spark, d):
+    part = load(spark, d, "part")
+    space = Space.of(part, ["p_size", "p_retailprice"], "p_partkey", second=True)
+    return space.nearest(part, ["p_size", "p_retailprice"], "p_partkey", other=True).withColumn("distance", F.round("distance", 6))
