@@ -44,8 +44,16 @@ class Boxes:
             self.levels.append((lo, hi))
         self.levels.reverse()
 
-    def meet(self, count: int, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(query, block) pairs that ``near`` lets through on every level."""
+    def labels(self, of: np.ndarray) -> list[np.ndarray]:
+        """Per level, the label that all blocks below a box share, or -1, from the blocks' own labels."""
+        out = [of]
+        while len(out[-1]) > 1:
+            v = out[-1] if len(out[-1]) % 2 == 0 else np.append(out[-1], out[-1][-1])
+            out.append(np.where(v[::2] == v[1::2], v[::2], -1))
+        return out[::-1]
+
+    def meet(self, count: int, near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], labels: list[np.ndarray] | None = None, mine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block) pairs that ``near`` lets through on every level; boxes of one label pass queries of the same by."""
         q, b = np.arange(count), np.zeros(count, np.int64)
         for depth, (lo, hi) in enumerate(self.levels):
             if depth:
@@ -54,11 +62,13 @@ class Boxes:
                 there = b < len(lo)
                 q, b = q[there], b[there]
             ok = near(q, lo[b], hi[b])
+            if labels is not None:
+                ok &= labels[depth][b] != mine[q]
             q, b = q[ok], b[ok]
         return q, b
 
-    def balls(self, x: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.meet(len(x), lambda q, lo, hi: box_distance(x[q], lo, hi) <= np.minimum(r2, FAR)[q])
+    def balls(self, x: np.ndarray, r2: np.ndarray, labels: list[np.ndarray] | None = None, mine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.meet(len(x), lambda q, lo, hi: box_distance(x[q], lo, hi) <= np.minimum(r2, FAR)[q], labels, mine)
 
     def boxes(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.meet(len(lo), lambda q, a, b: ((a <= hi[q]) & (b >= lo[q])).all(1))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.nodes import difference
 from .lineage import checkpointed
+from .linkage import dbscan, single_linkage, spanning_tree  # noqa: F401
 from .ranks import neighbours, position
+from .space import Space
 
 
 #: Most rows of a table that a sequential method takes in one task.
@@ -214,63 +214,11 @@ def within(df: DataFrame, columns: list[str], key: str, eps: float) -> DataFrame
     return left.join(right, cells).withColumn("d2", d2).where(F.col("d2") <= eps * eps).select("a", "b", "d2")
 
 
-def dbscan(df: DataFrame, columns: list[str], key: str, eps: float, min_points: int) -> DataFrame:
-    """key, cluster: -1 for noise, else 1.. by smallest core key; a border row joins its smallest core cluster."""
-    near = checkpointed(within(df, columns, key, eps))
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("a")
-    edges = checkpointed(near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"))
-    labels = checkpointed(core.select(F.col("a").alias("node"), F.col("a").alias("label")))
-    while True:
-        low = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        new = labels.join(low, F.col("a") == F.col("node")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = checkpointed(new.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
-        if new.where("was <> label").isEmpty():
-            break
-        labels = new.select("node", "label")
-    reach = near.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("border"))
-    named = position(labels.select("label").distinct(), "label", name="c").select("label", (F.col("c") + 1).alias("cluster"))
-    of = df.select(F.col(key).alias("_k")).join(labels, F.col("_k") == F.col("node"), "left").join(reach, F.col("_k") == F.col("a"), "left")
-    of = of.select("_k", F.coalesce("label", "border").alias("label")).join(named, "label", "left")
-    return of.select(F.col("_k").alias(key), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
-
-
 def nearest_flagged(df: DataFrame, columns: list[str], key: str, flag) -> DataFrame:
-    """key, distance to the nearest flagged row, exact for any number of flagged rows; null if there is none.
-
-    Rows look for flagged ones in their own and neighbouring grid cells; those that find none within the cell's width
-    go on with cells twice as wide, until cells cover the table.  Rows with a null coordinate get null.
-    """
-    own = df.select(F.col(key), *[F.col(c).cast("double").alias(f"_x{n}") for n, c in enumerate(columns)], flag.alias("_f"))
-    there = reduce(lambda a, b: a & b, [F.col(f"_x{n}").isNotNull() for n in range(len(columns))])
-    rows = checkpointed(own.where(there))
-    marked = checkpointed(rows.where("_f").select(*[F.col(f"_x{n}").alias(f"_y{n}") for n in range(len(columns))]).distinct())
-    b = rows.agg(*[F.min(f"_x{n}").alias(f"lo{n}") for n in range(len(columns))], *[F.max(f"_x{n}").alias(f"hi{n}") for n in range(len(columns))]).first()
-    count = marked.count()
-    if not count:
-        return df.select(key, F.lit(None).cast("double").alias("distance"))
-    spans = [b[f"hi{n}"] - b[f"lo{n}"] for n in range(len(columns))]
-    widest = max(max(spans), 1e-12)
-    width = widest / max(1.0, count ** (1 / max(1, sum(s > 0 for s in spans))))  # about one flagged row a cell
-    done, open_ = [], rows.select(key, *[f"_x{n}" for n in range(len(columns))])
-    cells = [f"_c{n}" for n in range(len(columns))]
-    while True:
-        last = width >= widest * len(columns) ** 0.5
-        near = marked
-        for n in range(len(columns)):
-            near = near.withColumn(cells[n], F.explode(F.array(*[F.floor(F.col(f"_y{n}") / width) + k for k in (-1, 0, 1)])))
-        d2 = sum(((F.col(f"_x{n}") - F.col(f"_y{n}")) * (F.col(f"_x{n}") - F.col(f"_y{n}")) for n in range(len(columns))), F.lit(0.0))
-        here = open_.withColumns({cells[n]: F.floor(F.col(f"_x{n}") / width) for n in range(len(columns))})
-        found = here.join(near, cells).groupBy(key).agg(F.sqrt(F.min(d2)).alias("distance"))
-        found = checkpointed(found if last else found.where(F.col("distance") <= width))
-        done.append(found)
-        if last:
-            break
-        open_ = checkpointed(open_.join(found, key, "left_anti"))
-        if open_.isEmpty():
-            break
-        width *= 2
-    return df.select(key).join(reduce(lambda a, b: a.unionAll(b), done), key, "left")
+    """key, distance to the nearest flagged row, exact for any number of flagged rows; null if there is none or for rows with
+    a null coordinate."""
+    space = Space.of(df.where(flag).withColumn("_flagged", F.lit(1)), columns, "_flagged")
+    return df.select(key).join(space.nearest(df, columns, key).select(key, "distance"), key, "left")
 
 
 def leader(df: DataFrame, columns: list[str], key: str, eps: float, group: str | None = None) -> DataFrame:

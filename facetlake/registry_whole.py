@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import stats
 from .operators.space import Space
 from .plans.graph import Graph
 from .registry import c, load, query
@@ -143,3 +144,26 @@ def _(spark, d):
     part = load(spark, d, "part")
     space = Space.of(part, ["p_size", "p_retailprice"], "p_partkey", second=True)
     return space.nearest(part, ["p_size", "p_retailprice"], "p_partkey", other=True).withColumn("distance", F.round("distance", 6))
+
+# spanning trees and single linkage ------------------------------------------------------------------------------
+TREE_SQL = """WITH p AS (SELECT s_acctbal, min(s_suppkey) AS k FROM supplier GROUP BY 1), o AS (SELECT k, lag(k) OVER (ORDER BY s_acctbal) AS j, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal) AS d FROM p)
+SELECT least(k, j) AS a, greatest(k, j) AS b, round(d, 6) AS length FROM o WHERE j IS NOT NULL"""
+query("spanning_tree", "supplier", TREE_SQL)(lambda df: stats.spanning_tree(df, ["s_acctbal"], "s_suppkey").withColumn("length", F.round("length", 6)))
+
+#: The five clusters that remain when the four widest gaps are cut.
+GAP_SQL = """WITH o AS (SELECT s_suppkey, s_acctbal, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) AS d FROM supplier), g AS (SELECT d FROM o WHERE d IS NOT NULL ORDER BY d DESC LIMIT 4),
+c AS (SELECT s_suppkey, sum(CASE WHEN d >= (SELECT min(d) FROM g) THEN 1 ELSE 0 END) OVER (ORDER BY s_acctbal, s_suppkey) AS c FROM o), n AS (SELECT c, row_number() OVER (ORDER BY min(s_suppkey)) - 1 AS cluster FROM c GROUP BY c)
+SELECT s_suppkey, cluster FROM c JOIN n USING (c)"""
+query("single_linkage_k", "supplier", GAP_SQL)(lambda df: stats.single_linkage(df, ["s_acctbal"], "s_suppkey", k=5))
+
+CUT_SQL = """WITH RECURSIVE n AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON pow(a.s_acctbal - b.s_acctbal, 2) + pow(20.0 * (a.s_nationkey - b.s_nationkey), 2) <= 3600),
+r(a, b) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a), l AS (SELECT a, min(b) AS label FROM r GROUP BY a)
+SELECT a AS s_suppkey, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS cluster FROM l"""
+query("single_linkage_cut", "supplier", CUT_SQL)(lambda df: stats.single_linkage(df.withColumn("nation", 20.0 * c("s_nationkey")), ["s_acctbal", "nation"], "s_suppkey", cut=60.0))
+
+#: Density clusters of all customers in two columns.
+DENSE_SQL = """WITH RECURSIVE n AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON pow(10.0 * (a.c_nationkey - b.c_nationkey), 2) + pow(a.c_acctbal - b.c_acctbal, 2) <= 400), k AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 4),
+r(a, b) AS (SELECT a, a FROM k UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a JOIN k ON n.b = k.a), l AS (SELECT a, min(b) AS label FROM r GROUP BY a), e AS (SELECT n.a, min(label) AS label FROM n JOIN l ON n.b = l.a GROUP BY n.a),
+f AS (SELECT c_custkey, coalesce(l.label, e.label) AS label FROM customer LEFT JOIN l ON c_custkey = l.a LEFT JOIN e ON c_custkey = e.a), d AS (SELECT label, row_number() OVER (ORDER BY label) AS cluster FROM (SELECT DISTINCT label FROM l))
+SELECT c_custkey, CAST(coalesce(d.cluster, -1) AS BIGINT) AS cluster FROM f LEFT JOIN d ON f.label = d.label"""
+query("dbscan_plane", "customer", DENSE_SQL)(lambda df: stats.dbscan(df.withColumn("nation", 10.0 * c("c_nationkey")), ["nation", "c_acctbal"], "c_custkey", 20.0, 4))
