@@ -6,8 +6,8 @@ in a leaf, points lie in blocks of a local tree, and a batch of queries goes dow
 in their own leaf first and go on only to leaves nearer than what they found.
 
 Points of equal coordinates are one row with their number and least key, so no leaf holds a point that cannot be split.  A
-leaf that very many queries meet is repeated for parts of them.  Rows with a null or NaN coordinate are in no tree and find
-nothing; rows without a key find points but are none.  The tree has at most ``LEAVES`` leaves: a fixed bound of what goes to driver and tasks; above ``LEAVES * rows``
+leaf that very many queries meet is repeated for parts of them.  Rows with a null, NaN or infinite coordinate are in no tree and
+find nothing; rows without a key find points but are none.  The tree has at most ``LEAVES`` leaves: a fixed bound of what goes to driver and tasks; above ``LEAVES * rows``
 distinct points leaves grow.
 """
 
@@ -210,7 +210,7 @@ class Space:
     def there(columns: list[str]) -> Column:
         ok = F.lit(True)
         for c in columns:
-            ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+            ok = ok & (F.abs(F.col(c).cast("double")) < float("inf"))  # NaN is above infinity
         return ok
 
     def split(self, one: DataFrame) -> None:

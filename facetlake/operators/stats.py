@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nodes import difference
+from .leaders import leader  # noqa: F401
 from .lineage import checkpointed
 from .linkage import dbscan, single_linkage, spanning_tree  # noqa: F401
 from .ranks import neighbours, position
 from .space import Space
 
 
-#: Most rows of a table that a sequential method takes in one task.
-WHOLE = 1_000_000
-
-
 def pearson(df: DataFrame, base: str, others: list[str]) -> DataFrame:
     """attribute, r: one pass for all attributes."""
     row = df.agg(*[F.corr(base, o).alias(o) for o in others])
@@ -221,26 +218,6 @@ def nearest_flagged(df: DataFrame, columns: list[str], key: str, flag) -> DataFr
     return df.select(key).join(space.nearest(df, columns, key).select(key, "distance"), key, "left")
 
 
-def leader(df: DataFrame, columns: list[str], key: str, eps: float, group: str | None = None) -> DataFrame:
-    """Sequential leader boxes of half-width eps / 2, per group, in key order; a table without group has a size limit."""
-    if group is None and df.count() > WHOLE:
-        raise ValueError(f"more than {WHOLE} rows without a group")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        heads: list[np.ndarray] = []
-        out = []
-        for x in pdf[columns].to_numpy(float):
-            hit = np.flatnonzero((np.abs(np.array(heads) - x) <= eps / 2).all(1)) if heads else []
-            out.append(int(hit[0]) if len(hit) else len(heads))
-            if not len(hit):
-                heads.append(x)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "leader": out})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.withColumn("_g", F.col(group) if group else F.lit(0)).groupBy("_g").applyInPandas(run, f"`{key}` {kind}, leader long")
-
-
 def hierarchical(x: np.ndarray, k: int, linkage: str = "average") -> np.ndarray:
     """Lance-Williams agglomeration of up to some thousand rows into k clusters, numbered by first row."""
     n = len(x)

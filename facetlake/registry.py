@@ -337,7 +337,13 @@ query("rle_zero", "orders", f"SELECT o_custkey, o_orderkey, s, CAST(i - coalesce
 query("rle_runs", "orders", f"SELECT o_custkey, min(o_orderkey) AS start, min(s) AS symbol, count(*) - 1 AS repeats FROM (SELECT *, i - row_number() OVER (PARTITION BY o_custkey, s ORDER BY i) AS g FROM ({RLE})) GROUP BY o_custkey, s, g")(lambda df: codec.runs(symbols(df), "o_orderkey", "s", "o_custkey"))
 
 
-query("leader", "supplier")(lambda df: stats.leader(df.select("s_suppkey", "s_acctbal", "s_nationkey"), ["s_acctbal"], "s_suppkey", 800.0, "s_nationkey"))
+LEADER_SQL = """WITH RECURSIVE o AS (SELECT s_nationkey AS g, s_suppkey AS k, s_acctbal AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+s(g, k, i, heads, leader) AS (SELECT g, k, i, [v], 0 FROM o WHERE i = 1 UNION ALL
+  SELECT o.g, o.k, o.i, CASE WHEN len(list_filter(s.heads, lambda h: o.v >= h - 400 AND o.v <= h + 400)) > 0 THEN s.heads ELSE list_append(s.heads, o.v) END,
+    CASE WHEN len(list_filter(s.heads, lambda h: o.v >= h - 400 AND o.v <= h + 400)) > 0 THEN list_position(s.heads, list_filter(s.heads, lambda h: o.v >= h - 400 AND o.v <= h + 400)[1]) - 1 ELSE len(s.heads) END
+  FROM s JOIN o ON o.g = s.g AND o.i = s.i + 1)
+SELECT k AS s_suppkey, CAST(leader AS BIGINT) AS leader FROM s"""
+query("leader", "supplier", LEADER_SQL)(lambda df: stats.leader(df.select("s_suppkey", "s_acctbal", "s_nationkey"), ["s_acctbal"], "s_suppkey", 800.0, "s_nationkey"))
 query("hierarchical", "supplier")(lambda df: stats.on_all(df, ["s_acctbal"], "s_suppkey", lambda k, x: pd.DataFrame({"s_suppkey": k, "cluster": stats.hierarchical(x, 4, "ward")}), "s_suppkey long, cluster long"))
 query("tsne", "supplier")(lambda df: stats.on_all(df, ["s_acctbal", "s_nationkey"], "s_suppkey", lambda k, x: (lambda y: pd.DataFrame({"s_suppkey": k, "x": y[:, 0], "y": y[:, 1]}))(stats.tsne((x - x.mean(0)) / (x.std(0) + 1e-9), min(10, (len(x) - 1) / 3), 100)), "s_suppkey long, x double, y double", limit=None))
 EVENT_AXIS = [("value", 0.0, 400.0, 16)]

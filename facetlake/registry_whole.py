@@ -167,3 +167,12 @@ r(a, b) AS (SELECT a, a FROM k UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a
 f AS (SELECT c_custkey, coalesce(l.label, e.label) AS label FROM customer LEFT JOIN l ON c_custkey = l.a LEFT JOIN e ON c_custkey = e.a), d AS (SELECT label, row_number() OVER (ORDER BY label) AS cluster FROM (SELECT DISTINCT label FROM l))
 SELECT c_custkey, CAST(coalesce(d.cluster, -1) AS BIGINT) AS cluster FROM f LEFT JOIN d ON f.label = d.label"""
 query("dbscan_plane", "customer", DENSE_SQL)(lambda df: stats.dbscan(df.withColumn("nation", 10.0 * c("c_nationkey")), ["nation", "c_acctbal"], "c_custkey", 20.0, 4))
+
+#: Leaders of a whole table without groups, boxes of a width per column.
+HOLDS = "[h for h in s.heads if o.u >= h.u - 1.5 and o.u <= h.u + 1.5 and o.v >= h.v - 300 and o.v <= h.v + 300]"
+LEADERS_SQL = f"""WITH RECURSIVE o AS (SELECT c_custkey AS k, c_nationkey::DOUBLE AS u, c_acctbal AS v, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+s(k, i, heads, leader) AS (SELECT k, i, [{{'n': 0, 'u': u, 'v': v}}], 0 FROM o WHERE i = 1 UNION ALL
+  SELECT o.k, o.i, CASE WHEN len({HOLDS}) > 0 THEN s.heads ELSE list_append(s.heads, {{'n': len(s.heads)::INTEGER, 'u': o.u, 'v': o.v}}) END, CASE WHEN len({HOLDS}) > 0 THEN ({HOLDS})[1].n ELSE len(s.heads)::INTEGER END
+  FROM s JOIN o ON o.i = s.i + 1)
+SELECT k AS c_custkey, CAST(leader AS BIGINT) AS leader FROM s"""
+query("leader_whole", "customer", LEADERS_SQL)(lambda df: stats.leader(df, ["c_nationkey", "c_acctbal"], "c_custkey", [3.0, 600.0]))
