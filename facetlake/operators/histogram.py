@@ -128,6 +128,62 @@ def bundles(counts: DataFrame) -> DataFrame:
     return d.groupBy("segment").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.when(F.sum("n") > 0, F.sum(F.col("bin") * F.col("n")).cast("double") / F.sum("n")).alias("middle"), F.sum("n").cast("long").alias("n"))
 
 
+def axis_counts(df: DataFrame, axes: list[Axis]) -> DataFrame:
+    """axis, bin, n, dense, of several axes from one scan."""
+    each = F.explode(F.array(*[F.struct(F.lit(a[0]).alias("axis"), F.when(F.col(a[0]).isNotNull(), bins([a])).cast("long").alias("bin")) for a in axes]))
+    found = df.select(each.alias("x")).select("x.*").where("bin is not null").groupBy("axis", "bin").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.explode(F.array(*[F.struct(F.lit(a[0]).alias("axis"), F.lit(a[3]).alias("bins")) for a in axes]))
+    all_bins = df.sparkSession.range(1).select(cells.alias("x")).select("x.axis", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.bins").cast("long") - 1)).alias("bin"))
+    return all_bins.join(found, ["axis", "bin"], "left").select("axis", "bin", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+
+
+def smooth_axes(counts: DataFrame, sigma: float) -> DataFrame:
+    """Each axis of ``axis_counts`` under a Gaussian over ceil(3 sigma) bins to each side, renormalised at the edges."""
+    import math
+
+    r = math.ceil(3 * sigma)
+    kernel = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-k * k / (2 * sigma * sigma))).alias("w")) for k in range(-r, r + 1)]))
+    spread = counts.select("axis", "bin", "n", kernel.alias("x")).select("axis", (F.col("bin") + F.col("x.k")).alias("bin"), (F.col("n") * F.col("x.w")).alias("v"), F.col("x.w").alias("w"))
+    return spread.join(counts.select("axis", "bin"), ["axis", "bin"], "left_semi").groupBy("axis", "bin").agg((F.sum("v") / F.sum("w")).alias("n"))
+
+
+def axis_bundles(counts: DataFrame, axes: list[Axis]) -> DataFrame:
+    """axis, segment, lo, hi, middle: a segment ends where counts rise again after they fell, at the value of that bin.
+
+    The first segment begins at the axis's lower bound, the last one ends at the upper; the middle is the mean of the bins'
+    values by their counts (bin b of n stands for b / (n - 1) of the way).  An axis without rows has no segment.
+    """
+    w = Window.partitionBy("axis").orderBy("bin")  # histograms: some rows an axis
+    of = F.create_map(*[x for name, lo, hi, n in axes for x in (F.lit(name), F.array(*[F.lit(float(v)) for v in (lo, hi, n)]))])[F.col("axis")]
+    value = F.col("bin") / (of[2] - 1) * (of[1] - of[0]) + of[0]
+    step = F.signum(F.col("n") - F.coalesce(F.lag("n").over(w), F.lit(0.0)))
+    d = counts.withColumn("step", F.when(step != 0, step)).withColumn("was", F.last("step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("begins", (F.col("step") > 0) & (F.coalesce("was", F.lit(0.0)) < 0)).withColumn("segment", F.sum(F.col("begins").cast("long")).over(w))
+    s = d.groupBy("axis", "segment").agg(F.min(value).alias("lo"), (F.sum(value * F.col("n")) / F.sum("n")).alias("middle"), F.sum("n").alias("m")).where("m > 0")
+    after = Window.partitionBy("axis").orderBy("segment")
+    return s.select("axis", "segment", F.when(F.col("segment") == 0, of[0]).otherwise(F.col("lo")).alias("lo"), F.coalesce(F.lead("lo").over(after), of[1]).alias("hi"), "middle")
+
+
+def bundle_counts(df: DataFrame, segments: DataFrame, order: list[str]) -> DataFrame:
+    """a, b, from, to, weight: rows (times 10 over all rows) from each segment of an axis to those of the next one.
+
+    Segments are a few numbers per axis and go into the scan as constants; one pass counts all neighbouring axes.  A value
+    on the border of two segments belongs to the lower one; a null lies in none.
+    """
+    ends: dict[str, list[float]] = {}
+    for r in segments.orderBy("axis", "segment").collect():  # at most half the bins of each axis
+        ends.setdefault(r["axis"], []).append(float(r["hi"]))
+
+    def segment(axis: str) -> Column:
+        inner = ends.get(axis, [0.0])[:-1]
+        return F.when(F.col(axis).isNotNull(), sum([(F.col(axis) > x).cast("long") for x in inner], F.lit(0).cast("long")))
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), segment(a).alias("from"), segment(b).alias("to")) for a, b in zip(order[:-1], order[1:])]))
+    counted = df.select(pairs.alias("x")).select("x.*").groupBy("a", "b", "from", "to").agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.groupBy("a", "b").agg(F.sum("n").alias("all"))
+    return counted.where(F.col("from").isNotNull() & F.col("to").isNotNull()).join(F.broadcast(whole), ["a", "b"]).select("a", "b", "from", "to", (F.col("n") * 10.0 / F.col("all")).alias("weight"))
+
+
 def sides(overlaps: dict[tuple[str, str], int]) -> list[tuple[str, str]]:
     """Greedy pairing of the attributes that overlap most, for opposite sides."""
     out, used = [], set()

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import position
@@ -102,8 +102,30 @@ def on_load(df: DataFrame, attributes: str = ".*", trim: dict[str, tuple[int, in
     return subsample(picked, trim or {})
 
 
-def fractures(df: DataFrame, columns: list[str], depth: int, borders: str = "static", least: int = 1) -> DataFrame:
-    """Boxes of a recursive halving of the bounds, one axis a level: box, n, and lo_ and hi_ of each column.
+def area_cuts(rows: DataFrame, axis: str, boxes: dict[str, tuple[float, float]], bins: int) -> dict[str, float]:
+    """For all boxes of a level at once, the value of an axis whose cut has the least extents times rows on both sides.
+
+    Candidates are the largest values of ``bins`` bins of a box (all of its values if each has a bin of its own); rows up to
+    a candidate count for its front.  Of equal costs the smallest value is taken.
+    """
+    bounds = F.create_map(*[x for b, (lo, hi) in boxes.items() for x in (F.lit(b), F.array(F.lit(lo), F.lit(hi)))])[F.col("box")]
+    v, lo, hi = F.col(axis), bounds[0], bounds[1]
+    place = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    counted = rows.where(bounds.isNotNull() & (v >= lo) & (v <= hi)).groupBy("box", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max(axis).alias("v"))
+    by = Window.partitionBy("box")  # ``bins`` rows a box at most
+    counted = counted.withColumns({"front": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
+    cost = (v := F.col("v") - lo) * F.col("front") + (hi - lo - v) * (F.col("all") - F.col("front"))
+    best = counted.groupBy("box").agg(F.min(F.struct(cost.alias("cost"), F.col("v"))).alias("c"))
+    return {r["box"]: float(r["c"]["v"]) for r in best.collect()}  # 2 ** depth at most
+
+
+def fractures(
+    df: DataFrame, columns: list[str], depth: int, borders: str = "static", least: int = 1, rule: str = "half", bins: int = 1024, smallest: float = 0.0
+) -> DataFrame:
+    """Boxes of a recursive split of the bounds, one axis a level: box, n, and lo_ and hi_ of each column.
+
+    A box is cut in the middle (``half``) or where the surface-area cost is least (``area``, see ``area_cuts``).  On a level
+    whose axis has at most the share ``smallest`` of its whole extent left, a box stays whole and goes on to the next axis.
 
     ``static`` keeps the halves' bounds, ``both`` pulls them to the rows inside, ``outer`` only where no other half
     adjoins.  A box with fewer than ``least`` rows is not split further.  Rows with a null coordinate are left out.
@@ -111,6 +133,8 @@ def fractures(df: DataFrame, columns: list[str], depth: int, borders: str = "sta
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("box", F.lit("r"))
     ends = lambda c: [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
     total = rows.agg(*[x for c in columns for x in ends(c)]).first()
+    if any(v is None for v in total):  # no row
+        return rows.groupBy("box").agg(F.count(F.lit(1)).alias("n"), *[x for c in columns for x in ends(c)])
     boxes = {"r": {c: (total[f"lo_{c}"], total[f"hi_{c}"]) for c in columns}}
     outer, whole = dict(boxes), boxes["r"]
     for level in range(depth):
@@ -119,11 +143,18 @@ def fractures(df: DataFrame, columns: list[str], depth: int, borders: str = "sta
         split = {b: x for b, x in outer.items() if size.get(b, 0) >= max(least, 2) and len(b) == level + 1}
         if not split:
             break
-        mid = {b: (x[axis][0] + x[axis][1]) / 2 for b, x in split.items()}
+        extent = whole[axis][1] - whole[axis][0]
+        thin = {b for b, x in split.items() if smallest > 0 and extent > 0 and (x[axis][1] - x[axis][0]) / extent <= smallest}
+        cut = {b: x[axis] for b, x in split.items() if b not in thin}
+        mid = {b: (lo + hi) / 2 for b, (lo, hi) in cut.items()} if rule == "half" or not cut else area_cuts(rows, axis, cut, bins)
+        mid |= {b: float("inf") for b in thin}  # all rows stay on the front side
         at = F.create_map(*[F.lit(v) for b, m in mid.items() for v in (b, m)])[F.col("box")]
         rows = rows.withColumn("box", F.when(at.isNull(), F.col("box")).when(F.col(axis) < at, F.concat("box", F.lit("0"))).otherwise(F.concat("box", F.lit("1"))))
         for b, x in split.items():
             del outer[b]
+            if b in thin:
+                outer[b + "0"] = x
+                continue
             outer[b + "0"], outer[b + "1"] = {**x, axis: (x[axis][0], mid[b])}, {**x, axis: (mid[b], x[axis][1])}
     found = rows.groupBy("box").agg(F.count(F.lit(1)).alias("n"), *[x for c in columns for x in ends(c)])
     if borders == "both":

@@ -1,14 +1,18 @@
-"""Queries of staged derivation graphs, kd-trees and clustering of whole tables, with their SQL."""
+"""Queries of staged derivation graphs, kd-trees, clusters of whole tables, bitmap indexes, bundles and kept histograms."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import stats
+from .operators import bitmaps, histogram as H, lists, stats
+from .operators.lineage import checkpointed, shared_dir
 from .operators.space import Space
 from .plans.graph import Graph
 from .registry import c, load, query
+from .streaming.kept import KeptHistogram
 
 # staged derivation graphs ---------------------------------------------------------------------------------------
 
@@ -176,3 +180,78 @@ s(k, i, heads, leader) AS (SELECT k, i, [{{'n': 0, 'u': u, 'v': v}}], 0 FROM o W
   FROM s JOIN o ON o.i = s.i + 1)
 SELECT k AS c_custkey, CAST(leader AS BIGINT) AS leader FROM s"""
 query("leader_whole", "customer", LEADERS_SQL)(lambda df: stats.leader(df, ["c_nationkey", "c_acctbal"], "c_custkey", [3.0, 600.0]))
+
+# surface-area boxes ---------------------------------------------------------------------------------------------
+COST = "(v - {l}) * sum(n) OVER ({p} ORDER BY bin) + ({h} - {l} - (v - {l})) * (sum(n) OVER ({p}) - sum(n) OVER ({p} ORDER BY bin))"
+AREA_SQL = f"""WITH b AS (SELECT min(p_size)::DOUBLE AS l0, max(p_size)::DOUBLE AS h0, min(p_retailprice) AS l1, max(p_retailprice) AS h1 FROM part),
+c0 AS (SELECT least(floor((p_size - l0) / (h0 - l0) * 1024), 1023) AS bin, count(*) AS n, max(p_size)::DOUBLE AS v, any_value(l0) AS l0, any_value(h0) AS h0 FROM part, b GROUP BY 1),
+d0 AS (SELECT v, {COST.format(l="l0", h="h0", p="")} AS cost FROM c0), m0 AS (SELECT v AS m FROM d0 ORDER BY cost, v LIMIT 1),
+r AS (SELECT p_size, p_retailprice AS y, CASE WHEN p_size < m THEN '0' ELSE '1' END AS s, m, b.* FROM part, m0, b),
+c1 AS (SELECT s, least(floor((y - l1) / (h1 - l1) * 1024), 1023) AS bin, count(*) AS n, max(y) AS v, any_value(l1) AS l1, any_value(h1) AS h1 FROM r GROUP BY 1, 2),
+d1 AS (SELECT s, v, {COST.format(l="l1", h="h1", p="PARTITION BY s")} AS cost FROM c1), m1 AS (SELECT s, v AS k FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY cost, v) AS i FROM d1) WHERE i = 1),
+t AS (SELECT r.*, k, CASE WHEN y < k THEN '0' ELSE '1' END AS u FROM r JOIN m1 USING (s))
+SELECT 'r' || s || u AS box, count(*) AS n, min(CASE WHEN s = '0' THEN l0 ELSE m END) AS lo_p_size, min(CASE WHEN s = '0' THEN m ELSE h0 END) AS hi_p_size, min(CASE WHEN u = '0' THEN l1 ELSE k END) AS lo_p_retailprice, min(CASE WHEN u = '0' THEN k ELSE h1 END) AS hi_p_retailprice FROM t GROUP BY 1"""
+query("fracture_area", "part", AREA_SQL)(lambda df: lists.fractures(df, ["p_size", "p_retailprice"], 2, rule="area"))
+
+# bitmap indexes -------------------------------------------------------------------------------------------------
+INDEXED = [("o_totalprice", 0.0, 510000.0, 12), ("o_custkey", 0.0, 1500.0, 9)]
+BIN = {"o_totalprice": "CAST(least(greatest(floor(o_totalprice / 510000.0 * 12), 0), 11) AS BIGINT)", "o_custkey": "CAST(least(greatest(floor(o_custkey / 1500.0 * 9), 0), 8) AS BIGINT)"}
+query("bitmap_pair_counts", "orders", f"SELECT {BIN['o_totalprice']} AS bin_a, {BIN['o_custkey']} AS bin_b, count(*) AS n FROM orders GROUP BY 1, 2")(
+    lambda df: bitmaps.pair_counts(bitmaps.bin_index(df, INDEXED, "o_orderkey"), "o_totalprice", "o_custkey")
+)
+query("bitmap_brush", "orders", f"SELECT {BIN['o_custkey']} AS bin, count(*) AS n FROM orders WHERE {BIN['o_totalprice']} IN (2, 3, 7) AND {BIN['o_custkey']} IN (0, 1, 4, 8) GROUP BY 1")(
+    lambda df: bitmaps.brushed_counts(bitmaps.bin_index(df, INDEXED, "o_orderkey"), {"o_totalprice": [2, 3, 7], "o_custkey": [0, 1, 4, 8]}, "o_custkey")
+)
+
+# bundles between axes -------------------------------------------------------------------------------------------
+LINES = [("l_quantity", 1.0, 50.0, 12), ("l_extendedprice", 900.0, 105000.0, 16), ("l_discount", 0.0, 0.1, 8), ("l_tax", 0.0, 0.08, 6)]
+
+
+def _line_bin(name: str, lo: float, hi: float, n: int) -> str:
+    return f"CAST(least(greatest(floor(({name} - {lo}) / ({hi} - {lo}) * {n}), 0), {n - 1}) AS BIGINT)"
+
+
+AXIS_SQL = " UNION ALL ".join(f"SELECT '{a}' AS axis, range AS bin, (SELECT count(*) FROM lineitem WHERE {_line_bin(a, lo, hi, n)} = range)::DOUBLE AS n, {lo} AS lo, {hi} AS hi, {n} AS k FROM range({n})" for a, lo, hi, n in LINES)
+SEGMENT_SQL = f"""WITH h AS ({AXIS_SQL}), g AS (SELECT a.axis, a.bin, a.lo, a.hi, a.k, sum(b.n * exp(-pow(a.bin - b.bin, 2) / 2)) / sum(exp(-pow(a.bin - b.bin, 2) / 2)) AS n FROM h a JOIN h b ON a.axis = b.axis AND abs(a.bin - b.bin) <= 3 GROUP BY ALL),
+x AS (SELECT *, lo + bin / (k - 1.0) * (hi - lo) AS value, sign(n - coalesce(lag(n) OVER (PARTITION BY axis ORDER BY bin), 0)) AS step FROM g),
+y AS (SELECT *, last_value(nullif(step, 0) IGNORE NULLS) OVER (PARTITION BY axis ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM x),
+z AS (SELECT *, sum(CASE WHEN step > 0 AND was < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY axis ORDER BY bin) AS segment FROM y),
+s AS (SELECT axis, CAST(segment AS BIGINT) AS segment, min(value) AS first, sum(value * n) / sum(n) AS middle, min(lo) AS lo, min(hi) AS hi FROM z GROUP BY axis, segment HAVING sum(n) > 0),
+e AS (SELECT axis, segment, CASE WHEN segment = 0 THEN lo ELSE first END AS lo, coalesce(lead(first) OVER (PARTITION BY axis ORDER BY segment), hi) AS hi, middle FROM s)"""
+
+
+def bundles_of(df: DataFrame) -> DataFrame:
+    return H.axis_bundles(H.smooth_axes(H.axis_counts(df, LINES), 1.0), LINES)
+
+
+query("axis_bundles", "lineitem", SEGMENT_SQL + " SELECT axis, segment, round(lo, 6) AS lo, round(hi, 6) AS hi, round(middle, 6) AS middle FROM e")(
+    lambda df: bundles_of(df).withColumns({x: F.round(x, 6) for x in ("lo", "hi", "middle")})
+)
+PAIRS_SQL = " UNION ALL ".join(
+    f"""SELECT '{a[0]}' AS a, '{b[0]}' AS b, (SELECT count(*) FROM e WHERE axis = '{a[0]}' AND hi < {a[0]} AND segment < (SELECT max(segment) FROM e WHERE axis = '{a[0]}')) AS "from",
+  (SELECT count(*) FROM e WHERE axis = '{b[0]}' AND hi < {b[0]} AND segment < (SELECT max(segment) FROM e WHERE axis = '{b[0]}')) AS "to" FROM lineitem"""
+    for a, b in zip(LINES[:-1], LINES[1:])
+)
+query("bundle_counts", "lineitem", SEGMENT_SQL + f""", p AS ({PAIRS_SQL}) SELECT a, b, "from", "to", round(count(*) * 10.0 / (SELECT count(*) FROM lineitem), 6) AS weight FROM p GROUP BY 1, 2, 3, 4""")(
+    lambda df: H.bundle_counts(df, bundles_of(df), [a[0] for a in LINES]).withColumn("weight", F.round("weight", 6))
+)
+
+# histograms kept up under change --------------------------------------------------------------------------------
+VALUES = [("value", 0.0, 400.0, 16)]
+
+
+@query("kept_histogram", None, "SELECT CAST(least(greatest(floor(value / 400.0 * 16), 0), 15) AS BIGINT) AS bin, count(*) AS n FROM events WHERE event_type <> 'view' AND value <= 250 GROUP BY 1")
+def _(spark, d):
+    """Blocks of a stream, then a changed brush: the counts of the new brush over all rows."""
+    events = load(spark, d, "events").select("event_type", "value")
+    base = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    old, new = c("value") <= 100, (c("event_type") != "view") & (c("value") <= 250)
+    kept = KeptHistogram(spark, f"{base}/counts", VALUES)
+    events.repartition(3).write.parquet(f"{base}/blocks")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/blocks")
+    kept.follow(stream, f"{base}/checkpoint", old).awaitTermination()
+    kept.rebrush("wider", events, old, new)
+    out = checkpointed(kept.counts())
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return out
