@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import bitmaps, histogram as H, lists, stats
-from .operators.lineage import checkpointed, shared_dir
+from .operators.lineage import checkpointed, remove, shared_dir
 from .operators.space import Space
 from .plans.graph import Graph
 from .registry import c, load, query
+from .sources import dataset, grids
 from .streaming.kept import KeptHistogram
 
 # staged derivation graphs ---------------------------------------------------------------------------------------
@@ -252,6 +256,56 @@ def _(spark, d):
     kept.follow(stream, f"{base}/checkpoint", old).awaitTermination()
     kept.rebrush("wider", events, old, new)
     out = checkpointed(kept.counts())
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, base)
+    return out
+
+
+# files cut into ranges ------------------------------------------------------------------------------------------
+def written_grids(df: DataFrame, path: str) -> int:
+    """Each partition of (o_orderkey, o_custkey, cents) as a NetCDF file below ``path``; the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, cust, cents = (np.asarray(x) for x in batch.columns)
+            names = np.array([list(f"c{v:06d}") for v in cust], "S1").reshape(len(cust), 7)
+            variables = {
+                "order": (["row"], key.astype(np.int32), {}), "price": (["row"], cents.astype(np.int32), {"scale_factor": 0.01, "add_offset": 5.0, "_FillValue": -1.0}),
+                "customer": (["row", "chars"], names, {}), "level": (["row"], cents / 7.0, {}),
+            }
+            fs, inner = grids.at(f"{path}/{uuid.uuid4().hex}.nc")
+            fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(inner) as f:
+                f.write(dataset.netcdf_bytes({"row": len(key), "chars": 7}, variables))
+            yield pa.RecordBatch.from_pydict({"n": [1]})
+
+    return df.mapInArrow(run, "n long").count()
+
+
+@query("netcdf_ranges", None, """SELECT o_orderkey::INTEGER AS "order", CASE WHEN o_custkey % 5 <> 0 THEN round(o_totalprice + 5, 2) END AS price, printf('c%06d', o_custkey) AS customer FROM orders""")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}"
+    cents = F.when(c("o_custkey") % 5 == 0, -1).otherwise(F.round(c("o_totalprice") * 100)).cast("long")
+    written_grids(load(spark, d, "orders").select("o_orderkey", "o_custkey", cents.alias("cents")), path)
+    out = checkpointed(grids.open_grid(spark, path, ["order", "price", "customer"], rows=4000).withColumn("price", F.round("price", 2)))
+    remove(spark, path)
+    return out
+
+
+@query("halves_ranges", None, "SELECT p_size::BIGINT AS size, count(*) AS n FROM part GROUP BY 1")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/halves-{uuid.uuid4().hex}"
+    grids.write_halves(load(spark, d, "part").select("p_size", "p_retailprice"), path)
+    read = grids.open_halves(spark, path, ["p_size"], rows=500)
+    out = checkpointed(read.groupBy(F.round("p_size").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n")))
+    remove(spark, path)
+    return out
+
+
+@query("halves_schema", None, """WITH p AS (SELECT count(*) AS rows, min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, min(p_retailprice) AS u, max(p_retailprice) AS v FROM part)
+SELECT 0::BIGINT AS position, 'p_size' AS attribute, a AS lo, b AS hi, rows FROM p UNION ALL SELECT 1, 'p_retailprice', u, v, rows FROM p UNION ALL SELECT 2, 'index', 0, rows - 1, rows FROM p""")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/halves-{uuid.uuid4().hex}"
+    folders = grids.write_halves(load(spark, d, "part").select("p_size", "p_retailprice").repartition(1), path)
+    out = grids.halves_schema(spark, folders.first()["folder"])
+    remove(spark, path)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lists import on_load
-from . import tables
+from . import grids, tables
 
 IMAGES = (".png", ".jpg", ".jpeg")
 #: Rows that a NetCDF reader hands on at once.
@@ -36,7 +36,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def kind_of(spark: SparkSession, path: str) -> str:
-    """csv, netcdf, image, columns or parquet, by extension; a folder with bounds beside its columns is ``columns``."""
+    """csv, netcdf, image, columns, halves or parquet, by extension or by a folder's infos."""
     low = path.lower().rstrip("/")
     if low.endswith(".csv"):
         return "csv"
@@ -46,6 +46,8 @@ def kind_of(spark: SparkSession, path: str) -> str:
         return "image"
     if exists(spark, f"{path}/info") and exists(spark, f"{path}/columns"):
         return "columns"
+    if exists(spark, f"{path}/attr.info") or exists(spark, f"{path}/info.json"):
+        return "halves"
     if low.endswith(".parquet"):
         return "parquet"
     raise ValueError(f"no reader for {path}")
@@ -53,7 +55,8 @@ def kind_of(spark: SparkSession, path: str) -> str:
 
 def read(spark: SparkSession, path: str, attributes: str = ".*", trim: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """Open a table by path: its kind's reader, short names, chosen attributes, trimmed dimensions."""
-    readers = {"csv": tables.read_csv, "netcdf": read_netcdf_table, "image": tables.read_images, "columns": tables.read_columns, "parquet": lambda s, p: s.read.parquet(p)}
+    ranged = grids.open_grid if grids.reaches(path) else read_netcdf_table  # a store that only Spark reads gives whole files
+    readers = {"csv": tables.read_csv, "netcdf": ranged, "image": tables.read_images, "columns": tables.read_columns, "halves": grids.open_halves, "parquet": lambda s, p: s.read.parquet(p)}
     return on_load(tables.renamed(readers[kind_of(spark, path)](spark, path)), attributes, trim)
 
 
@@ -64,7 +67,12 @@ def csv_schema(spark: SparkSession, path: str) -> DataFrame:
 
 
 def netcdf_schema(spark: SparkSession, path: str) -> DataFrame:
-    """file, variable, type, dims, sizes, scale, offset, fill of every variable of the files below a path."""
+    """file, variable, type, dims, sizes, scale, offset, fill of every variable of the files below a path.
+
+    Only headers are read, but in stores that only Spark reads.
+    """
+    if grids.reaches(path):
+        return grids.headers(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
