@@ -99,6 +99,12 @@ def derivative(value: str, dim: str, others: list[str], kind: str = "central", h
     return difference(v, F.lag(v).over(w), F.lead(v).over(w), kind, h)
 
 
+def hashed_uniform(key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) per key, the same in any engine: the first 48 bits of an MD5.  A null key counts as empty."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}")))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 # vectors of two to four components are arrays
 
 

@@ -69,6 +69,22 @@ def lifted(df: DataFrame, key: str, value: str, group: str, kind: str = "9/7") -
     return d.select(group, place.cast("long").alias("pos"), F.when(size < 2, F.col("_x")).when(even, F.col("_x") * scale).otherwise(F.col("_x") / scale).alias("w"))
 
 
+def unlifted(coded: DataFrame, group: str, kind: str = "9/7") -> DataFrame:
+    """group, i, x: the values in their order that ``lifted`` made (group, pos, w) of: its steps backwards."""
+    steps, scale = LIFTS[kind]
+    size = F.count(F.lit(1)).over(Window.partitionBy(group))
+    half = F.floor((size + 1) / 2)
+    low = F.col("pos") < half
+    place = F.when(low, F.col("pos") * 2).otherwise((F.col("pos") - half) * 2 + 1).cast("long")
+    d = coded.select(group, place.alias("_i"), F.when(size < 2, F.col("w")).when(low, F.col("w") / scale).otherwise(F.col("w") * scale).alias("_x"))
+    w = Window.partitionBy(group).orderBy("_i")
+    for n, by in reversed(list(enumerate(steps))):
+        left, right = F.lag("_x").over(w), F.lead("_x").over(w)
+        both = F.coalesce(left, right) + F.coalesce(right, left)
+        d = d.withColumn("_x", F.when((F.col("_i") % 2 == 1 - n % 2) & both.isNotNull(), F.col("_x") - by * both).otherwise(F.col("_x")))
+    return d.select(group, F.col("_i").alias("i"), F.col("_x").alias("x"))
+
+
 def _lift(x: np.ndarray, odd: bool, w: float) -> None:
     ext = np.pad(x, 1, mode="reflect") if len(x) > 1 else np.pad(x, 1, mode="edge")
     at = np.arange(int(odd), len(x), 2)

@@ -194,6 +194,43 @@ def sides(overlaps: dict[tuple[str, str], int]) -> list[tuple[str, str]]:
     return out
 
 
+def pair_overlaps(counts: DataFrame) -> DataFrame:
+    """a, b, overlap, share of all pairs of axes of ``axis_counts`` with equal numbers of bins: common rows bin by bin, and
+    their least share of either axis."""
+    total = counts.groupBy("axis").agg(F.sum("n").alias("all"))
+    named = counts.join(F.broadcast(total), "axis")
+    left, right = (named.select(F.col("axis").alias(x), "bin", F.col("n").alias(f"n{x}"), F.col("all").alias(f"all{x}")) for x in ("a", "b"))
+    both = left.join(right, "bin").where("a < b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("overlap"), F.max(F.greatest("alla", "allb")).alias("most"))
+    return both.select("a", "b", F.col("overlap").cast("long").alias("overlap"), F.when(F.col("most") > 0, F.col("overlap") / F.col("most")).otherwise(0.0).alias("share"))
+
+
+def side_order(shares: dict[tuple[str, str], float], axes: list[str], area: dict[str, float] | None = None) -> list[tuple[str, int]]:
+    """(axis, side) in drawing order: the two axes that overlap most go to opposite sides, so that what each side then
+    overlaps at worst is least, and so on; a last one goes where it overlaps less.  With ``area``, each side draws large
+    areas first.  Works on one number per pair of axes."""
+    share = lambda a, b: shares.get((min(a, b), max(a, b)), 0.0)
+    left, side, order = list(axes), {}, []
+
+    def worst(axis: str, at: int) -> float:
+        return max((share(axis, o) for o in order if side[o] == at), default=0.0)
+
+    while len(left) > 1:
+        value, _, a, b = max((share(a, b), -i, a, b) for i, (a, b) in enumerate((a, b) for n, a in enumerate(left) for b in left[n + 1 :]))
+        if value <= 0:
+            break
+        first = not order or worst(a, 0) + worst(b, 1) < worst(a, 1) + worst(b, 0)
+        side[a], side[b] = (0, 1) if first else (1, 0)
+        order += [a, b]
+        left = [x for x in left if x not in (a, b)]
+    for a in left:  # one that is left over, or axes that overlap nothing
+        side[a] = 0 if worst(a, 0) < worst(a, 1) else 1
+        order.append(a)
+    if area is not None:
+        by = {s: iter(sorted((a for a in order if side[a] == s), key=lambda a: (-area[a], a))) for s in (0, 1)}
+        order = [next(by[side[a]]) for a in order]
+    return [(a, side[a]) for a in order]
+
+
 def voxel_smooth(voxels: DataFrame, axis: str, sigma: float) -> DataFrame:
     """One axis of a separable Gaussian of radius int(3 sigma); other columns than ``axis`` and v are kept."""
     import math

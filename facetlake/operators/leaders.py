@@ -147,3 +147,15 @@ def leader(df: DataFrame, columns: list[str], key: str, eps: float | list[float]
     holds = space.in_boxes(boxes, [f"{c}-1" for c in names], [f"{c}1" for c in names], "at").groupBy("first").agg(F.min("at").cast("long").alias("leader"))
     point = space.points.join(holds, "first").select("leader", *[F.col("x")[n].alias(f"_x{n}") for n in range(len(names))])
     return rows.join(point, [F.col(c) == F.col(f"_x{n}") for n, c in enumerate(names)], "left").select(F.col(key), "leader")
+
+
+def leader_levels(df: DataFrame, columns: list[str], key: str, eps: float | list[float], factor: float, levels: int) -> DataFrame:
+    """key and level0, level1, ...: leaders, then leaders among the followers of each, with boxes ``factor`` as wide, and so on."""
+    wide = [float(e) for e in (eps if isinstance(eps, (list, tuple)) else [eps] * len(columns))]
+    out = df.select(key, *columns)
+    for n in range(levels):
+        above = [f"level{k}" for k in range(n)]
+        here = out.withColumn("_above", F.concat_ws(".", *above)) if n else out
+        found = leader(here, columns, key, [e * factor**n for e in wide], "_above" if n else None).withColumnRenamed("leader", f"level{n}")
+        out = checkpointed(out.join(found, key))
+    return out.select(key, *[f"level{n}" for n in range(levels)])

@@ -168,3 +168,13 @@ def fractures(
         return F.when(F.lit(borders == "outer") & (own == edge), F.col(f"{side}_{c}")).otherwise(own).alias(f"{side}_{c}")
 
     return found.select("box", "n", *[end(n, c, s) for n, c in enumerate(columns) for s in ("lo", "hi")])
+
+
+def cluster_bundles(df: DataFrame, by: str, columns: list[str], widen: float = 2e-2) -> DataFrame:
+    """list, attribute, lo, mid, hi and alpha (100 times the list's share of all rows); equal bounds are widened both ways."""
+    ends = [x for c in columns for x in (F.min(c).cast("double").alias(f"lo|{c}"), F.max(c).cast("double").alias(f"hi|{c}"))]
+    found = df.groupBy(F.col(by).alias("list")).agg(F.count(F.lit(1)).alias("_n"), *ends)
+    rows = found.select("list", "_n", F.expr(f"stack({len(columns)}, " + ", ".join(f"'{c}', `lo|{c}`, `hi|{c}`" for c in columns) + ") as (attribute, l, h)"))
+    more = F.when(F.col("l") == F.col("h"), widen).otherwise(0.0)
+    total = found.agg(F.sum("_n").alias("_all"))
+    return rows.crossJoin(F.broadcast(total)).select("list", "attribute", (F.col("l") - more).alias("lo"), ((F.col("l") + F.col("h")) / 2).alias("mid"), (F.col("h") + more).alias("hi"), (F.col("_n") * 100.0 / F.col("_all")).alias("alpha"))

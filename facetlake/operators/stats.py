@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nodes import difference
-from .leaders import leader  # noqa: F401
+from .leaders import leader, leader_levels  # noqa: F401
 from .lineage import checkpointed
 from .linkage import dbscan, single_linkage, spanning_tree  # noqa: F401
 from .ranks import neighbours, position
@@ -49,30 +49,41 @@ def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return total / 2
 
 
+def range_of(column: str, cuts: list[float]) -> Column:
+    """Order-preserving number of a value's range: even between cuts, odd at a cut, so that a frequent value lies alone."""
+    at = np.array(cuts, float)
+
+    @F.pandas_udf("long")
+    def number(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, v.to_numpy(), "left") + np.searchsorted(at, v.to_numpy(), "right"))
+
+    return number(column)
+
+
 def kendall(df: DataFrame, a: str, b: str, rows: int = 1 << 20) -> DataFrame:
     """Tau-a, ties counting zero, without a join of pairs.
 
-    Both attributes are cut into ranges of about ``rows`` rows.  Pairs in one range of a are counted there; pairs of
-    different ranges of a in one range of b are counted there, by range of a; all others by the grid of ranges.
+    Both attributes are cut into ranges of about ``rows`` distinct pairs (at most 1024 ranges).  Pairs in one range of a are
+    counted there; pairs of different ranges of a in one range of b are counted there, by range of a; all others by the
+    grid of ranges.  A range of a single value has no pair to count and is passed by, however many rows it holds.
     Rows with a null in either attribute are left out.
     """
     g = checkpointed(df.groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("x is not null and y is not null"))
     total = g.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    parts = max(1, -(-total["cells"] // rows))
+    parts = min(1024, max(1, -(-total["cells"] // rows)))
     cuts = [sorted(set(c)) for c in g.approxQuantile(["x", "y"], [k / parts for k in range(1, parts)], 0.2 / parts)] if parts > 1 else [[], []]
-
-    def range_of(c: str, at: list[float]):
-        return F.size(F.filter(F.array(*map(F.lit, at)).cast("array<double>"), lambda q: q < F.col(c))).cast("double")
-
     g = g.withColumn("i", range_of("x", cuts[0])).withColumn("j", range_of("y", cuts[1]))
+    g = checkpointed(g) if parts > 1 else g
 
     def sums(part: DataFrame, by: str, x: str, y: str) -> DataFrame:
-        return part.select(F.col(by).alias("k"), F.col(x).alias("u"), F.col(y).alias("v"), "n").groupBy("k").applyInPandas(lambda p: pd.DataFrame({"s": [concordance(p["u"].to_numpy(), p["v"].to_numpy(), p["n"].to_numpy())]}), "s double")
+        run = lambda p: pd.DataFrame({"s": [concordance(p["u"].to_numpy(), p["v"].to_numpy(), p["n"].to_numpy())]})
+        return part.select(F.col(by).alias("k"), F.col(x).cast("double").alias("u"), F.col(y).cast("double").alias("v"), "n").groupBy("k").applyInPandas(run, "s double")
 
     grid = g.groupBy("i", "j").agg(F.sum("n").alias("n")).withColumn("one", F.lit(0))
-    s = sums(g, "i", "x", "y")
     if parts > 1:
-        s = s.unionAll(sums(g, "j", "i", "y")).unionAll(sums(grid, "one", "i", "j"))
+        s = sums(g.where("i % 2 = 0"), "i", "x", "y").unionAll(sums(g.where("j % 2 = 0"), "j", "i", "y")).unionAll(sums(grid, "one", "i", "j"))
+    else:
+        s = sums(g, "i", "x", "y")
     pairs = total["n"] * (total["n"] - 1) / 2
     return s.agg((F.coalesce(F.sum("s"), F.lit(0.0)) / F.lit(float(pairs) if pairs else None).cast("double")).alias("tau"))
 
@@ -181,6 +192,21 @@ def pca(df: DataFrame, columns: list[str], k: int, scaled: bool = False) -> Data
     return df.withColumns(scores)
 
 
+def pca_unit(df: DataFrame, columns: list[str], k: int, eps: float = 1e-6) -> DataFrame:
+    """Adds pc0..pc(k-1) in [0, 1]: columns centred and divided by their extent plus ``eps``, scores scaled by their bounds.
+
+    Two aggregates of a few numbers: the columns' means and extents with their covariances, then the scores' bounds.
+    """
+    b = df.agg(*[x for c in columns for x in (F.avg(c).alias(f"m|{c}"), (F.max(c) - F.min(c)).cast("double").alias(f"e|{c}"))]).first()
+    unit = {c: (F.col(c) - F.lit(b[f"m|{c}"])) / F.lit((b[f"e|{c}"] or 0.0) + eps) for c in columns}
+    names = [f"_u{n}" for n in range(len(columns))]
+    centred = df.withColumns(dict(zip(names, unit.values())))
+    out = pca(centred, names, k)
+    ends = out.agg(*[x for n in range(k) for x in (F.min(f"pc{n}").alias(f"lo{n}"), F.max(f"pc{n}").alias(f"hi{n}"))]).first()
+    scale = lambda n: (F.col(f"pc{n}") - F.lit(ends[f"lo{n}"])) / F.lit(ends[f"hi{n}"] - ends[f"lo{n}"]) if ends[f"lo{n}"] is not None and ends[f"hi{n}"] > ends[f"lo{n}"] else F.lit(0.0)
+    return out.withColumns({f"pc{n}": scale(n) for n in range(k)}).drop(*names)
+
+
 def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]], iterations: int, metric: str = "squared") -> tuple[DataFrame, list[list[float]]]:
     """At most ``iterations`` Lloyd rounds from given centres, until none moves; an empty cluster keeps its centre.  Ties: the lower cluster."""
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bitmaps, histogram as H, lists, stats
+from .functions import brush, nodes
+from .operators import bitmaps, codec, hierarchy, histogram as H, lists, ranks, stats
 from .operators.lineage import checkpointed, remove, shared_dir
 from .operators.space import Space
 from .plans.graph import Graph
@@ -309,3 +310,77 @@ def _(spark, d):
     out = grids.halves_schema(spark, folders.first()["folder"])
     remove(spark, path)
     return out
+
+
+# hierarchies and densities --------------------------------------------------------------------------------------
+ND_AXES = ["l_quantity", "l_extendedprice", "l_discount"]
+UNIT_SQL = "u AS (SELECT " + ", ".join(f"({a} - min({a}) OVER ()) / (max({a}) OVER () - min({a}) OVER ()) AS {a}" for a in ND_AXES) + " FROM lineitem)"
+CELL = "CAST(least(floor({a} * {n}), {n} - 1) AS BIGINT)"
+CENTRE_SQL = f"WITH {UNIT_SQL} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS axis, {n} AS level, {CELL.format(a=a, n=27)} // {3 ** (2 - n)} AS cell, count(*) AS n, round(avg({a}), 7) AS centre, round(min({a}), 7) AS lo, round(max({a}), 7) AS hi FROM u GROUP BY 3" for a in ND_AXES for n in range(3)
+)
+query("axis_hierarchy", "lineitem", CENTRE_SQL)(lambda df: hierarchy.level_centres(df, ND_AXES, 3, 3, 3).withColumns({x: F.round(x, 7) for x in ("centre", "lo", "hi")}))
+COMBO_SQL = f"WITH {UNIT_SQL} " + " UNION ALL ".join(
+    f"SELECT '{a},{b}' AS axes, {CELL.format(a=a, n=9)} AS first, {CELL.format(a=b, n=9)} AS second, count(*) AS n FROM u GROUP BY 2, 3" for i, a in enumerate(ND_AXES) for b in ND_AXES[i + 1 :]
+)
+query("combination_counts", "lineitem", COMBO_SQL)(lambda df: hierarchy.combination_counts(df, ND_AXES, 2, 9).select("axes", c("cells")[0].alias("first"), c("cells")[1].alias("second"), "n"))
+VOLUME_SQL = f"""WITH v AS (SELECT l_orderkey, l_partkey, {', '.join(f"({a} - min({a}) OVER ()) / (max({a}) OVER () - min({a}) OVER ()) AS {a}" for a in ('l_quantity', 'l_discount', 'l_tax', 'l_extendedprice'))} FROM lineitem),
+r AS (SELECT {CELL.format(a='l_quantity', n=6)} AS x, {CELL.format(a='l_discount', n=6)} AS y, {CELL.format(a='l_tax', n=6)} AS z, l_extendedprice AS v, l_orderkey AS o, l_partkey AS p FROM v),
+q AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY o DESC, p DESC, v DESC) AS i FROM r)"""
+VOXELS = ["l_quantity", "l_discount", "l_tax"]
+volume = lambda df: hierarchy.density_volume(df, VOXELS, 6, "l_extendedprice", ["l_orderkey", "l_partkey"])
+query("density_volume_3d", "lineitem", VOLUME_SQL + " SELECT x, y, z, round(v, 7) AS v FROM q WHERE i = 1")(lambda df: volume(df).withColumn("v", F.round("v", 7)))
+query("density_histogram_3d", "lineitem", VOLUME_SQL + " SELECT CAST(floor(v * 11 + 0.5) AS BIGINT) AS bin, count(*) AS n FROM q WHERE i = 1 GROUP BY 1")(lambda df: hierarchy.density_histogram(volume(df), 12))
+
+# violins' overlaps and sides ------------------------------------------------------------------------------------
+SIDED = [("l_quantity", 0.0, 50.0, 10), ("l_extendedprice", 0.0, 105000.0, 10), ("l_discount", 0.0, 0.1, 10), ("l_tax", 0.0, 0.08, 10)]
+OVERLAP_SQL = "WITH h AS (" + " UNION ALL ".join(f"SELECT '{a}' AS axis, {_line_bin(a, lo, hi, n)} AS bin, count(*) AS n FROM lineitem GROUP BY 2" for a, lo, hi, n in SIDED) + ")"
+query("hist_pair_overlaps", "lineitem", OVERLAP_SQL + " SELECT a.axis AS a, b.axis AS b, CAST(sum(least(a.n, b.n)) AS BIGINT) AS overlap, round(sum(least(a.n, b.n)) / (SELECT count(*) FROM lineitem), 9) AS share FROM h a JOIN h b ON a.bin = b.bin AND a.axis < b.axis GROUP BY 1, 2")(
+    lambda df: H.pair_overlaps(H.axis_counts(df, SIDED)).withColumn("share", F.round("share", 9))
+)
+
+# scores in [0, 1], the other opacities and bubble sizes ---------------------------------------------------------
+UNIT_PCA_SQL = """WITH n AS (SELECT p_partkey, (p_size - avg(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER () + 1e-6) AS a, (p_retailprice - avg(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER () + 1e-6) AS b FROM part),
+v AS (SELECT avg(a) AS u, avg(b) AS w, covar_samp(a, a) AS x, covar_samp(a, b) AS y, covar_samp(b, b) AS z FROM n), l AS (SELECT *, (x + z) / 2 + sqrt((x - z) * (x - z) / 4 + y * y) AS e FROM v),
+q AS (SELECT u, w, y AS p, e - x AS r FROM l), o AS (SELECT u, w, p / sqrt(p * p + r * r) AS p, r / sqrt(p * p + r * r) AS r FROM q),
+t AS (SELECT u, w, p * CASE WHEN abs(p) >= abs(r) THEN sign(p) ELSE sign(r) END AS p, r * CASE WHEN abs(p) >= abs(r) THEN sign(p) ELSE sign(r) END AS r FROM o), f AS (SELECT p_partkey, p * (a - u) + r * (b - w) AS s FROM n, t)
+SELECT p_partkey, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()), 6) AS pc0 FROM f"""
+query("pca_unit_scores", "part", UNIT_PCA_SQL)(lambda df: stats.pca_unit(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 1).select("p_partkey", F.round("pc0", 6).alias("pc0")))
+MODES = {"constant": "0.001::DOUBLE", "square": "pow(1 - pow(0.999, n), 2)", "log": "ln(2 - pow(0.999, n))", "adoption": "0.001 * n"}
+query("alpha_modes", "lineitem", f"SELECT bin, {', '.join(f'round({e}, 9) AS {m}' for m, e in MODES.items())} FROM (SELECT {_line_bin('l_quantity', 0.0, 50.0, 10)} AS bin, count(*) AS n FROM lineitem GROUP BY 1)")(
+    lambda df: H.hist(df, [("l_quantity", 0.0, 50.0, 10)]).select("bin", *[F.round(brush.alpha(c("n"), 0.001, m), 9).alias(m) for m in MODES])
+)
+SIZES = {"plain": ("(p_size - 1) / 49.0", "identity", True), "root": ("sqrt((p_size - 1) / 49.0)", "sqrt", True), "log_of_size": ("ln(abs(p_size) + 1)", "log", False), "root_of_size": ("sqrt(abs(p_size))", "sqrt", False)}
+query("bubble_sizes", "part", f"SELECT p_partkey, {', '.join(f'round({e}, 9) AS {n}' for n, (e, _, _) in SIZES.items())} FROM part")(
+    lambda df: df.select("p_partkey", *[F.round(nodes.bubble_size(c("p_size").cast("double"), 1.0, 50.0, s, unit), 9).alias(n) for n, (_, s, unit) in SIZES.items()])
+)
+
+# wavelets and back, vectors of a table's size -------------------------------------------------------------------
+BACK_SQL = "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders"
+for _name, _kind in (("wavelet_back", "9/7"), ("wavelet_53_back", "5/3")):
+    query(_name, "orders", BACK_SQL)(
+        lambda df, k=_kind: codec.unlifted(codec.lifted(df.withColumn("cents", F.round(c("o_totalprice") * 100)), "o_orderkey", "cents", "o_custkey", k), "o_custkey", k).select("o_custkey", "i", F.round("x").cast("long").alias("cents"))
+    )
+query("node_vectors", "part", "SELECT p_partkey, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one, row_number() OVER (ORDER BY p_partkey) - 1 AS iota, round(CAST(('0x' || substr(md5(p_partkey || '|7'), 1, 12)) AS BIGINT) / 281474976710656.0, 9) AS random FROM part")(
+    lambda df: ranks.position(df.select("p_partkey"), "p_partkey", name="iota").select("p_partkey", F.lit(0.0).alias("zero"), F.lit(1.0).alias("one"), "iota", F.round(nodes.hashed_uniform(c("p_partkey"), 7), 9).alias("random"))
+)
+NODES_SQL = LEADERS_SQL[: LEADERS_SQL.rindex("SELECT k AS c_custkey")] + "SELECT CAST(leader AS BIGINT) AS leader, count(*) AS n, round(avg(c_nationkey), 6) AS nation, round(avg(c_acctbal), 6) AS balance FROM s JOIN customer ON k = c_custkey GROUP BY 1"
+query("leader_nodes", "customer", NODES_SQL)(
+    lambda df: stats.leader(df, ["c_nationkey", "c_acctbal"], "c_custkey", [3.0, 600.0]).join(df, "c_custkey").groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_nationkey"), 6).alias("nation"), F.round(F.avg("c_acctbal"), 6).alias("balance"))
+)
+
+DEEP = "[h for h in t.heads if p.u >= h.u - 0.75 and p.u <= h.u + 0.75 and p.v >= h.v - 150 and p.v <= h.v + 150]"
+LEVELS_SQL = LEADERS_SQL[: LEADERS_SQL.rindex("SELECT k AS c_custkey")].rstrip() + f""", p AS (SELECT o.k, u, v, leader AS g, row_number() OVER (PARTITION BY leader ORDER BY o.k) AS i FROM s JOIN o ON s.k = o.k),
+t(g, k, i, heads, leader) AS (SELECT g, k, i, [{{'n': 0, 'u': u, 'v': v}}], 0 FROM p WHERE i = 1 UNION ALL
+  SELECT p.g, p.k, p.i, CASE WHEN len({DEEP}) > 0 THEN t.heads ELSE list_append(t.heads, {{'n': len(t.heads)::INTEGER, 'u': p.u, 'v': p.v}}) END, CASE WHEN len({DEEP}) > 0 THEN ({DEEP})[1].n ELSE len(t.heads)::INTEGER END
+  FROM t JOIN p ON p.g = t.g AND p.i = t.i + 1)
+SELECT k AS c_custkey, CAST(g AS BIGINT) AS level0, CAST(leader AS BIGINT) AS level1 FROM t"""
+query("leader_hierarchy", "customer", LEVELS_SQL)(lambda df: stats.leader_levels(df, ["c_nationkey", "c_acctbal"], "c_custkey", [3.0, 600.0], 0.5, 2))
+
+WIDE_SQL = " UNION ALL ".join(
+    f"SELECT p_size AS list, '{a}' AS attribute, min({a}) - CASE WHEN min({a}) = max({a}) THEN 0.02 ELSE 0 END AS lo, (min({a}) + max({a})) / 2.0 AS mid, max({a}) + CASE WHEN min({a}) = max({a}) THEN 0.02 ELSE 0 END AS hi, round(100.0 * count(*) / (SELECT count(*) FROM part), 6) AS alpha FROM part GROUP BY 1"
+    for a in ("p_size", "p_retailprice")
+)
+query("cluster_bundles_widened", "part", f"SELECT list, attribute, round(lo::DOUBLE, 6) AS lo, round(mid::DOUBLE, 6) AS mid, round(hi::DOUBLE, 6) AS hi, alpha FROM ({WIDE_SQL})")(
+    lambda df: lists.cluster_bundles(df, "p_size", ["p_size", "p_retailprice"]).withColumns({x: F.round(x, 6) for x in ("lo", "mid", "hi", "alpha")})
+)

@@ -144,3 +144,27 @@ def test_thin_boxes_stay_whole(spark):
     got = lists.fractures(df, ["a"], 4, smallest=0.25).collect()
     assert sorted((r["box"], r["n"]) for r in got) == [(f"r{k:02b}00", 16) for k in range(4)]  # halved to a quarter, then left
     assert lists.fractures(df.limit(0), ["a"], 2, rule="area").count() == 0
+
+
+# side order
+
+
+def test_sides_and_their_order():
+    shares = {("a", "b"): 0.9, ("a", "c"): 0.1, ("a", "d"): 0.5, ("b", "c"): 0.6, ("b", "d"): 0.2, ("c", "d"): 0.8}
+    # a and b part first; then c and d: c overlaps b more than a, d the other way round
+    assert H.side_order(shares, ["a", "b", "c", "d"]) == [("a", 0), ("b", 1), ("c", 0), ("d", 1)]
+    assert H.side_order(shares, ["a", "b", "c", "d"], {"a": 1, "b": 9, "c": 5, "d": 2}) == [("c", 0), ("b", 1), ("a", 0), ("d", 1)]
+    assert H.side_order(shares, ["a", "b", "c"]) == [("a", 0), ("b", 1), ("c", 0)]
+    assert H.side_order({}, ["a", "b"]) == [("a", 1), ("b", 1)] and H.side_order({}, []) == []
+
+
+def test_hierarchies_with_nulls(spark):
+    from facetlake.operators import hierarchy
+
+    df = rows(spark)
+    top = hierarchy.level_centres(df, ["a", "b"], 2, 3, 3).where("level = 0").groupBy("axis").agg(F.sum("n")).collect()
+    assert {r[0]: r[1] for r in top} == {"a": 700, "b": 686}
+    assert hierarchy.combination_counts(df, ["a", "b"], 2, 4).agg(F.sum("n")).first()[0] == 686
+    v = hierarchy.density_volume(df, ["a", "b"], 3, "a", ["id"])
+    assert v.count() == 9 and hierarchy.density_histogram(v, 5).agg(F.sum("n")).first()[0] == 9
+    assert hierarchy.level_centres(df.limit(0), ["a"], 2, 2, 2).count() == 0

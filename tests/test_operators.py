@@ -155,3 +155,15 @@ def test_nearest_among_uniform_points(spark):
         got = {x.k: x.distance for x in stats.nearest_flagged(df, ["x", "y"], "k", F.col("k") % share == 0).collect()}
         d = np.sqrt(((p[:, None] - p[None, ::share]) ** 2).sum(2)).min(1)
         assert [got[i] for i in range(100)] == pytest.approx(d.tolist(), abs=1e-12)
+
+
+def test_kendall_with_frequent_values(spark):
+    """Values with most of the rows lie in ranges of their own, which no task has to go through."""
+    r = np.random.default_rng(5)
+    x = np.where(r.random(900) < 0.6, 3.0, r.integers(0, 9, 900))
+    y = np.where(r.random(900) < 0.5, 1.0, r.normal(size=900).round(2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    want = (np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum() / (900 * 899)
+    for rows in (20, 100, 1 << 20):
+        assert abs(stats.kendall(df, "x", "y", rows).first()[0] - want) < 1e-12
+    assert stats.range_of.__doc__ and stats.kendall(df.limit(0), "x", "y").first()[0] is None
