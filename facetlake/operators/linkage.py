@@ -127,7 +127,7 @@ def boruvka(space: Space, limit: float = FAR) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([none, none, pa.array(first[a], type_), pa.array(first[b], type_), pa.array(d2)], columns)
 
     leaves = points.select("leaf").distinct().withColumn("q", F.lit(0).cast("long")).withColumn("at", F.col("leaf")).withColumn("x", F.lit(None).cast("array<double>"))
-    made = checkpointed(space.search(leaves, ["at"], merge, f"first {kind}, comp {kind}, a {kind}, b {kind}, d2 double"))
+    made = checkpointed(space.search(leaves, ["at"], merge, f"first {kind}, comp {kind}, a {kind}, b {kind}, d2 double", few=True))
     comps, edges = made.where("first is not null").select("first", "comp"), [made.where("a is not null").select("a", "b", "d2")]
     if len(lo) == 1:
         return comps, edges[0]
@@ -155,7 +155,7 @@ def boruvka(space: Space, limit: float = FAR) -> tuple[DataFrame, DataFrame]:
             break
         asked = here.select("leaf", "x", F.col("first").alias("a"), F.col("comp").alias("mine")).withColumn("q", F.monotonically_increasing_id()).withColumn("r2", F.lit(limit))
         extra = ["a", "mine", "r2"]
-        found = checkpointed(space.search(asked, extra, cross, schema, here, ["comp"]).groupBy("comp").agg(least))
+        found = checkpointed(space.search(asked, extra, cross, schema, here, ["comp"], few=True).groupBy("comp").agg(least))
         bound = asked.drop("r2").join(found.select(F.col("comp").alias("mine"), F.col("e.d2").alias("r2")), "mine", "left")
         pure = {r["leaf"]: r["c"] for r in alone}
         bound = bound.withColumn("r2", F.coalesce("r2", reach(space, pure, F.col("mine"), limit), F.lit(limit)))
@@ -298,7 +298,7 @@ def core_points(space: Space, eps: float, min_points: int) -> DataFrame:
 
     schema = f"first {space.points.schema['first'].dataType.simpleString()}, m long"
     asked = space.points.select("leaf", "x", F.col("first").alias("a")).withColumn("q", F.monotonically_increasing_id())
-    own = checkpointed(space.search(asked, ["a"], count, schema))
+    own = checkpointed(space.search(asked, ["a"], count, schema, few=True))
     core = own.where(F.col("m") >= min_points)
     if len(space.lo) > 1:
         few = own.where(F.col("m") < min_points).withColumnRenamed("first", "a")

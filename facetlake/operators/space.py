@@ -260,13 +260,14 @@ class Space:
 
         return queries.withColumn("leaf", F.explode(leaves(*inputs)))
 
-    def search(self, sent: DataFrame, extra: list[str], run, schema: str, points: DataFrame | None = None, carry: list[str] = []) -> DataFrame:
+    def search(self, sent: DataFrame, extra: list[str], run, schema: str, points: DataFrame | None = None, carry: list[str] = [], few: bool = False) -> DataFrame:
         """``run(local, points, queries)`` over the queries of each leaf, batch by batch; it yields record batches.
 
-        ``points`` may give the leaves' points anew with columns ``carry`` more.
+        ``points`` may give the leaves' points anew with columns ``carry`` more.  ``few`` says that a leaf has no more queries
+        than points, so that no leaf needs to be dealt to parts.
         """
-        sent = checkpointed(sent)
-        much = {r["leaf"]: -(-r["n"] // QUERIES) for r in sent.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERIES).collect()}  # at most a row per leaf
+        sent = sent if few else checkpointed(sent)
+        much = {} if few else {r["leaf"]: -(-r["n"] // QUERIES) for r in sent.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERIES).collect()}  # at most a row per leaf
         parts = F.coalesce(F.create_map(*[F.lit(v) for kv in much.items() for v in kv])[F.col("leaf")], F.lit(1)) if much else F.lit(1)
         points = self.points if points is None else points
         mine = ["first", "second", "n", *carry]
