@@ -346,7 +346,7 @@ q AS (SELECT u, w, y AS p, e - x AS r FROM l), o AS (SELECT u, w, p / sqrt(p * p
 t AS (SELECT u, w, p * CASE WHEN abs(p) >= abs(r) THEN sign(p) ELSE sign(r) END AS p, r * CASE WHEN abs(p) >= abs(r) THEN sign(p) ELSE sign(r) END AS r FROM o), f AS (SELECT p_partkey, p * (a - u) + r * (b - w) AS s FROM n, t)
 SELECT p_partkey, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()), 6) AS pc0 FROM f"""
 query("pca_unit_scores", "part", UNIT_PCA_SQL)(lambda df: stats.pca_unit(df.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 1).select("p_partkey", F.round("pc0", 6).alias("pc0")))
-MODES = {"constant": "0.001::DOUBLE", "square": "pow(1 - pow(0.999, n), 2)", "log": "ln(2 - pow(0.999, n))", "adoption": "0.001 * n"}
+MODES = {"constant": "0.001::DOUBLE", "square": "pow(1 - pow(0.999, n), 2)", "log": "ln(2 - pow(0.999, n))", "adoption": "0.001::DOUBLE * n"}
 query("alpha_modes", "lineitem", f"SELECT bin, {', '.join(f'round({e}, 9) AS {m}' for m, e in MODES.items())} FROM (SELECT {_line_bin('l_quantity', 0.0, 50.0, 10)} AS bin, count(*) AS n FROM lineitem GROUP BY 1)")(
     lambda df: H.hist(df, [("l_quantity", 0.0, 50.0, 10)]).select("bin", *[F.round(brush.alpha(c("n"), 0.001, m), 9).alias(m) for m in MODES])
 )
