@@ -118,10 +118,12 @@ def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[fl
     return prior * sigmoid(-positive).mean(), sigmoid(unlabelled).mean() - prior * sigmoid(positive).mean()
 
 
-def train(positive: Rows, unlabelled: Rows, size: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk, by Adam over all rows."""
+def train(positive: Rows, unlabelled: Rows, size: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative risk, by Adam over all rows; few toxic texts hold the weights back more
+    (``decay`` over their number)."""
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
+    decay /= n_p
     for t in range(1, rounds + 1):
         p, u = sigmoid(positive.scores(w[:-1], w[-1])), sigmoid(unlabelled.scores(w[:-1], w[-1]))
         s_p, s_u = prior * p * (1 - p) / n_p, u * (1 - u) / n_u
