@@ -24,12 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/") if "://" in where else "file://" + where.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read back, with its real size: plans that follow start from there."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet and read back, and its folder, for rounds that delete what they leave behind."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/facetlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet and read back, with its real size: plans that follow start from there."""
+    return written(df)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

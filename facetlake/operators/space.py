@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import checkpointed
@@ -398,3 +398,41 @@ class Space:
         both = found.join(second, "q", "left").withColumn("f", F.when(F.col("d2").isNotNull(), F.struct("d2", "near")))
         got = F.when(F.col("f").isNull() | (F.col("s") < F.col("f")), F.coalesce("s", "f")).otherwise(F.col("f"))
         return both.select(F.col("k").alias(key), got.alias("g")).select(key, F.col("g.near").alias("near"), F.sqrt("g.d2").alias("distance"))
+
+    def k_nearest(self, k: int) -> DataFrame:
+        """first, leaf, near, near_leaf, d2, place (from 1): the ``k`` nearest other points of each point, ties by key.
+
+        The own leaf is searched first; its k-th distance bounds the look into other leaves.  A point whose leaf holds fewer
+        than ``k`` others looks everywhere, so leaves should be well above ``k``.
+        """
+        kind = self.points.schema["first"].dataType.simpleString()
+
+        def run(local: Local, table: pa.RecordBatch, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            x, bound, keys = matrix(batch.column("x")), np.asarray(batch.column("r2"), float), batch.column("k")
+            names = table.column("first").take(pa.array(local.order))
+            theirs, mine = np.asarray(names.to_pandas()), np.asarray(keys.to_pandas())
+            here = batch.column("leaf")[0].as_py()
+            step = max(1, (1 << 21) // len(local.x))
+            for at in range(0, len(x), step):
+                a = x[at : at + step]
+                d2 = np.zeros((len(a), len(local.x)))
+                for c in range(a.shape[1]):
+                    d2 += (a[:, c, None] - local.x[None, :, c]) ** 2
+                d2[(theirs[None, :] == mine[at : at + step, None]) | (d2 > bound[at : at + step, None])] = np.inf
+                kth = np.partition(d2, k - 1, 1)[:, k - 1] if d2.shape[1] > k else np.full(len(a), FAR)
+                q, p = np.nonzero(d2 <= np.minimum(kth, FAR)[:, None])
+                own = pa.array(q + at)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(own), batch.column("was").take(own), names.take(pa.array(p)), pa.array(np.full(len(p), here, np.int32)), pa.array(d2[q, p])], ["first", "leaf", "near", "near_leaf", "d2"]
+                )
+
+        made, extra = f"first {kind}, leaf int, near {kind}, near_leaf int, d2 double", ["k", "was", "r2"]
+        own = self.points.select("leaf", "x", F.col("first").alias("k"), F.col("leaf").alias("was"), F.lit(FAR).alias("r2"), F.xxhash64("first").alias("q"))
+        found = checkpointed(self.search(own, extra, run, made, few=True))
+        if len(self.planes[0]):
+            reach = found.groupBy(F.col("first").alias("k")).agg(F.count(F.lit(1)).alias("c"), F.max("d2").alias("m"))
+            asked = own.drop("r2", "leaf").join(reach, "k", "left").withColumn("r2", F.when(F.col("c") >= k, F.col("m")).otherwise(FAR)).drop("c", "m")
+            further = self.sent(asked, lambda tree, x, r2: tree.balls(x, r2), "x", "r2").where("leaf <> was")
+            found = found.unionAll(self.search(further, extra, run, made))
+        order = Window.partitionBy("first").orderBy("d2", "near")
+        return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

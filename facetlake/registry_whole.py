@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import brush, nodes
-from .operators import bitmaps, codec, hierarchy, histogram as H, lists, ranks, stats
+from .operators import bitmaps, codec, embedding, hierarchy, histogram as H, lists, ranks, stats
 from .operators.lineage import checkpointed, remove, shared_dir
 from .operators.space import Space
 from .plans.graph import Graph
@@ -154,6 +154,27 @@ def _(spark, d):
     space = Space.of(part, ["p_size", "p_retailprice"], "p_partkey", second=True)
     return space.nearest(part, ["p_size", "p_retailprice"], "p_partkey", other=True).withColumn("distance", F.round("distance", 6))
 
+
+#: The five nearest other places of every customer's place, ties by key.
+K_NEAREST_SQL = """WITH p AS (SELECT c_acctbal, c_nationkey, min(c_custkey) AS k FROM customer GROUP BY 1, 2),
+d AS (SELECT a.k AS c_custkey, b.k AS near, (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal) + 400.0 * (a.c_nationkey - b.c_nationkey) * (a.c_nationkey - b.c_nationkey) AS d2 FROM p a JOIN p b ON a.k <> b.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d2, near) AS place FROM d)
+SELECT c_custkey, place, near, round(sqrt(d2), 6) AS distance FROM r WHERE place <= 5"""
+
+
+@query("kd_k_nearest", None, K_NEAREST_SQL)
+def _(spark, d):
+    places = load(spark, d, "customer").withColumn("nation", 20.0 * c("c_nationkey"))
+    found = Space.of(places, ["c_acctbal", "nation"], "c_custkey", rows=512).k_nearest(5)
+    return found.select(c("first").alias("c_custkey"), c("place").cast("long").alias("place"), "near", F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+@query("tsne_leaves", None)
+def _(spark, d):
+    places = load(spark, d, "customer")
+    scale = places.agg(F.stddev("c_acctbal"), F.stddev("c_nationkey")).first()
+    return embedding.tsne(places.select("c_custkey", (c("c_acctbal") / scale[0]).alias("a"), (c("c_nationkey") / scale[1]).alias("b")), ["a", "b"], "c_custkey", perplexity=10, iterations=30)
+
 # spanning trees and single linkage ------------------------------------------------------------------------------
 TREE_SQL = """WITH p AS (SELECT s_acctbal, min(s_suppkey) AS k FROM supplier GROUP BY 1), o AS (SELECT k, lag(k) OVER (ORDER BY s_acctbal) AS j, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal) AS d FROM p)
 SELECT least(k, j) AS a, greatest(k, j) AS b, round(d, 6) AS length FROM o WHERE j IS NOT NULL"""
