@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled cutoffs.
 
-Counts of each whole text give a base verdict and five measures.  For every stratum and measure a grid of cutoffs
-is tested on labelled documents of good quality: a cutoff may be used only if the exact binomial probability of
-seeing as few false rejections as were seen, were the true rate ``alpha`` split over the measures, is at most
-``delta`` split over all hypotheses (strata x measures x cutoffs, Bonferroni).  The strictest such cutoff is used,
-none if there is none.  So with probability 1 - delta, in every stratum at once, at most a share ``alpha`` of the
-good documents that pass the base rules is rejected.
+Counts of each whole text give a base verdict and five measures.  For every stratum and measure the cutoffs of a grid
+are tested in a fixed sequence, the loosest first, on labelled documents of good quality: a cutoff may be used only if
+the exact binomial probability of seeing as few false rejections as were seen, were the true rate ``alpha`` split over
+the measures, is at most ``delta`` split over strata x measures (Bonferroni), and so for all looser ones.  Within a
+sequence nothing is split: the first cutoff of it that is unsafe in truth must pass its own test before any later one
+counts.  A stricter cutoff rejects no fewer documents, so the strictest one that passes ends the sequence; none is used
+if none passes.  So with probability 1 - delta, in every stratum at once, at most a share ``alpha`` of the good documents
+that pass the base rules is rejected.  With 4 strata a stratum needs 1,495 good labelled documents for a first cutoff.
 
 Defined results.  Null text: no words, base_failed.  Null stratum: a stratum of its own.  Null label: not good.
 Several labels of a document: the best counts.  Repeated rows stay, each with the same verdict.  Without labels
@@ -84,7 +86,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
     cells = ", ".join(f"'{m}', {c}, `{m}|{c}`" for m, (_, grid) in MEASURES.items() for c in grid)
     tests = sum(len(grid) for _, grid in MEASURES.values())
     long = table.withColumn("strata", F.count(F.lit(1)).over(all_rows())).select("stratum_key", "n", "strata", F.expr(f"stack({tests}, {cells}) as (measure, cutoff, k)"))
-    safe = long.where(binomial_cdf(F.col("k"), F.col("n"), alpha / len(MEASURES)) <= delta / (F.col("strata") * tests))
+    safe = long.where(binomial_cdf(F.col("k"), F.col("n"), alpha / len(MEASURES)) <= delta / (F.col("strata") * len(MEASURES)))
     return safe.groupBy("stratum_key").agg(*[F.min(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"c_{m}") for m in MEASURES])
 
 
@@ -140,7 +142,6 @@ def _oracle(alpha: float = 0.02, delta: float = 0.05) -> str:
     sql = {m: e.replace(" div ", " // ") for m, (e, _) in MEASURES.items()}
     sql["short_words"] = "0 - word_chars * 100 // n_words"
     grid = ", ".join(f"('{m}', {c})" for m, (_, cuts) in MEASURES.items() for c in cuts)
-    tests = sum(len(cuts) for _, cuts in MEASURES.values())
     a = alpha / len(MEASURES)
     value = "CASE measure " + " ".join(f"WHEN '{m}' THEN m_{m}" for m in MEASURES) + " END"
     failed = ", ".join(f"CASE WHEN m_{m} > c_{m} THEN '{m}' END" for m in MEASURES)
@@ -163,7 +164,7 @@ held AS (SELECT m.* FROM m JOIN good ON m.doc_id = good.k WHERE NOT base_failed)
 grid(measure, cutoff) AS (VALUES {grid}),
 cell AS (SELECT sk, measure, cutoff, count(*) AS n, count(CASE WHEN {value} > cutoff THEN 1 END) AS k FROM held, grid GROUP BY sk, measure, cutoff),
 safe AS (SELECT * FROM cell WHERE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a!r}) + (n - j) * ln({1 - a!r}))))
-         <= {delta!r} / ((SELECT count(DISTINCT sk) FROM held) * {tests})),
+         <= {delta!r} / ((SELECT count(DISTINCT sk) FROM held) * {len(MEASURES)})),
 c AS (SELECT sk, {", ".join(f"min(CASE WHEN measure = '{m}' THEN cutoff END) AS c_{m}" for m in MEASURES)} FROM safe GROUP BY sk),
 v AS (SELECT m.*, array_to_string(list_filter([{failed}], lambda x: x IS NOT NULL), ',') AS failed FROM m LEFT JOIN c USING (sk))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM v

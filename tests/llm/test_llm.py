@@ -1,6 +1,7 @@
 """The dealt operators against libraries, brute force and SQL, and their defined results for odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -110,6 +111,54 @@ def test_warc(spark, tmp_path, monkeypatch):
         assert list(map(warc.order, warc.LoserTree(lists))) == sorted(warc.order(c) for x in lists for c in x)
 
 
+def chosen_by_hand(values, strata, grid, alpha, delta):
+    """The strictest cutoff of the fixed sequence, loosest first, that passes with all before it."""
+    n, a, best = len(values), alpha / len(quality.MEASURES), None
+    for cutoff in sorted(grid, reverse=True):
+        k = sum(v > cutoff for v in values)
+        p = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(a) + (n - j) * math.log1p(-a)) for j in range(k + 1)) if k < n * a else 1.0
+        if p > delta / (strata * len(quality.MEASURES)):
+            break
+        best = cutoff
+    return best
+
+
+def test_quality_cutoffs_are_chosen(spark):
+    """Large strata get cutoffs in the order of the sequence, one a document short of enough gets none; bad documents don't count."""
+    r = np.random.default_rng(3)
+    sizes = {"en": 6000, "de": 1800, "few": 300}
+    rows, i = [], 0
+    for lang, n in sizes.items():
+        for good in (1, 0):
+            values = {"symbols": r.exponential(60 if good else 900, n), "dup_lines": r.exponential(300, n), "repeats": r.exponential(150, n), "long_words": r.normal(500, 60, n), "short_words": r.normal(-450, 40, n)}
+            for j in range(n):
+                rows.append((i, lang, good, False, *[int(values[m][j]) for m in quality.MEASURES]))
+                i += 1
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, good int, base_failed boolean, " + ", ".join(f"m_{m} long" for m in quality.MEASURES))
+    labels = scored.selectExpr("doc_id", "good as quality", "0 as toxic")
+    got = {c.stratum_key: c for c in quality.cutoffs(scored.drop("good"), labels).collect()}
+    by = {lang: [x for x in rows if x[1] == lang and x[2]] for lang in sizes}
+    want = {(lang, m): chosen_by_hand([x[4 + k] for x in by[lang]], 3, quality.MEASURES[m][1], 0.02, 0.05) for lang in sizes for k, m in enumerate(quality.MEASURES)}
+    assert {(lang, m): got[f"={lang}"][f"c_{m}"] if f"={lang}" in got else None for lang, m in want} == want
+    assert sum(v is not None for (lang, _), v in want.items() if lang == "en") == 5 and all(want["few", m] is None for m in quality.MEASURES)
+    # the verdict comes from them: clearly bad documents go, good ones stay but for the share allowed
+    verdict = quality.decide(scored, spark.createDataFrame([tuple(c) for c in got.values()], quality.cutoffs(scored, labels).schema)).groupBy("lang", "good").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    share = {(v.lang, v.good): v.k for v in verdict}
+    assert share["en", 1] > 0.98 and share["de", 1] > 0.98 and share["en", 0] < share["en", 1] - 0.1 and share["few", 1] == share["few", 0] == 1
+
+
+def test_quality_guarantee_holds_over_draws():
+    """Over many drawn holdouts the chosen cutoff's true rate of false rejection exceeds its bound at most as often as delta allows."""
+    r, grid, broken, draws = np.random.default_rng(4), quality.MEASURES["symbols"][1], 0, 1500
+    a, level = 0.02 / 5, 0.05  # one stratum and measure: the whole of delta is spent on it
+    scale = 500 / -math.log(a * 1.02)  # the cutoff of 500 is just unsafe
+    for _ in range(draws):
+        values = r.exponential(scale, 2500)
+        best = chosen_by_hand(values, 1, grid, 0.02, level * len(quality.MEASURES))
+        broken += best is not None and math.exp(-best / scale) > a
+    assert broken / draws < level + 3 * (level * (1 - level) / draws) ** 0.5
+
+
 def test_quality_risk(spark):
     n, k = 400, 3
     from math import comb
