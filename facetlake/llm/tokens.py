@@ -1,8 +1,8 @@
 """Whole-text token ids of a ``tokenizers`` file, fast enough for one pass over a corpus.
 
-Pre-tokens never cross the chunk borders used here, so a text's ids are its chunks' ids in a row.  Each
-distinct chunk goes through the library once and is then remembered, up to ``CACHE`` chunks per Python worker.
-Arrow splits a batch of texts and numbers its distinct chunks, so only these meet the dictionary.
+Byte-level files are read by ``byte_level``.  For others: pre-tokens never cross the chunk borders used here, so a text's
+ids are its chunks' ids in a row.  Each distinct chunk goes through the library once and is then remembered, up to ``CACHE``
+chunks per Python worker.  Arrow splits a batch of texts and numbers its distinct chunks, so only these meet the dictionary.
 """
 
 from __future__ import annotations
@@ -15,16 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from . import common
+from . import byte_level, common
 
 CACHE = 500_000
 #: Bytes of text that are gathered at once.
 BATCH_BYTES = 2 << 20
-#: Texts that have such go through the library whole: white space other than single spaces and one or two line feeds,
-#: and the mark that chunks at the start of a text carry.
+#: Texts that have such go through the library whole: white space other than single spaces and one or two line feeds, and
+#: control sign 1.
 ODD = r"[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|  | \n|\n |\n\n\n|\n\n\z| \z"
-START = "\x01"
-SPACE = re.compile(r"\s")
 TAIL = ".,;:!?|*#$%&\""
 _open: dict = common.memory()
 
@@ -48,9 +46,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        #: A byte-level vocabulary keeps spaces; the other kind drops them.
-        self.spaced = spec["normalizer"] is None
-        self.odd = "|".join([ODD, *(re.escape(x) for x in self.specials)])
+        self.pieces = byte_level.Pieces(self.lib, spec) if byte_level.fits(spec) else None
+        self.odd = "|".join([ODD, *(re.escape(x) for x in self.specials)]) if self.pieces or spec["normalizer"] else ""  # "": all
         #: Number of each chunk.
         self.known: dict[str, int] = {}
         #: Ids of all known chunks in a row, and where each chunk's begin.
@@ -58,7 +55,7 @@ class Encoder:
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.covers = np.zeros(1 << 16, np.int64)
         for token, i in vocab.items():
-            self.covers[i] = len(token.removesuffix("</w>") if not self.spaced and len(token) > 4 else token)
+            self.covers[i] = len(token.removesuffix("</w>") if len(token) > 4 else token)
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids as uint16 arrays, the same as the library's encode(text, add_special_tokens=False)."""
@@ -69,22 +66,19 @@ class Encoder:
             out[n] = np.array(self.lib.encode(texts[n].as_py(), add_special_tokens=False).ids, np.uint16)
         at = np.flatnonzero(~odd)
         if len(at):
-            plain = texts.take(pa.array(at))
+            plain = texts.take(pa.array(at)) if len(at) < len(texts) else texts
+            gather = self.pieces.gather if self.pieces else self.gather
             size = np.cumsum(pc.binary_length(plain).to_numpy()) // BATCH_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(at)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                for n, ids in zip(at[lo:hi].tolist(), self.gather(plain.slice(lo, hi - lo))):
+                for n, ids in zip(at[lo:hi].tolist(), gather(plain.slice(lo, hi - lo))):
                     out[n] = ids
             pa.default_memory_pool().release_unused()  # Arrow's pool would hold on to freed buffers
         return out
 
     def gather(self, texts: pa.Array) -> list[np.ndarray]:
         known, base = self.known, len(self.known)
-        if self.spaced:  # a chunk is a word after a space, one after a line feed, or a text's first one
-            texts = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), "")
-        else:
-            texts = pc.replace_substring(texts, "\n", " ")
-        words = pc.split_pattern(texts, " ")
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         of = words.offsets.to_numpy()
         chunks = words.values.slice(of[0], of[-1] - of[0]).dictionary_encode()
         names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -105,11 +99,6 @@ class Encoder:
             self.ids = self.ids[: self.first[-1]]
         return [flat[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
 
-    def text_of(self, chunk: str) -> str:
-        if not self.spaced or chunk[:1] == "\n":
-            return chunk
-        return chunk[1:] if chunk[:1] == START else " " + chunk
-
     def extend(self, fresh: list[str]) -> None:
         """Number new chunks in their order and learn them."""
         known, base = self.known, len(self.known)
@@ -123,19 +112,15 @@ class Encoder:
             return n
 
         for n, c in enumerate(fresh):  # grows by new halves
-            if self.spaced and c[0:1] == "\n" and len(c) > 1:  # a line feed before a word is a pre-token
-                halves[n] = number_of("\n"), number_of(START + c[1:])
-                continue
             # punctuation after a letter or digit starts a pre-token, so "word," is "word" and ","
             core = c.rstrip(TAIL)
             if len(core) != len(c) and core[-1:].isalnum() and len(core[-1].lower()) == 1:
-                rest = c[len(core) :]
-                halves[n] = number_of(core), number_of(START + rest if self.spaced else rest)
+                halves[n] = number_of(core), number_of(c[len(core) :])
         want = [n for n in range(len(fresh)) if n not in halves]
         raw: list[bytes] = [b""] * len(fresh)
         for k in range(0, len(want), 4096):
             part = want[k : k + 4096]
-            for n, ids in zip(part, self.learn([self.text_of(fresh[n]) for n in part])):
+            for n, ids in zip(part, self.learn([fresh[n] for n in part])):
                 raw[n] = ids
 
         def ids_of(n: int) -> bytes:
@@ -153,29 +138,25 @@ class Encoder:
         """Bytes that a chunk's tokens cover."""
         if chunk.isascii():
             return len(chunk)
-        return len((chunk if self.spaced else unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()).encode())
+        return len(unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower().encode())
 
     def learn(self, new: list[str]) -> list[bytes]:
         """Encode many chunks in few calls: side by side they are a text whose pre-tokens end where the chunks do."""
         got: list[bytes | None] = [None] * len(new)
-        if self.spaced:  # words with their space follow each other; others stand on lines of their own
-            self.together([n for n, c in enumerate(new) if c[:1] == " "], new, got, "", 0)
-            self.together([n for n, c in enumerate(new) if c and not SPACE.search(c)], new, got, "\n", 1)
-        else:
-            self.together([n for n, c in enumerate(new) if c], new, got, " ", 0)
+        self.together([n for n, c in enumerate(new) if c], new, got)
         return [np.array(self.lib.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() if g is None else g for c, g in zip(new, got)]
 
-    def together(self, rows: list[int], new: list[str], got: list[bytes | None], mark: str, gap: int) -> None:
-        """Fill in ``got`` for some chunks, with ``gap`` bytes of a mark's own token between them; all or none."""
+    def together(self, rows: list[int], new: list[str], got: list[bytes | None]) -> None:
+        """Fill in ``got`` for some chunks; all or none."""
         if not rows:
             return
-        ids = np.array(self.lib.encode_batch_fast([mark.join(new[n] for n in rows)], add_special_tokens=False)[0].ids, np.uint16)
+        ids = np.array(self.lib.encode_batch_fast([" ".join(new[n] for n in rows)], add_special_tokens=False)[0].ids, np.uint16)
         covered = np.concatenate([[0], np.cumsum(self.covers[ids])])
         widths = np.fromiter((self.width(new[n]) for n in rows), np.int64, len(rows))
-        starts = np.cumsum(widths + gap) - widths - gap
+        starts = np.cumsum(widths) - widths
         lo, hi = np.searchsorted(covered, starts), np.searchsorted(covered, starts + widths)
         whole = covered[-1] == starts[-1] + widths[-1]
-        if whole and np.array_equal(covered[lo], starts) and np.array_equal(covered[hi], starts + widths) and (lo[1:] - hi[:-1] == gap).all():
+        if whole and np.array_equal(covered[lo], starts) and np.array_equal(covered[hi], starts + widths) and (lo[1:] == hi[:-1]).all():
             raw = ids.tobytes()
             for n, a, b in zip(rows, lo.tolist(), hi.tolist()):
                 got[n] = raw[2 * a : 2 * b]
