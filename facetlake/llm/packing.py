@@ -32,37 +32,43 @@ from . import common
 
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
+#: Terms in at least one of so many documents of a shard are kept as rows, which have at most so many numbers a posting.
+FREQUENT = 8
 
 
 class Index:
-    """BM25 inverted index of one shard: postings of each term, sorted by term, with their weights."""
+    """BM25 inverted index of one shard: frequent terms as rows of weights by document, others as postings sorted by term."""
 
     def __init__(self, docs: list[np.ndarray], frequency: np.ndarray, n_docs: int, mean_length: float):
         self.n = n = len(docs)
         lens = np.fromiter(map(len, docs), np.int64, n)
-        key = np.repeat(np.arange(n, dtype=np.int64), lens) | np.concatenate(docs).astype(np.int64) << 32 if n else np.zeros(0, np.int64)
-        key, tf = np.unique(key, return_counts=True)
-        term, self.doc = key >> 32, key & 0xFFFFFFFF
+        kind, bits = (np.uint32, 16) if n <= 1 << 16 else (np.uint64, 32)  # short keys sort faster
+        flat = np.concatenate([*docs, np.zeros(0, np.uint16)])
+        key, tf = np.unique(flat.astype(kind) << kind(bits) | np.repeat(np.arange(n, dtype=kind), lens), return_counts=True)
+        term, doc = (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64)
         idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
         norm = K1 * (1 - B + B * lens / max(mean_length, 1))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.first = np.searchsorted(term, np.arange(VOCABULARY + 1))
-        order = np.argsort(self.doc, kind="stable")
-        self.terms = np.split(term[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        held = np.bincount(term, minlength=VOCABULARY)
+        frequent = held * FREQUENT >= max(n, 1)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.rows = np.zeros((np.count_nonzero(frequent), n))
+        row = self.row[term]
+        at, rest = np.flatnonzero(row >= 0), row < 0
+        self.rows[row[at], doc[at]] = weight[at]
+        self.doc, self.weight = doc[rest], weight[rest]
+        self.first = np.concatenate([[0], np.cumsum(np.where(frequent, 0, held))])
+        order = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
+        self.terms = np.split(term[order], np.cumsum(np.bincount(doc, minlength=n))[:-1])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 score of each document for the distinct terms of ``seed``."""
         t = self.terms[seed]
+        row = self.row[t]
+        t = t[row < 0]
         lens = self.first[t + 1] - self.first[t]
         at = np.repeat(self.first[t] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with ``seed``, best first."""
-        scores = self.scores(seed)
-        scores[used] = 0
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        return np.bincount(self.doc[at], self.weight[at], self.n) + np.add.reduce(self.rows.take(row[row >= 0], axis=0), axis=0)
 
 
 class Packer:
@@ -73,26 +79,25 @@ class Packer:
 
     def pack(self, docs: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, start, length, window, offset) of each piece."""
+        if not len(docs):
+            return
         used = np.zeros(len(docs), bool)
         following = 0
-        queue: list[int] = []
+        scores = np.zeros(len(docs))  # of unused documents for the window's seed
         while True:
-            while queue and used[queue[-1]]:
-                queue.pop()
-            if queue:
-                doc = queue.pop()
-            else:
+            doc = int(scores.argmax())  # the first of equal ones
+            if scores[doc] <= 0:
                 while following < len(docs) and used[following]:
                     following += 1
                 if following == len(docs):
                     return
                 doc = following
-            used[doc] = True
+            used[doc], scores[doc] = True, 0
             start = 0
             while start < len(docs[doc]):
                 left = len(docs[doc]) - start
                 if self.at == 0:  # this document, or its rest, opens a window; one that fills it needs no neighbours
-                    queue = index.neighbours(doc, used)[::-1].tolist() if left < self.window else []
+                    scores = np.where(used, 0, index.scores(doc)) if left < self.window else np.zeros(len(docs))
                 length = min(self.window - self.at, left)
                 yield doc, start, length, self.number, self.at
                 start, self.at = start + length, self.at + length
@@ -100,11 +105,11 @@ class Packer:
                     self.at, self.number = 0, self.number + 1
 
 
-def places(ids: list[np.ndarray], ranks: np.ndarray) -> np.ndarray:
+def places(terms: list[np.ndarray], ranks: np.ndarray) -> np.ndarray:
     """Place of each document: the least rank of its terms under each of four orders, as one number."""
-    flat, lens = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+    flat, lens = np.concatenate(terms), np.fromiter(map(len, terms), np.int64, len(terms))
     first = np.cumsum(lens) - lens
-    out = np.zeros(len(ids), np.uint64)
+    out = np.zeros(len(terms), np.uint64)
     for r in ranks:
         out = out << np.uint64(16) | np.minimum.reduceat(r[flat], first).astype(np.uint64)
     return (out >> np.uint64(1)).view(np.int64)
@@ -130,19 +135,22 @@ def pack(
         enc, end, ranks = encoder(tokenizer), np.array([end_id], np.uint16), orders()
         names = ["k", "place", "ids", "statistics"]
         frequency, tokens, n = np.zeros(VOCABULARY, np.int64), 0, 0
-        key_type, last, steps = None, np.zeros(VOCABULARY, np.int64), np.zeros(0, np.int64)
+        key_type, last, steps = None, np.zeros(VOCABULARY, np.int32), np.zeros(0, np.int32)
         for batch in batches:
             key_type = batch.column(0).type
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids = [np.concatenate([x, end]) for x in enc.encode(part.column(1))]
                 longest = max(map(len, ids))
-                steps = np.arange(longest) if longest > len(steps) else steps
+                steps = np.arange(longest, dtype=np.int32) if longest > len(steps) else steps
+                terms = []
                 for x in ids:
-                    last[x] = steps[: len(x)]
-                    frequency[x[last[x] == steps[: len(x)]]] += 1  # each term at its last place
+                    own, step = x.astype(np.int64), steps[: len(x)]
+                    last[own] = step
+                    terms.append(own[last[own] == step])  # each term at its last place
+                frequency += np.bincount(np.concatenate(terms), minlength=VOCABULARY)
                 tokens, n = tokens + sum(map(len, ids)), n + len(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places(ids, ranks)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places(terms, ranks)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if n:  # this task's share of the corpus statistics
             blob = np.concatenate([frequency, [tokens, n]]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)

@@ -78,6 +78,25 @@ def test_new_latin_words_do_not_meet_the_library(monkeypatch):
     assert enc.lib.chars == 0
 
 
+def test_merges_look_up_ranks_once_a_round(monkeypatch):
+    """Two look-ups for each of many small blocks took most of the time of new pieces."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        merges = byte_level.Merges(json.load(f))
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    r = random.Random(6)
+    words = [" " + "".join(r.choices("abcdeghilnorst", k=r.randint(0, 31))) for _ in range(9000)]
+    calls = []
+    rank = merges.rank
+    monkeypatch.setattr(merges, "rank", lambda *a: calls.append(1) or rank(*a))
+    chars = np.array([list(w.encode().ljust(32, b"\0")) for w in words], np.uint8)
+    flat, counts = merges.ids(chars, np.array([len(w) for w in words]))
+    ends = np.cumsum(counts)
+    assert [flat[a:b].tolist() for a, b in zip(ends - counts, ends)] == [lib.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(calls) <= 31  # merges of the longest piece
+
+
 @pytest.mark.parametrize("change", [{"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}])
 def test_other_kinds_of_files(change):
     import json

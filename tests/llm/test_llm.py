@@ -415,6 +415,23 @@ def test_packing_equals_brute_force(spark):
             used.add(p.doc_id)
 
 
+def test_packing_scores_go_through_few_postings():
+    """Postings of frequent terms, gathered one by one for every seed, took most of the time of filling windows."""
+    r = np.random.default_rng(11)
+    docs = [np.concatenate([r.integers(0, 200, 300), [1000 + d // 3]]).astype(np.uint16) for d in range(300)]
+    docs[7], docs[250] = docs[90], np.array([65535], np.uint16)
+    held = np.zeros((len(docs), packing.VOCABULARY))
+    for d, x in enumerate(docs):
+        np.add.at(held[d], x, 1)
+    frequency, lens = (held > 0).sum(axis=0), held.sum(axis=1)
+    index = packing.Index(docs, frequency, len(docs), lens.mean())
+    weight = np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5)) * held * 2.2 / (held + 1.2 * (0.25 + 0.75 * lens / lens.mean())[:, None])
+    for seed in (0, 7, 90, 250, 299):
+        scores = index.scores(seed)
+        assert np.allclose(scores, weight @ (held[seed] > 0), rtol=1e-9, atol=0) and scores[7] == scores[90]
+    assert len(index.doc) <= len(docs)  # of about 47,000
+
+
 def test_batches_lose_no_row(spark):
     """More rows in one task than any operator takes at once: every row comes out of the operators that work in batches."""
     n = 11_000
