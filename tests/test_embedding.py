@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facetlake import registry
 from facetlake.operators import embedding as E
 from facetlake.operators import space as S
 from facetlake.operators.space import Space
@@ -131,3 +132,20 @@ def test_odd_rows(spark):
     assert (got[50:] == got[0]).all()
     with pytest.raises(ValueError):
         E.tsne(df.limit(0), names, "id", 5, 4)
+
+
+def test_query_above_the_exact_form(spark, tmp_path, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal").where("s_suppkey < 60")
+    more = rows.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumn("s_suppkey", F.col("s_suppkey") + 1000 * F.col("copy")).drop("copy")
+    more.unionAll(spark.sql("SELECT -1L, 3, CAST(NULL AS DOUBLE)")).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(registry.stats, "tsne", None)  # n x n pairs a round are for small tables only
+    got = registry.QUERIES["tsne"](spark, str(tmp_path)).toPandas().set_index("s_suppkey")
+    assert len(got) == 2401 and got.loc[-1].isna().all() and got.drop(-1).notna().all().all()
+    assert got.drop(-1).groupby(lambda k: k % 1000).nunique().eq(1).all().all() and len(got.drop_duplicates()) == 61
+
+
+def test_one_task_and_many_go_the_same_way(spark):
+    x = np.random.default_rng(7).normal(size=(150, 2))
+    df, names = table(spark, x)
+    one, many = (placed(E.tsne(df, names, "id", 5, 4, theta=0, rows=r), 150) for r in (1 << 10, 40))
+    assert np.allclose(one, many, rtol=1e-6, atol=1e-9 * np.abs(many).max())
