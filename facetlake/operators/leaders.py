@@ -1,7 +1,10 @@
 """Leader clustering of one large table.
 
 In key order, a row is a leader unless an earlier leader's box holds it: the lexicographically first independent set of the
-graph of rows in reach.  Rows lie in the leaves of a kd-tree and are settled in rounds.  A leaf goes through its undecided
+graph of rows in reach.  Leaders among the first rows depend on no others, so a bounded number of first rows is settled in a
+task, and all rows in their leaders' boxes fall away where they lie; then the first of those left, as long as most fall away.
+
+If more than half stays (many leaders), the rest lies in the leaves of a kd-tree and is settled in rounds.  A leaf goes through its undecided
 rows in key order and settles each that waits for no undecided earlier row in reach; rows of other leaves in reach come
 along as they stood after the round before.  Only waiting rows and new leaders travel.  The earliest undecided row is
 settled in each round, so the rounds end; their number is the longest chain of leaves in which rows wait for each other.
@@ -14,13 +17,17 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import checkpointed
 from .ranks import position
-from .space import Space, matrix
+from .space import Local, Space, matrix
+
+#: First rows that are settled in one task, keys drawn to find about so many, and most leaders that go to every task.
+FIRST, DRAWN, HELD = 1 << 15, 1 << 14, 1 << 17
 
 
 class Grid:
@@ -126,36 +133,129 @@ def leaders(space: Space, reach: list[float]) -> DataFrame:
     return out.select("x", "first")
 
 
-def leader(df: DataFrame, columns: list[str], key: str, eps: float | list[float], group: str | None = None) -> DataFrame:
-    """Row per row: key, leader: the number (0.. in key order, per group) of the first leader whose box of half-width eps / 2
-    holds the row; null with a null coordinate.  Keys are unique; ``eps`` may be given per column."""
-    reach = [float(e) / 2 for e in (eps if isinstance(eps, (list, tuple)) else [eps] * len(columns))]
-    rows = df.select(F.col(key), *[F.col(c).cast("double").alias(f"_c{n}") for n, c in enumerate(columns)])
+class Heads:
+    """Leaders in a tree, for many rows at once."""
+
+    def __init__(self, x: np.ndarray, numbers: np.ndarray, reach: np.ndarray):
+        self.local, self.reach = Local(x), reach
+        self.numbers = numbers[self.local.order]
+
+    def least(self, x: np.ndarray) -> np.ndarray:
+        """The least number of a leader whose box holds each row, or -1."""
+        none = np.iinfo(np.int64).max
+        best = np.full(len(x), none)
+        for at in range(0, len(x), 1024):
+            a = x[at : at + 1024]
+            wide = self.reach + 1e-9 * (np.abs(a) + self.reach)  # the tree may let too many through, never too few
+            for i, p in self.local.pieces(*self.local.tree.boxes(a - wide, a + wide)):
+                y = self.local.x[p]
+                ok = ((y - self.reach <= a[i]) & (a[i] <= y + self.reach)).all(1)
+                np.minimum.at(best, i[ok] + at, self.numbers[p[ok]])
+        return np.where(best == none, -1, best)
+
+
+def first_leaders(rows: DataFrame, names: list[str], key: str, reach: np.ndarray) -> tuple[list[DataFrame], DataFrame | None]:
+    """Leaders (names, head) found among first rows, and the rows that none of these holds, if these are still many."""
+    kind, shape = rows.schema[key].dataType.simpleString(), ", ".join(f"{n} double" for n in names)
+    left, found = rows.where(Space.there(names) & F.col(key).isNotNull()).select(*names, F.col(key).alias("head")), []
+    n = left.count()
+
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            pdf = pd.concat(parts).sort_values("head", ignore_index=True)
+            none = (np.empty(0, np.int64), np.empty((0, len(names))))
+            yield pdf[settle(np.arange(len(pdf)), pdf[names].to_numpy(float), none, none, reach) == 1]
+
+    while n:
+        part = left
+        if n > FIRST:
+            drawn = sorted(r[0] for r in left.select("head").sample(min(1.0, DRAWN / n), 7).collect())
+            if not drawn:
+                return found, left
+            cut = F.lit(drawn[int(len(drawn) * FIRST / n)])
+            part, left = left.where(F.col("head") <= cut), left.where(F.col("head") > cut)
+        heads = checkpointed(part.repartition(1).mapInPandas(lead, f"{shape}, head {kind}"))
+        found.append(heads)
+        if n <= FIRST:
+            break
+        x = heads.select(*names).toPandas().to_numpy(float)  # of at most about FIRST rows
+
+        def outside(batches: Iterator[pd.DataFrame], x: np.ndarray = x) -> Iterator[pd.DataFrame]:
+            held = Heads(x, np.zeros(len(x), np.int64), reach)
+            for pdf in batches:
+                yield pdf[held.least(pdf[names].to_numpy(float)) < 0]
+
+        left, before = checkpointed(left.mapInPandas(outside, f"{shape}, head {kind}")), n
+        n = left.count()
+        if 2 * n > before:
+            return found, left
+    return found, None
+
+
+def led(df: DataFrame, columns: list[str], key: str, eps: float | list[float], group: str | None, name: str) -> DataFrame:
+    """``df`` with the number of each row's leader."""
+    reach = np.array([float(e) / 2 for e in (eps if isinstance(eps, (list, tuple)) else [eps] * len(columns))])
     names = [f"_c{n}" for n in range(len(columns))]
+    rows = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, columns)})
     if group is not None:  # groups lie one apart in a column of their own, in which reach is a half
         groups = position(df.select(F.col(group).alias("_name")).distinct(), "_name", name="_g").withColumn("_g", F.col("_g").cast("double"))
-        rows = df.select(F.col(key), F.col(group).alias("_of"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)])
-        rows = rows.join(groups, F.col("_of").eqNullSafe(F.col("_name"))).drop("_of", "_name")
-        names, reach = ["_g", *names], [0.5, *reach]
+        rows = rows.join(groups, F.col(group).eqNullSafe(F.col("_name"))).drop("_name")
+        names, reach = ["_g", *names], np.append(0.5, reach)
     rows = checkpointed(rows)
-    space = Space.of(rows, names, key)
-    heads = leaders(space, reach).select(F.col("first").alias("head"), *[F.col("x")[n].alias(c) for n, c in enumerate(names)])
+    found, rest = first_leaders(rows, names, key, reach)
+    if rest is not None:
+        found.append(leaders(Space.of(rest, names, "head"), reach.tolist()).select(*[F.col("x")[n].alias(c) for n, c in enumerate(names)], F.col("first").alias("head")))
+    if not found:
+        return rows.withColumn(name, F.lit(None).cast("long")).drop(*names)
+    heads = found[0]
+    for more in found[1:]:
+        heads = heads.unionAll(more)
     heads = checkpointed(position(heads, *(["_g"] if group is not None else []), "head", name="at"))
+    count = heads.count()
     if group is not None:
         heads = heads.join(heads.groupBy("_g").agg(F.min("at").alias("from")), "_g").withColumn("at", F.col("at") - F.col("from")).drop("from")
-    boxes = heads.select("at", *[(F.col(c) + s * r).alias(f"{c}{s}") for c, r in zip(names, reach) for s in (-1, 1)])
-    holds = space.in_boxes(boxes, [f"{c}-1" for c in names], [f"{c}1" for c in names], "at").groupBy("first").agg(F.min("at").cast("long").alias("leader"))
-    point = space.points.join(holds, "first").select("leader", *[F.col("x")[n].alias(f"_x{n}") for n in range(len(names))])
-    return rows.join(point, [F.col(c) == F.col(f"_x{n}") for n, c in enumerate(names)], "left").select(F.col(key), "leader")
+    if count <= HELD:
+        t = heads.select(*names, "at").toPandas()
+        x, at = t[names].to_numpy(float), t["at"].to_numpy(np.int64)
+
+        @F.pandas_udf("long")
+        def number(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            held = Heads(x, at, reach)
+            for parts in batches:
+                rows = np.column_stack([p.to_numpy(float) for p in (parts if isinstance(parts, tuple) else (parts,))])
+                ok = np.isfinite(rows).all(1)
+                out = np.full(len(rows), -1)
+                out[ok] = held.least(rows[ok])
+                yield pd.Series(out)
+
+        return rows.withColumn(name, number(*names)).withColumn(name, F.when(F.col(name) >= 0, F.col(name))).drop(*names)
+    space = Space.of(rows, names, key)
+    boxes = heads.select("at", *[(F.col(c) + s * r).alias(f"{c}{s}") for c, r in zip(names, reach.tolist()) for s in (-1, 1)])
+    holds = space.in_boxes(boxes, [f"{c}-1" for c in names], [f"{c}1" for c in names], "at").groupBy("first").agg(F.min("at").cast("long").alias(name))
+    point = space.points.join(holds, "first").select(name, *[F.col("x")[n].alias(f"_x{n}") for n in range(len(names))])
+    return rows.join(point, [F.col(c) == F.col(f"_x{n}") for n, c in enumerate(names)], "left").drop(*names, *[f"_x{n}" for n in range(len(names))])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all tasks: few bytes of a file that is read by one are much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def leader(df: DataFrame, columns: list[str], key: str, eps: float | list[float], group: str | None = None) -> DataFrame:
+    """Row per row: key, leader: the number (0.. in key order, per group) of the first leader whose box of half-width eps / 2
+    holds the row; null with a null coordinate.  Keys are unique; ``eps`` may be given per column."""
+    own = [F.col(key).alias("_key"), *[F.col(c).alias(f"_v{n}") for n, c in enumerate(columns)], *([F.col(group).alias("_of")] if group is not None else [])]
+    found = led(spread(df.select(*own)), [f"_v{n}" for n in range(len(columns))], "_key", eps, "_of" if group is not None else None, "leader")
+    return found.select(F.col("_key").alias(key), "leader")
 
 
 def leader_levels(df: DataFrame, columns: list[str], key: str, eps: float | list[float], factor: float, levels: int) -> DataFrame:
     """key and level0, level1, ...: leaders, then leaders among the followers of each, with boxes ``factor`` as wide, and so on."""
     wide = [float(e) for e in (eps if isinstance(eps, (list, tuple)) else [eps] * len(columns))]
-    out = df.select(key, *columns)
+    values = [f"_v{n}" for n in range(len(columns))]
+    out = spread(df.select(F.col(key).alias("_key"), *[F.col(c).alias(v) for c, v in zip(columns, values)]))
     for n in range(levels):
-        above = [f"level{k}" for k in range(n)]
-        here = out.withColumn("_above", F.concat_ws(".", *above)) if n else out
-        found = leader(here, columns, key, [e * factor**n for e in wide], "_above" if n else None).withColumnRenamed("leader", f"level{n}")
-        out = checkpointed(out.join(found, key))
-    return out.select(key, *[f"level{n}" for n in range(levels)])
+        here = out.withColumn("_above", F.concat_ws(".", *[f"level{k}" for k in range(n)])) if n else out
+        out = checkpointed(led(here, values, "_key", [e * factor**n for e in wide], "_above" if n else None, f"level{n}").drop("_above"))
+    return out.select(F.col("_key").alias(key), *[f"level{n}" for n in range(levels)])
